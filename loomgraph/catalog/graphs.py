@@ -179,7 +179,7 @@ def node_upsert(spark, folder):
     "edge_upsert",
     """
     select l_partkey as from_id, l_suppkey as to_id, l_returnflag as relationship_name,
-        arg_max(l_quantity, {a: l_shipdate, b: l_orderkey, c: l_linenumber}) as weight,
+        arg_max(l_quantity, {a: l_shipdate, b: l_orderkey, c: l_linenumber, d: l_quantity}) as weight,
         min(l_shipdate) as created_at, max(l_shipdate) as updated_at
     from lineitem group by all
     """,
@@ -190,9 +190,9 @@ def edge_upsert(spark, folder):
         F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id"),
         F.col("l_returnflag").alias("relationship_name"), F.col("l_quantity").alias("weight"),
         F.col("l_shipdate").alias("_at"), "l_orderkey", "l_linenumber",
-        F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
+        F.col("l_quantity").alias("_w"), F.col("l_shipdate").alias("created_at"), F.col("l_shipdate").alias("updated_at"),
     )
     return merge_latest(
         rows, ["from_id", "to_id", "relationship_name"],
-        ["_at", "l_orderkey", "l_linenumber"], "created_at", "updated_at",
+        ["_at", "l_orderkey", "l_linenumber", "_w"], "created_at", "updated_at",
     )
