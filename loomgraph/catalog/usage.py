@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from loomgraph.catalog.registry import query
 from loomgraph.operators import usage
 from loomgraph.operators.bursts import bursts
+from loomgraph.session import scratch_folder
 from loomgraph.sources.tables import table, tool_calls
+from loomgraph.streaming.watch import closed_bursts
 
 CALLS_SQL = """
     calls as (
@@ -138,3 +140,36 @@ def debounce_sessions(spark, folder):
 @query("debounce_sessions_by_user", bursts_sql("user_id", "1 hour"))
 def debounce_sessions_by_user(spark, folder):
     return _bursts(spark, folder, F.col("user_id"), 3600)
+
+
+@query(
+    "stream_debounce",
+    bursts_sql("user_id", "1 hour").replace("select key, burst::bigint as burst,", "select key as repo_id,")
+    + " having max(ts) + interval 1 hour <= (select max(ts) from events)",
+)
+def stream_debounce(spark, folder):
+    """The event log as a change stream: the bursts closed by the end of the log.
+
+    Runs the stream to its end and reads back what it appended.
+    """
+    schema = table(spark, folder, "events").schema
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
+    changes = stream.select(F.col("user_id").alias("repo_id"), "ts")
+    out = scratch_folder(spark)
+    running = (
+        closed_bursts(changes, 3600)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{out}/bursts")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    found = spark.read.parquet(f"{out}/bursts")
+    return found.select(
+        "repo_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
+        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "changes",
+    )

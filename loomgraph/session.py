@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,22 +40,35 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new sub-folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder of the session.
+    """Materialise ``df`` in the shared folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a session
-    without one (a local test) gets a temporary folder. A checkpoint is written
-    to reliable storage, so losing executors afterwards costs nothing.
+    A checkpoint lies on reliable storage, so losing executors later costs nothing.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
