@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomgraph.catalog.registry import query
 from loomgraph.operators import code_graph
 from loomgraph.operators.containment import with_enclosing
+from loomgraph.session import cut_lineage
 from loomgraph.sources.tables import spread, table
 
 
@@ -30,7 +31,7 @@ def _joined(head: list, block, tail: list, block_after) -> Column:
 
 
 def part_modules(spark, folder) -> DataFrame:
-    """Source files (repo_id, file_path, language, text) derived row by row from part."""
+    """Source files (repo_id, file_path, language, text) derived row by row: a repository per brand."""
     part = spread(table(spark, folder, "part"))
     key, size, name, kind = (
         F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_name"), F.col("p_type"),
@@ -96,7 +97,7 @@ def part_modules(spark, folder) -> DataFrame:
         ],
     )
     return part.select(
-        F.lit("parts").alias("repo_id"),
+        brand.alias("repo_id"),
         F.explode(
             F.array(
                 F.struct(
@@ -185,7 +186,7 @@ _TS_ROWS = [
     _row("p", "ts", "class", "'Part' || p_partkey", "13", "14 + 3 * n", bases="'Base'",
          docstring="p_type || ' part (not a call).'",
          signature=f"'class Part' || p_partkey || ' extends Base {{' || {_NL} || '  step1(qty: number): number {{' || {_NL} || '    return helper1(qty) * scale(qty); ...'"),
-    _row("p", "ts", "export", "'Part' || p_partkey", "13", "14 + 3 * n", export_kind="'named'", bases="'Base'",
+    _row("p", "ts", "export", "'Part' || p_partkey", "13", "14 + 3 * n", export_kind="'named'",
          signature=f"'export class Part' || p_partkey || ' extends Base {{' || {_NL} || '  step1(qty: number): number {{' || {_NL} || '    return helper1(qty) * scale(qty); ...'"),
     _row("steps", "ts", "method", "'step' || i", "11 + 3 * i", "13 + 3 * i", parent_name="'Part' || p_partkey",
          parameters="'(qty: number)'", return_type="': number'",
@@ -193,13 +194,11 @@ _TS_ROWS = [
     _row("p", "ts", "function", "'scale'", "16 + 3 * n", "18 + 3 * n", parameters="'(qty: number)'", return_type="': number'",
          signature=f"'function scale(qty: number): number {{' || {_NL} || '  return qty;' || {_NL} || '}}'"),
     _row("p", "ts", "export", "'scale'", "16 + 3 * n", "18 + 3 * n", export_kind="'named'",
-         parameters="'(qty: number)'", return_type="': number'",
          signature=f"'export function scale(qty: number): number {{' || {_NL} || '  return qty;' || {_NL} || '}}'"),
     _row("steps", "ts", "arrow", "'helper' || i", "16 + 3 * n + 3 * i", "18 + 3 * n + 3 * i",
          parameters="'(qty: number)'", return_type="': number'",
          signature=f"'const helper' || i || ' = (qty: number): number => {{' || {_NL} || '  return scale(qty) + ' || i || ';' || {_NL} || '}};'"),
     _row("steps", "ts", "export", "'helper' || i", "16 + 3 * n + 3 * i", "18 + 3 * n + 3 * i", export_kind="'named'",
-         parameters="'(qty: number)'", return_type="': number'",
          signature=f"'export const helper' || i || ' = (qty: number): number => {{' || {_NL} || '  return scale(qty) + ' || i || ';' || {_NL} || '}};'"),
     _row("p", "ts", "call", "'scale'", "15", "15", call_target="'scale'"),
     _row("steps", "ts", "call", "'helper' || i", "12 + 3 * i", "12 + 3 * i", call_target="'helper' || i"),
@@ -258,8 +257,8 @@ SUMMARY_SQL = """
 
 def _graph(spark, folder):
     files = part_modules(spark, folder)
-    entities = code_graph.parse_files(files)
-    return files, entities
+    # Nodes and edges both read the entities: parse once, as indexing does.
+    return files, cut_lineage(code_graph.parse_files(files))
 
 
 @query(

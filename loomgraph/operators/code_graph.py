@@ -27,7 +27,11 @@ def parse_files(files: DataFrame) -> DataFrame:
     """
     python = source_lines(files.filter(F.col("language") == "python"))
     script = source_lines(files.filter(F.col("language").isin(*SCRIPT_LANGUAGES)))
-    entities = python_entities(python).unionByName(script_entities(script))
+    found = [_distinct_calls(python_entities(python)), _distinct_calls(script_entities(script))]
+    return found[0].unionByName(found[1])
+
+
+def _distinct_calls(entities: DataFrame) -> DataFrame:
     first = Window.partitionBy(*FILE_KEY, "kind", "call_target").orderBy("ordinal")
     return (
         entities.withColumn("_n", F.row_number().over(first))

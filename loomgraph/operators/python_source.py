@@ -8,7 +8,10 @@ from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.source_text import (
     FILE_KEY,
     PYTHON_KEYWORDS,
+    call_entity,
     call_targets,
+    entities,
+    entity,
     signature,
     strip,
 )
@@ -152,59 +155,68 @@ def python_entities(lines: DataFrame) -> DataFrame:
         .when(code.rlike(_ASSIGN), "variable")
     )
     described = statements.withColumn("_kind", kind)
-    is_block = F.col("_kind").isin("function", "class")
-    text = F.lit(None).cast("string")
     filled = lambda c: F.nullif(c, F.lit(""))
-    end_line = F.when(is_block, F.col("block_end")).otherwise(F.col("stop"))
-    own = F.struct(
-        F.when(F.col("_kind") == "from", "import").otherwise(F.col("_kind")).alias("kind"),
-        F.col("start_line").alias("start_line"),
-        end_line.alias("end_line"),
-        F.when(F.col("_kind") == "function", F.regexp_extract("code", _DEF, 2))
-        .when(F.col("_kind") == "class", F.regexp_extract("code", _CLASS, 2))
-        .when(F.col("_kind") == "from", F.regexp_extract("code", _FROM, 1))
-        .when(F.col("_kind") == "variable", F.regexp_extract("code", _ASSIGN, 2))
-        .alias("name"),
-        F.when(is_block, signature(F.col("first3"), end_line - F.col("start_line") + 1))
-        .when(F.col("_kind") == "variable", F.substring_index(strip(F.col("raw")), "\n", 1))
-        .otherwise(strip(F.col("raw")))
-        .alias("signature"),
-        F.when(is_block, _docstring()).alias("docstring"),
-        F.when(F.col("_kind") == "function", _raw_group(_DEF, 4)).alias("parameters"),
-        F.when(F.col("_kind") == "function", filled(_raw_group(_DEF, 6))).alias("return_type"),
-        F.when(F.col("_kind") == "class", filled(_raw_group(_CLASS, 4))).alias("bases"),
-        F.when(F.col("_kind") == "from", F.regexp_extract("code", _FROM, 1)).alias("source_module"),
-        F.when(F.col("_kind") == "from", _names(F.regexp_extract("code", _FROM, 2)))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("imported_names"),
-        text.alias("call_target"),
-        F.when(F.col("_kind") == "variable", filled(strip(_raw_group(_ASSIGN, 4)))).alias(
-            "type_annotation"
-        ),
-    )
-    modules = F.transform(
-        _names(F.regexp_extract("code", _IMPORT, 1)),
-        lambda m: own.withField("name", m).withField("source_module", m),
-    )
-    none = F.array().cast(f"array<{_struct_of(described, own)}>")
-    calls = F.transform(
-        "calls",
-        lambda c: own.withField("kind", F.lit("call"))
-        .withField("start_line", c["line"])
-        .withField("end_line", c["line"])
-        .withField("name", F.regexp_extract(c["target"], r"([^.]*)$", 1))
-        .withField("call_target", c["target"])
-        .withField("signature", F.lit(""))
-        .withField("docstring", text),
-    )
+    start, statement = F.col("start_line"), strip(F.col("raw"))
+    head = signature(F.col("first3"), F.col("block_end") - start + 1)
+    span = {"start_line": start, "end_line": F.col("stop")}
+    block = {"start_line": start, "end_line": F.col("block_end"), "signature": head, "docstring": _docstring()}
+    module = F.regexp_extract("code", _FROM, 1)
+    names = _names(F.regexp_extract("code", _FROM, 2))
     own_rows = (
-        F.when(F.col("_kind") == "import", modules)
-        .when(F.col("_kind").isNotNull(), F.array(own))
-        .otherwise(none)
-    )
-    rows = described.select(
-        *FILE_KEY, "language", "_sid", F.posexplode(F.concat(own_rows, calls)).alias("_n", "_e")
-    ).select(*FILE_KEY, "language", "_sid", "_n", "_e.*")
+        F.when(
+            F.col("_kind") == "function",
+            entities(
+                entity(
+                    kind=F.lit("function"), name=F.regexp_extract("code", _DEF, 2), **block,
+                    parameters=_raw_group(_DEF, 4), return_type=filled(_raw_group(_DEF, 6)),
+                )
+            ),
+        )
+        .when(
+            F.col("_kind") == "class",
+            entities(
+                entity(
+                    kind=F.lit("class"), name=F.regexp_extract("code", _CLASS, 2), **block,
+                    bases=filled(_raw_group(_CLASS, 4)),
+                )
+            ),
+        )
+        .when(
+            F.col("_kind") == "import",
+            F.transform(
+                _names(F.regexp_extract("code", _IMPORT, 1)),
+                lambda m: entity(
+                    kind=F.lit("import"), name=m, source_module=m, signature=statement, **span
+                ),
+            ),
+        )
+        .when(
+            F.col("_kind") == "from",
+            entities(
+                entity(
+                    kind=F.lit("import"), name=module, source_module=module, signature=statement,
+                    imported_names=names, is_namespace=F.array_contains(names, "*"), **span,
+                )
+            ),
+        )
+        .when(
+            F.col("_kind") == "variable",
+            entities(
+                entity(
+                    kind=F.lit("variable"), name=F.regexp_extract("code", _ASSIGN, 2), **span,
+                    signature=F.substring_index(statement, "\n", 1),
+                    type_annotation=filled(strip(_raw_group(_ASSIGN, 4))),
+                )
+            ),
+        )
+        .otherwise(entities())
+    )
+    calls = F.transform("calls", lambda c: call_entity(c["line"], c["target"]))
+    # Built in a projection of its own, and exploded as outer
+    # rows: the filter Spark infers for an inner explode would build every array twice.
+    rows = described.withColumn("_rows", F.concat(own_rows, calls)).select(
+        *FILE_KEY, "language", "_sid", F.posexplode_outer("_rows").alias("_n", "_e")
+    ).filter("_e is not null").select(*FILE_KEY, "language", "_sid", "_n", "_e.*")
     nested = with_enclosing(
         rows, FILE_KEY, "start_line", "end_line", F.col("kind").isin("function", "class"),
         ["_sid", "_n"], ["kind", "name"], "_owner",
@@ -226,13 +238,6 @@ def python_entities(lines: DataFrame) -> DataFrame:
         F.when(is_method, "method").otherwise(F.col("kind")).alias("kind"),
         "start_line", "end_line", "signature", "docstring", "parameters", "return_type",
         F.when(is_method, F.col("_owner.name")).alias("parent_name"),
-        "bases", "source_module", "imported_names",
-        F.lit(False).alias("is_default"),
-        F.array_contains("imported_names", "*").alias("is_namespace"),
-        text.alias("export_kind"),
+        "bases", "source_module", "imported_names", "is_default", "is_namespace", "export_kind",
         "call_target", "type_annotation",
     )
-
-
-def _struct_of(df: DataFrame, struct: Column) -> str:
-    return df.select(struct.alias("s")).schema["s"].dataType.simpleString()

@@ -8,7 +8,10 @@ from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.source_text import (
     FILE_KEY,
     SCRIPT_KEYWORDS,
+    call_entity,
     call_targets,
+    entities,
+    entity,
     signature,
     strip,
 )
@@ -53,6 +56,23 @@ def _token_kind(token: Column) -> Column:
     return out
 
 
+def _line_calls() -> Column:
+    """Call targets of a line; the name of a method being defined is not called by it."""
+    code = F.col("code")
+    targets = call_targets(code, SCRIPT_KEYWORDS)
+    defines = code.rlike(_TYPED_SIGNATURE) | (
+        code.rlike(_METHOD_HEAD)
+        & code.rlike(r"\{\s*$")
+        & (F.regexp_count(code, F.lit(r"\(")) == F.regexp_count(code, F.lit(r"\)")))
+    )
+    own_name = F.array(F.regexp_extract("code", _METHOD_HEAD, 1))
+    return (
+        F.when(~code.contains("("), F.array().cast("array<string>"))
+        .when(defines, F.array_except(targets, own_name))
+        .otherwise(targets)
+    )
+
+
 def script_tokens(lines: DataFrame) -> DataFrame:
     """Definition keywords, brackets and statement ends in order, with their nesting.
 
@@ -60,22 +80,43 @@ def script_tokens(lines: DataFrame) -> DataFrame:
     """
     by_line = Window.partitionBy(*FILE_KEY).orderBy("line")
     earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    written = F.trim("raw") != ""
+    onwards = (
+        Window.partitionBy(*FILE_KEY)
+        .orderBy(F.col("line").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    code, written = F.col("code"), F.trim("raw") != ""
     above = F.last(F.when(written, F.struct("comment", "code")), ignorenulls=True).over(earlier)
     prepared = (
         lines.withColumn(
+            "string_line", F.last(F.when(code.contains("~"), F.col("line")), ignorenulls=True).over(onwards)
+        )
+        .withColumn(
             "first3", F.array("raw", F.lead("raw", 1).over(by_line), F.lead("raw", 2).over(by_line))
         )
         .withColumn("_above", above)
         .withColumn(
             "comment_above", F.when(F.trim("_above.code") == "", F.col("_above.comment"))
         )
+        .withColumn("exported", code.rlike(r"^\s*export\b"))
+        .withColumn("calls", _line_calls())
+        .withColumn("_tokens", F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0)))
+        .withColumn("_tokens", F.concat("_tokens", F.array(F.lit(""))))
     )
-    found = F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0))
-    tokens = prepared.select(
-        *FILE_KEY, "language", "line", "raw", "code", "first3", "comment_above",
-        F.posexplode(F.concat(found, F.array(F.lit("")))).alias("idx", "token"),
+    exploded = prepared.select(
+        *FILE_KEY, "language", "line", "raw", "code", "calls", "first3", "comment_above",
+        "exported", "string_line", F.posexplode("_tokens").alias("idx", "token"),
     ).withColumn("kind", F.when(F.col("token") != "", _token_kind(F.col("token"))))
+    # Each column travels only on the kind of row that uses it.
+    text_row, definition = F.col("token") == "", F.col("kind").isNotNull()
+    tokens = exploded.select(
+        *FILE_KEY, "language", "line", "idx", "token", "kind",
+        *[F.when(text_row, F.col(c)).alias(c) for c in ("raw", "code", "calls")],
+        *[
+            F.when(definition, F.col(c)).alias(c)
+            for c in ("first3", "comment_above", "exported", "string_line")
+        ],
+    )
     at = Window.partitionBy(*FILE_KEY).orderBy("line", "idx")
     upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     token = F.col("token")
@@ -106,14 +147,6 @@ def _with_extent(tokens: DataFrame) -> DataFrame:
     following = lambda hit, value: F.last(F.when(hit, value), ignorenulls=True).over(later)
     significant = (token != "") & ~token.isin("(", ")")
     is_definition = F.col("kind").isNotNull()
-    afterwards = (
-        Window.partitionBy(*FILE_KEY)
-        .orderBy(F.col("line").desc(), F.col("idx").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    string_line = F.last(
-        F.when((token == "") & F.col("code").contains("~"), F.col("line")), ignorenulls=True
-    ).over(afterwards)
     ends_statement = (token == ";") | is_definition
     return (
         tokens.withColumn("_next", following(significant, token))
@@ -121,7 +154,6 @@ def _with_extent(tokens: DataFrame) -> DataFrame:
         .withColumn("_close", following(token == "}", F.col("line")))
         .withColumn("_arrow", following(token == "=>", F.col("line")))
         .withColumn("_stop", following(ends_statement, F.struct("token", "line")))
-        .withColumn("_string", string_line)
     )
 
 
@@ -143,7 +175,7 @@ def script_entities(lines: DataFrame) -> DataFrame:
     body_line = (
         F.when(kind.isin("function", "class", "interface", "method"), F.col("_open"))
         .when(is_arrow, F.col("_arrow"))
-        .when(kind.isin("import", "reexport"), F.col("_string"))
+        .when(kind.isin("import", "reexport"), F.col("string_line"))
         .otherwise(line)
     )
     end_line = (
@@ -152,15 +184,17 @@ def script_entities(lines: DataFrame) -> DataFrame:
         .when(is_arrow, F.greatest(statement_end, F.col("_arrow")))
         .when((kind == "binding") & (F.col("_next") == "{"), F.col("_close"))
         .when((kind == "type_alias") & (F.col("_next") == "{"), F.col("_close"))
-        .when(kind.isin("import", "reexport"), F.col("_string"))
+        .when(kind.isin("import", "reexport"), F.col("string_line"))
         .otherwise(statement_end)
     )
     extents = (
         marked.withColumn("kind", F.when(valid, refined))
         .withColumn("end_line", F.coalesce(end_line, line).cast("int"))
         .withColumn("body_line", F.coalesce(body_line, line))
-        .drop("_next", "_open", "_close", "_arrow", "_stop", "_string")
+        .drop("_next", "_open", "_close", "_arrow", "_stop", "string_line")
     )
+    text_row = F.col("token") == ""
+    extents = extents.filter(F.col("kind").isNotNull() | text_row)
     # Header text: the lines from a definition to its body, gathered per definition.
     at = Window.partitionBy(*FILE_KEY).orderBy("line", "idx")
     upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -175,40 +209,58 @@ def script_entities(lines: DataFrame) -> DataFrame:
         .orderBy("line", "idx")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    text_row = F.col("token") == ""
     headed = headed.withColumn(
-        "_head_raw", F.array_join(F.collect_list(F.when(text_row, F.col("raw"))).over(whole_head), "\n")
+        "_head_raw", F.array_join(F.collect_list(F.when(text_row & F.col("_in_head"), F.col("raw"))).over(whole_head), "\n")
     ).withColumn(
-        "_head_code", F.array_join(F.collect_list(F.when(text_row, F.col("code"))).over(whole_head), "\n")
+        "_head_code", F.array_join(F.collect_list(F.when(text_row & F.col("_in_head"), F.col("code"))).over(whole_head), "\n")
     )
-    return _describe(headed)
+    return _describe(headed.filter(F.col("kind").isNotNull() | (F.size("calls") > 0)))
 
 
 def _describe(headed: DataFrame) -> DataFrame:
     kind, raw, code = F.col("kind"), F.col("_head_raw"), F.col("_head_code")
-    text = F.lit(None).cast("string")
     filled = lambda c: F.nullif(c, F.lit(""))
-    token_name = F.lit("")
-    for pattern in (_METHOD, _BINDING, _TYPE, _INTERFACE, _CLASS, _FUNCTION):
-        token_name = F.coalesce(filled(F.regexp_extract("token", pattern, 1)), token_name)
+    none = F.array().cast("array<string>")
+    is_import = kind.isin("import", "reexport")
+    is_callable = kind.isin("function", "arrow", "method")
+    name = F.when(kind == "function", F.regexp_extract("token", _FUNCTION, 1))
+    for k, pattern in (
+        ("class", _CLASS), ("interface", _INTERFACE), ("type_alias", _TYPE), ("arrow", _BINDING),
+        ("variable", _BINDING), ("method", _METHOD),
+    ):
+        name = name.when(kind == k, F.regexp_extract("token", pattern, 1))
     quoted = F.regexp_extract_all(raw, F.lit(r"""["']([^"'\n]*)["']"""), F.lit(1))
-    module = F.try_element_at(quoted, F.lit(-1))
-    clause = F.regexp_extract(code, r"(?s)\bimport\s+(?:type\s+)?(.*?)(?:\bfrom\b|$)", 1)
-    named = F.regexp_extract(clause, r"(?s)\{(.*)\}", 1)
+    lines = F.col("end_line") - F.col("line") + 1
+    comment = strip(F.rtrim(F.ltrim(F.col("comment_above"), F.lit("/*")), F.lit("*/")))
+    headed = (
+        headed.withColumn("_name", name)
+        .withColumn("_module", F.when(is_import, F.try_element_at(quoted, F.lit(-1))))
+        .withColumn(
+            "_clause",
+            F.when(
+                kind == "import",
+                F.regexp_extract(code, r"(?s)\bimport\s+(?:type\s+)?(.*?)(?:\bfrom\b|$)", 1),
+            ),
+        )
+        .withColumn("_default", F.regexp_extract("_clause", rf"^\s*({_NAME})\s*(?:,|$|\s)", 1))
+        .withColumn("_named", F.regexp_extract("_clause", r"(?s)\{(.*)\}", 1))
+        .withColumn("_params", F.when(is_callable, _parameters(code, raw)))
+        .withColumn("_sign", F.when(~is_import, signature(F.col("first3"), lines)))
+        .withColumn("_has_source", F.when(is_import, raw.rlike(r"(?s)\bfrom\s*[\"']")))
+    )
+    token_name, module, clause, default = (
+        F.col("_name"), F.col("_module"), F.col("_clause"), F.col("_default"),
+    )
     named_list = F.filter(
         F.transform(
-            F.split(named, ","), lambda n: F.regexp_extract(n, rf"^\s*(?:type\s+)?({_NAME})", 1)
+            F.split("_named", ","), lambda n: F.regexp_extract(n, rf"^\s*(?:type\s+)?({_NAME})", 1)
         ),
         lambda n: n != "",
     )
-    default = F.regexp_extract(clause, rf"^\s*({_NAME})\s*(?:,|$|\s)", 1)
     imported = F.when(default != "", F.concat(named_list, F.array(default))).otherwise(named_list)
-    none = F.array().cast("array<string>")
-    exported = F.col("code").rlike(r"^\s*export\b")
+    exported, params, has_source = F.col("exported"), F.col("_params"), F.col("_has_source")
     ahead = r"^\s*(?:export\s+(?:default\s+)?)?(?:declare\s+)?"
-    lines = F.col("end_line") - F.col("line") + 1
-    sign = F.regexp_replace(signature(F.col("first3"), lines), ahead, "")
-    params = _parameters(code, raw)
+    sign = F.regexp_replace("_sign", ahead, "")
     returned = filled(
         strip(
             F.regexp_extract(
@@ -218,77 +270,53 @@ def _describe(headed: DataFrame) -> DataFrame:
             )
         )
     )
-    is_callable = kind.isin("function", "arrow", "method")
     bases = strip(F.regexp_extract(code, r"(?s)\bextends\s+([\w$.]+)", 1))
-    comment = strip(F.rtrim(F.ltrim(F.col("comment_above"), F.lit("/*")), F.lit("*/")))
-    own = F.struct(
-        F.when(kind == "reexport", "export").otherwise(kind).alias("kind"),
-        F.col("line").alias("start_line"),
-        F.col("end_line").alias("end_line"),
-        F.when(kind.isin("import", "reexport"), module).otherwise(token_name).alias("name"),
-        F.when(kind.isin("import", "reexport"), strip(raw))
-        .when(kind == "variable", F.substring_index(sign, "\n", 1))
-        .otherwise(sign)
-        .alias("signature"),
-        F.when(kind.isin("function", "class", "method"), comment).alias("docstring"),
-        F.when(is_callable, params["text"]).alias("parameters"),
-        F.when(is_callable, returned).alias("return_type"),
-        F.when(kind == "class", filled(bases)).alias("bases"),
-        F.when(kind.isin("import", "reexport"), module).alias("source_module"),
-        F.when(kind == "import", imported).otherwise(none).alias("imported_names"),
-        ((kind == "import") & (default != "")).alias("is_default"),
-        ((kind == "import") & clause.contains("*")).alias("is_namespace"),
-        F.when(kind == "reexport", "re-export").alias("export_kind"),
-        text.alias("call_target"),
-        F.when(
-            kind == "variable",
-            filled(strip(F.regexp_extract("token", r"(?s)(:.*)=$", 1))),
-        ).alias("type_annotation"),
-    )
-    export = (
-        own.withField("kind", F.lit("export"))
-        .withField("export_kind", F.lit("named"))
-        .withField("docstring", text)
-        .withField("signature", signature(F.col("first3"), lines))
-    )
-    calls = F.transform(
-        F.when(
-            F.col("token") == "",
-            # The name of a method definition is not called by it.
-            F.when(
-                F.col("code").rlike(_TYPED_SIGNATURE)
-                | (
-                    F.col("code").rlike(_METHOD_HEAD)
-                    & F.col("code").rlike(r"\{\s*$")
-                    & (F.regexp_count("code", F.lit(r"\(")) == F.regexp_count("code", F.lit(r"\)")))
-                ),
-                F.array_except(
-                    call_targets(F.col("code"), SCRIPT_KEYWORDS),
-                    F.array(F.regexp_extract("code", _METHOD_HEAD, 1)),
-                ),
-            ).otherwise(call_targets(F.col("code"), SCRIPT_KEYWORDS)),
-        ).otherwise(none),
-        lambda t: own.withField("kind", F.lit("call"))
-        .withField("end_line", F.col("line"))
-        .withField("name", F.regexp_extract(t, r"([^.]*)$", 1))
-        .withField("call_target", t)
-        .withField("signature", F.lit("")),
-    )
-    empty = F.array().cast(f"array<{_struct_of(headed, own)}>")
-    is_reexport = raw.rlike(r"(?s)\bfrom\s*[\"']")
-    rows = F.concat(
-        F.when(kind.isNull(), empty)
-        .when(kind == "reexport", F.when(is_reexport, F.array(own)).otherwise(empty))
-        .when(kind == "import", F.when(clause.rlike(r"\S") & is_reexport, F.array(own)).otherwise(empty))
-        .when(exported & (kind != "method") & (F.col("idx") == 0), F.array(own, export))
-        .otherwise(F.array(own)),
-        calls,
-    )
-    entities = headed.select(
-        *FILE_KEY, "language", "line", "idx", "level", F.posexplode(rows).alias("_n", "_e")
-    ).select(*FILE_KEY, "language", "idx", "level", "_n", "_e.*")
+    span = {"start_line": F.col("line"), "end_line": F.col("end_line")}
+    callable_own = entity(
+        kind=kind, name=token_name, **span, signature=sign, parameters=params["text"],
+        return_type=returned,
+        docstring=F.when(kind != "arrow", comment),
+    )
+    class_own = entity(kind=kind, name=token_name, **span, signature=sign, docstring=comment, bases=filled(bases))
+    plain_own = entity(kind=kind, name=token_name, **span, signature=sign)
+    variable_own = entity(
+        kind=kind, name=token_name, **span, signature=F.substring_index(sign, "\n", 1),
+        type_annotation=filled(strip(F.regexp_extract("token", r"(?s)(:.*)=$", 1))),
+    )
+    import_own = entity(
+        kind=kind, name=module, **span, signature=strip(raw), source_module=module,
+        imported_names=imported, is_default=default != "", is_namespace=clause.contains("*"),
+    )
+    reexport_own = entity(
+        kind=F.lit("export"), name=module, **span, signature=strip(raw), source_module=module,
+        export_kind=F.lit("re-export"),
+    )
+    export = entity(
+        kind=F.lit("export"), name=token_name, **span, signature=F.col("_sign"),
+        export_kind=F.lit("named"),
+    )
+    calls = F.transform(F.coalesce("calls", none), lambda t: call_entity(F.col("line"), t))
+    own = (
+        F.when(kind.isin("function", "arrow", "method"), entities(callable_own))
+        .when(kind == "class", entities(class_own))
+        .when(kind == "variable", entities(variable_own))
+        .when(kind == "reexport", F.when(has_source, entities(reexport_own)).otherwise(entities()))
+        .when(
+            kind == "import",
+            F.when(clause.rlike(r"\S") & has_source, entities(import_own)).otherwise(entities()),
+        )
+        .when(kind.isNotNull(), entities(plain_own))
+        .otherwise(entities())
+    )
+    is_exported = (
+        exported & (F.col("idx") == 0) & kind.isNotNull() & ~kind.isin("method", "import", "reexport")
+    )
+    rows = F.concat(own, F.when(is_exported, entities(export)).otherwise(entities()), calls)
+    found = headed.withColumn("_rows", rows).select(
+        *FILE_KEY, "language", "idx", "level", F.posexplode_outer("_rows").alias("_n", "_e")
+    ).filter("_e is not null").select(*FILE_KEY, "language", "idx", "level", "_n", "_e.*")
     nested = with_enclosing(
-        entities, FILE_KEY, "start_line", "end_line", F.col("kind") == "class",
+        found, FILE_KEY, "start_line", "end_line", F.col("kind") == "class",
         ["idx", "_n"], ["name", "level"], "_owner",
     )
     in_class = F.col("level") == F.col("_owner.level") + 1
@@ -339,7 +367,3 @@ def _parameters(code: Column, raw: Column) -> Column:
     return F.struct(
         F.substring(raw, first + 1, inside).alias("text"), (first + inside).alias("stop")
     )
-
-
-def _struct_of(df: DataFrame, struct: Column) -> str:
-    return df.select(struct.alias("s")).schema["s"].dataType.simpleString()

@@ -120,8 +120,10 @@ def source_lines(files: DataFrame) -> DataFrame:
         F.split("code", "\n").alias("code"),
         F.col("comments").alias("comment"),
     )
+    # A fixed number: the work per byte is high, so small exchanges must not be coalesced.
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        masked.repartition(*FILE_KEY)
+        masked.repartition(partitions, *FILE_KEY)
         .select(*FILE_KEY, "language", F.posexplode(zipped).alias("_n", "_line"))
         .select(
             *FILE_KEY, "language", (F.col("_n") + 1).alias("line"),
@@ -171,3 +173,55 @@ def call_targets(code: Column, keywords: list[str]) -> Column:
     )
     words = F.array(*[F.lit(w) for w in keywords])
     return F.concat(F.array_except(plain, words), F.array_distinct(dotted))
+
+
+# Columns every extractor fills; absent ones are null.
+_ENTITY_FIELDS = {
+    "kind": "string",
+    "start_line": "int",
+    "end_line": "int",
+    "name": "string",
+    "signature": "string",
+    "docstring": "string",
+    "parameters": "string",
+    "return_type": "string",
+    "bases": "string",
+    "source_module": "string",
+    "imported_names": "array<string>",
+    "is_default": "boolean",
+    "is_namespace": "boolean",
+    "export_kind": "string",
+    "call_target": "string",
+    "type_annotation": "string",
+}
+_ENTITY_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in _ENTITY_FIELDS.items()) + ">"
+
+
+def entity(**values: Column) -> Column:
+    """Entity struct with the given fields."""
+    defaults = {
+        "signature": F.lit(""),
+        "imported_names": F.array(),
+        "is_default": F.lit(False),
+        "is_namespace": F.lit(False),
+    }
+    return F.struct(
+        *[
+            values.get(name, defaults.get(name, F.lit(None))).cast(kind).alias(name)
+            for name, kind in _ENTITY_FIELDS.items()
+        ]
+    )
+
+
+def entities(*items: Column) -> Column:
+    return F.array(*items).cast(f"array<{_ENTITY_TYPE}>")
+
+
+def call_entity(line: Column, target: Column) -> Column:
+    return entity(
+        kind=F.lit("call"),
+        start_line=line,
+        end_line=line,
+        name=F.regexp_extract(target, r"([^.]*)$", 1),
+        call_target=target,
+    ).cast(_ENTITY_TYPE)
