@@ -260,7 +260,7 @@ PART_NODES_SQL = """
 
 def _part_nodes(spark, folder):
     none = F.lit(None).cast("string")
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         F.col("p_partkey").alias("id"),
         F.lit("parts").alias("repo_id"),
         F.lit("CodeFunction").alias("type"),

@@ -47,7 +47,7 @@ def entity_rows(entities: DataFrame) -> DataFrame:
 def file_summaries(entities: DataFrame) -> DataFrame:
     """Structural summary text per file: names by kind, first ten distinct modules."""
     in_order = lambda kinds, value: F.transform(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.when(F.col("kind").isin(*kinds), F.struct("ordinal", F.col(value).alias("v")))
             )

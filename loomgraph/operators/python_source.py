@@ -55,7 +55,7 @@ def logical_lines(lines: DataFrame) -> DataFrame:
         .withColumn("_sid", F.sum(F.col("_starts").cast("int")).over(by_line.rowsBetween(*running)))
         .filter("_sid > 0")
     )
-    parts = F.array_sort(F.collect_list(F.struct("line", "raw", "code", "_calls")))
+    parts = F.sort_array(F.collect_list(F.struct("line", "raw", "code", "_calls")))
     grouped = numbered.groupBy(*FILE_KEY, "language", "_sid").agg(
         F.min("line").alias("start_line"),
         F.max(F.when(F.trim("code") != "", F.col("line"))).alias("stop"),

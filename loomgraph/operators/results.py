@@ -52,7 +52,7 @@ def sparse_json() -> Column:
 
 def envelope(results: DataFrame) -> DataFrame:
     """``{results, total, query}`` per question. Result lists are cut to top-k before."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", sparse_json().alias("json"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", sparse_json().alias("json"))))
     return results.groupBy("query_id", "query_text").agg(
         F.transform(ordered, lambda r: r["json"]).alias("results"),
         F.count(F.lit(1)).alias("total"),
@@ -69,7 +69,7 @@ def index_report(counters: DataFrame, errors: DataFrame | None = None) -> DataFr
     kept = top_k(errors, ["repo_id"], [F.col("file_path"), F.col("message")], ERROR_LIMIT, "file_path")
     listed = kept.groupBy("repo_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("file_path", "message"))), lambda e: e["message"]
+            F.sort_array(F.collect_list(F.struct("file_path", "message"))), lambda e: e["message"]
         ).alias("errors")
     )
     return report.join(listed, "repo_id", "left").withColumn(

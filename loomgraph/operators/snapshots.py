@@ -73,7 +73,7 @@ def staleness(differences: DataFrame, stored_totals: DataFrame | None = None) ->
     )
     preview = listed.groupBy("repo_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_rank", "file_path"))),
+            F.sort_array(F.collect_list(F.struct("_rank", "file_path"))),
             lambda r: r["file_path"],
         ).alias("preview")
     )

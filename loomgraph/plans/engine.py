@@ -67,7 +67,7 @@ class Engine:
         wanted = repo_id(path)
         languages = snapshots.language_counts(self.store.current("file_state", [wanted]))
         listed = languages.groupBy("repo_id").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "files")))).alias("languages")
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "files")))).alias("languages")
         )
         row = self.spark.createDataFrame([(wanted,)], "repo_id string")
         return (
