@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.catalog.registry import query
 from loomgraph.operators import graph
+from loomgraph.operators.results import flatten_properties
 from loomgraph.operators.upsert import merge_latest
 from loomgraph.sources.tables import table
 
@@ -196,3 +197,13 @@ def edge_upsert(spark, folder):
         rows, ["from_id", "to_id", "relationship_name"],
         ["_at", "l_orderkey", "l_linenumber", "_w"], "created_at", "updated_at",
     )
+
+
+@query(
+    "node_properties",
+    "select event_id, event_type, (props->>'$.k')::bigint as k, props->>'$.missing' as missing from events",
+)
+def node_properties(spark, folder):
+    """JSON properties of nodes as columns; absent keys are null."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", "props")
+    return flatten_properties(rows, "props", {"k": "bigint", "missing": "string"})

@@ -118,7 +118,7 @@ DOCS_SQL = """
         from documents)"""
 
 
-def search_sql(limit: int, template: str = "text", tail: str = "", fetch: str = "") -> str:
+def search_sql(limit: int, template: str = "text", tail: str = "", collections: str = "0, 1") -> str:
     """SQL of the whole chain: two collections, cuts per repository, dedup, final cut."""
     return f"""
     with {DOCS_SQL},
@@ -138,7 +138,8 @@ def search_sql(limit: int, template: str = "text", tail: str = "", fetch: str =
     scored as (
         select a.id as query_id, d.repo_id, s.collection, s.id,
             round(1 - coalesce(dots.dot / (qn.len * sn.len), 0), 6) + 0.0 as distance
-        from asked a cross join stored s join docs d on d.id = s.id
+        from asked a cross join (select * from stored where collection in ({collections})) s
+        join docs d on d.id = s.id
         left join dots on dots.query_id = a.id and dots.collection = s.collection and dots.id = s.id
         left join qn on qn.id = a.id
         left join sn on sn.collection = s.collection and sn.id = s.id),
@@ -209,6 +210,12 @@ def semantic_search(spark, folder):
     return _results(search.semantic_search(*_corpus(spark, folder)))
 
 
+@query("quick_search", search_sql(10, "text", f"select {RESULT_SQL} from found", collections="1"))
+def quick_search(spark, folder):
+    """The same search over the short list of collections: no paths."""
+    return _results(search.quick_search(*_corpus(spark, folder)))
+
+
 @query(
     "dependencies_by_meaning",
     search_sql(20, "'imports dependencies of ' || text", f"select {RESULT_SQL} from found"),

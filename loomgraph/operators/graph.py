@@ -62,12 +62,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reachable(
-    edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False, cut_every: int = 4
+    edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
 ) -> DataFrame:
     """Nodes within ``depth`` hops of each start, with the smallest hop count.
 
     Each round joins only the newest frontier and drops what is already known,
-    so a cycle ends the walk. Lineage is cut in the shared checkpoint folder.
+    so a cycle ends the walk. Every frontier is written to the shared checkpoint
+    folder once: later rounds and the result read it, none is computed twice.
     """
     here, there = ("to_id", "from_id") if reverse else ("from_id", "to_id")
     step = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
@@ -75,6 +76,9 @@ def reachable(
         F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth")
     ).distinct()
     frontier = known
+    if depth > 1:
+        step, known = cut_lineage(step), cut_lineage(known)
+        frontier = known
     for hop in range(1, depth + 1):
         found = (
             frontier.join(step, "node")
@@ -83,12 +87,10 @@ def reachable(
             .join(known.select("start", "node"), ["start", "node"], "left_anti")
             .withColumn("depth", F.lit(hop))
         )
-        if hop % cut_every == 0 and hop < depth:
+        if hop < depth:
             found = cut_lineage(found)
             if found.isEmpty():
                 break
         known = known.unionByName(found)
-        if hop % cut_every == 0 and hop < depth:
-            known = cut_lineage(known)
         frontier = found
     return known

@@ -31,16 +31,13 @@ def keep_matches_or_all(df: DataFrame, keys: list[str], matched: Column) -> Data
     """Per question: the matching rows, or every row when none matches.
 
     One aggregate and one join on the question; question result sets are
-    already cut to a fixed size here.
+    already cut to a fixed size here. Without keys ``df`` is one result set, and
+    a job that stops at the first match decides.
     """
     flagged = df.withColumn("_hit", F.coalesce(matched, F.lit(False)))
     if not keys:
-        any_hit = flagged.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_any"))
-        return (
-            flagged.join(F.broadcast(any_hit))  # a single row by construction
-            .filter(F.col("_hit") | ~F.col("_any"))
-            .drop("_hit", "_any")
-        )
+        hits = flagged.filter("_hit").drop("_hit")
+        return df if hits.isEmpty() else hits
     any_hit = flagged.groupBy(*keys).agg(F.bool_or("_hit").alias("_any"))
     return (
         flagged.join(any_hit, keys).filter(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any")

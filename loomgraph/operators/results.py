@@ -75,3 +75,12 @@ def index_report(counters: DataFrame, errors: DataFrame | None = None) -> DataFr
     return report.join(listed, "repo_id", "left").withColumn(
         "errors", F.coalesce("errors", F.array().cast("array<string>"))
     )
+
+
+def flatten_properties(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """JSON object of ``column`` as typed columns; unreadable JSON gives nulls."""
+    ddl = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    parsed = F.from_json(column, ddl, {"mode": "PERMISSIVE"})
+    return df.withColumn("_p", parsed).select(
+        *[c for c in df.columns if c != column], *[F.col(f"_p.{n}").alias(n) for n in fields]
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,10 @@ from loomgraph.plans import search
 from loomgraph.plans.store import CodeStore
 from loomgraph.schema import TOOL_CALLS, conform
 from loomgraph.settings import Settings
+from loomgraph.sources.repo_changes import stream_changes
 from loomgraph.sources.repo_files import read_repositories, repo_id
 from loomgraph.sources.skills import parse_skills, read_documents, valid_skills
+from loomgraph.streaming.watch import Watchers
 
 
 class Engine:
@@ -33,6 +36,7 @@ class Engine:
         self.settings = settings or Settings.from_env()
         self.embed = embed or hash_embedder(self.settings.embedding_dim)
         self.store = CodeStore(spark, self.settings.data_dir)
+        self.watchers = Watchers()
         self.active: str | None = None
 
     # --- indexing ---------------------------------------------------------------
@@ -55,6 +59,19 @@ class Engine:
     def refresh_index(self, path: str | list[str] | None = None) -> DataFrame:
         return self.index_repository(path or self._require_active(), incremental=True)
 
+    def watch(self, path: str, **trigger):
+        """Refresh ``path`` after each burst of changes; a second call returns the running query."""
+        changes = stream_changes(self.spark, [path])
+        folder = f"{self.store.root}/watch/{repo_id(path)}-{uuid.uuid4().hex}"
+        refresh = lambda repos: self.refresh_index(path)
+        return self.watchers.start(
+            repo_id(path), changes, refresh, folder, self.settings.debounce_seconds, **trigger
+        )
+
+    def unwatch(self, path: str | None = None) -> int:
+        """Stop watching one repository or all; returns how many were stopped."""
+        return self.watchers.stop_all() if path is None else int(self.watchers.stop(repo_id(path)))
+
     def cancel_indexing(self) -> dict:
         stopped = indexing.cancel_indexing(self.spark)
         return {"status": "cancelling" if stopped else "idle"}

@@ -26,6 +26,12 @@ TABLES = {
     "repo_state": REPO_STATE,
     "tool_calls": TOOL_CALLS,
 }
+SORTED_BY = {
+    "nodes": ["id"],
+    "edges": ["from_id"],
+    "vectors": ["collection", "id"],
+    "file_state": ["file_path"],
+}
 SNAPSHOT_TABLES = ("nodes", "edges", "vectors", "file_state")
 
 
@@ -39,7 +45,10 @@ class CodeStore:
     def _read(self, table: str) -> DataFrame:
         ddl = TABLES[table] + (", snapshot string" if table in SNAPSHOT_TABLES else "")
         try:
-            return self.spark.read.schema(ddl).parquet(self.path(table))
+            # A damaged usage log counts as empty; every other table must be whole.
+            tolerant = str(table == "tool_calls").lower()
+            reader = self.spark.read.schema(ddl).option("ignoreCorruptFiles", tolerant)
+            return reader.parquet(self.path(table))
         except Exception as error:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -54,24 +63,38 @@ class CodeStore:
     def current(self, table: str, repo_ids: list[str] | None = None) -> DataFrame:
         """Rows of the current snapshots, optionally of some repositories only.
 
-        Both conditions are on partition columns, so only those folders are read;
-        without a repository list the pointer join prunes them at run time.
+        Named repositories are read from their own folders, without listing the
+        rest of the table. For all of them the join with the pointers (one row
+        per repository, on partition columns) prunes folders at run time.
         """
-        rows = self._read(table)
         pointers = self.repo_state().select("repo_id", "snapshot")
         if repo_ids is None:
-            return rows.join(pointers, ["repo_id", "snapshot"]).drop("snapshot")
-        found = pointers.filter(F.col("repo_id").isin(*repo_ids)).collect()  # one row per named repo
-        chosen = F.lit(False)
-        for row in found:
-            chosen = chosen | ((F.col("repo_id") == row.repo_id) & (F.col("snapshot") == row.snapshot))
-        return rows.filter(chosen).drop("snapshot")
+            return self._read(table).join(pointers, ["repo_id", "snapshot"]).drop("snapshot")
+        ddl = f"{TABLES[table]}, snapshot string"
+        rows = self.spark.createDataFrame([], ddl)
+        for row in pointers.filter(F.col("repo_id").isin(*repo_ids)).collect():  # named ones only
+            folder = f"{self.path(table)}/repo_id={row.repo_id}/snapshot={row.snapshot}"
+            try:
+                found = (
+                    self.spark.read.schema(ddl).option("basePath", self.path(table)).parquet(folder)
+                )
+            except Exception as error:  # a repository without rows in this table
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+                continue
+            rows = rows.unionByName(found)
+        return rows.drop("snapshot")
 
     def write_snapshot(self, table: str, rows: DataFrame, snapshot: str) -> None:
-        """Write rows under a new snapshot name, evenly sized however uneven the repositories."""
+        """Write rows under a new snapshot name.
+
+        Rebalancing gives even files however uneven the repositories are; the
+        order inside a file lets lookups skip row groups.
+        """
         (
             rows.withColumn("snapshot", F.lit(snapshot))
             .hint("rebalance", "repo_id")
+            .sortWithinPartitions("repo_id", *SORTED_BY[table])
             .write.mode("append")
             .partitionBy("repo_id", "snapshot")
             .parquet(self.path(table))

@@ -54,3 +54,28 @@ def test_start_is_idempotent_and_stop_reports(spark, tmp_path):
     assert watchers.start("repo", stream, lambda repos: None, str(tmp_path / "ck2")) is first
     assert watchers.stop("repo") is True and watchers.stop("repo") is False
     assert not first.isActive and watchers.stop_all() == 0
+
+
+def test_watching_a_tree(spark, tmp_path, write_tree):
+    import time
+
+    root = write_tree({"a.py": "x = 1\n", "b.py": "y = 1\n"})
+    engine = Engine(spark, Settings(data_dir=str(tmp_path / "data")))
+    engine.index_repository(str(root))
+    query = engine.watch(str(root), processingTime="1 second")
+    assert engine.watch(str(root)) is query
+    try:
+        begin = time.time()
+        step = 0
+        # Later changes move the watermark past the first burst.
+        while time.time() - begin < 120:
+            (root / "a.py").write_text(f"def added(): return {step}\n")
+            step += 1
+            time.sleep(4)
+            if ("added",) in {(r.name,) for r in engine.store.current("nodes").collect()}:
+                break
+        names = {r.name for r in engine.store.current("nodes").collect()}
+        assert "added" in names and query.exception() is None
+    finally:
+        assert engine.unwatch(str(root)) == 1
+    assert engine.unwatch() == 0
