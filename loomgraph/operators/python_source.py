@@ -33,26 +33,35 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     by_line = Window.partitionBy(*FILE_KEY).orderBy("line")
     code = F.col("code")
     keyword = code.rlike(r"^\s*(?:async\s+def|def|class|import)\s+\w")
-    running = [Window.unboundedPreceding, Window.currentRow]
-    shaped = lines.withColumn(
-        "_delta",
-        F.regexp_count(code, F.lit(r"[(\[{]")) - F.regexp_count(code, F.lit(r"[)\]}]")),
-    ).withColumn("_segment", F.sum(keyword.cast("int")).over(by_line.rowsBetween(*running)))
-    in_segment = Window.partitionBy(*FILE_KEY, "_segment").orderBy("line").rowsBetween(*running)
-    has_code = F.trim(code) != ""
+    upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
+    delta = F.regexp_count(code, F.lit(r"[(\[{]")) - F.regexp_count(code, F.lit(r"[)\]}]"))
+    # Open brackets before a line, counted from the last definition keyword on. All
+    # windows of this step share one order, so the lines are sorted once.
+    shaped = (
+        lines.withColumn("_keyword", keyword)
+        .withColumn("_open", F.coalesce(F.sum(delta).over(earlier), F.lit(0)))
+        .withColumn("_base", F.last(F.when(F.col("_keyword"), F.col("_open")), ignorenulls=True).over(upto))
+    )
     starts = (
-        has_code
-        & (F.sum("_delta").over(in_segment) - F.col("_delta") <= 0)
+        (F.trim(code) != "")
+        & (F.col("_open") - F.coalesce("_base", F.lit(0)) <= 0)
         & ~code.startswith("`")
         & ~F.coalesce(F.lag("code").over(by_line).endswith("\\"), F.lit(False))
     )
     numbered = (
-        shaped.withColumn("_starts", keyword | starts)
+        shaped.withColumn("_starts", F.col("_keyword") | starts)
         .withColumn(
             "_first3", F.array("raw", F.lead("raw", 1).over(by_line), F.lead("raw", 2).over(by_line))
         )
-        .withColumn("_calls", call_targets(code, PYTHON_KEYWORDS))
-        .withColumn("_sid", F.sum(F.col("_starts").cast("int")).over(by_line.rowsBetween(*running)))
+        .withColumn(
+            "_calls",
+            F.transform(
+                call_targets(code, PYTHON_KEYWORDS),
+                lambda t: F.struct(F.col("line").alias("line"), t.alias("target")),
+            ),
+        )
+        .withColumn("_sid", F.sum(F.col("_starts").cast("int")).over(upto))
         .filter("_sid > 0")
     )
     parts = F.sort_array(F.collect_list(F.struct("line", "raw", "code", "_calls")))
@@ -62,20 +71,14 @@ def logical_lines(lines: DataFrame) -> DataFrame:
         F.min_by("_first3", "line").alias("first3"),
         parts.alias("_parts"),
     )
-    kept = F.filter("_parts", lambda p: p["line"] <= F.col("stop"))
-    calls = F.flatten(
-        F.transform(
-            "_parts",
-            lambda p: F.transform(
-                p["_calls"], lambda t: F.struct(p["line"].alias("line"), t.alias("target"))
-            ),
-        )
+    lines_of = lambda field: F.array_join(
+        F.slice(F.col(f"_parts.{field}"), F.lit(1), F.col("stop") - F.col("start_line") + 1), "\n"
     )
     indent = F.regexp_extract(F.replace(F.col("code"), F.lit("\t"), F.lit(" " * 8)), r"^( *)", 1)
     return (
-        grouped.withColumn("raw", F.array_join(F.transform(kept, lambda p: p["raw"]), "\n"))
-        .withColumn("code", F.array_join(F.transform(kept, lambda p: p["code"]), "\n"))
-        .withColumn("calls", calls)
+        grouped.withColumn("raw", lines_of("raw"))
+        .withColumn("code", lines_of("code"))
+        .withColumn("calls", F.flatten("_parts._calls"))
         .withColumn("indent", F.length(indent))
         .drop("_parts")
     )

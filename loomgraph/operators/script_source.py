@@ -66,11 +66,8 @@ def _line_calls() -> Column:
         & (F.regexp_count(code, F.lit(r"\(")) == F.regexp_count(code, F.lit(r"\)")))
     )
     own_name = F.array(F.regexp_extract("code", _METHOD_HEAD, 1))
-    return (
-        F.when(~code.contains("("), F.array().cast("array<string>"))
-        .when(defines, F.array_except(targets, own_name))
-        .otherwise(targets)
-    )
+    listed = F.when(code.contains("(") & defines, F.array_except(targets, own_name))
+    return listed.otherwise(targets)
 
 
 def script_tokens(lines: DataFrame) -> DataFrame:

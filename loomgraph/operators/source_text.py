@@ -172,7 +172,8 @@ def call_targets(code: Column, keywords: list[str]) -> Column:
         F.lit(1),
     )
     words = F.array(*[F.lit(w) for w in keywords])
-    return F.concat(F.array_except(plain, words), F.array_distinct(dotted))
+    none = F.array().cast("array<string>")
+    return F.when(code.contains("("), F.concat(F.array_except(plain, words), F.array_distinct(dotted))).otherwise(none)
 
 
 # Columns every extractor fills; absent ones are null.
