@@ -35,7 +35,7 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     keyword = code.rlike(r"^\s*(?:async\s+def|def|class|import)\s+\w")
     upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    delta = F.regexp_count(code, F.lit(r"[(\[{]")) - F.regexp_count(code, F.lit(r"[)\]}]"))
+    delta = F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", ""))
     # Open brackets before a line, counted from the last definition keyword on. All
     # windows of this step share one order, so the lines are sorted once.
     shaped = (

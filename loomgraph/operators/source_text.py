@@ -13,6 +13,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from loomgraph.session import work_partitions
+
 FILE_KEY = ["repo_id", "file_path"]
 
 # Blanked text: '~' stands for string characters, '`' for those after a line
@@ -120,10 +122,8 @@ def source_lines(files: DataFrame) -> DataFrame:
         F.split("code", "\n").alias("code"),
         F.col("comments").alias("comment"),
     )
-    # A fixed number: the work per byte is high, so small exchanges must not be coalesced.
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        masked.repartition(partitions, *FILE_KEY)
+        masked.repartition(work_partitions(files.sparkSession), *FILE_KEY)
         .select(*FILE_KEY, "language", F.posexplode(zipped).alias("_n", "_line"))
         .select(
             *FILE_KEY, "language", (F.col("_n") + 1).alias("line"),

@@ -72,6 +72,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partition count for work whose cost is far above its size in bytes.
+
+    That is ``spark.sql.shuffle.partitions``, fixed so that adaptive execution does
+    not coalesce it; on one machine no more than four per core.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        partitions = min(partitions, 4 * context.defaultParallelism)
+    return partitions
+
+
 def top_k_salts(spark: SparkSession, settings: Settings | None = None) -> int:
     """How many slices a top-k group is split into before its final merge.
 
