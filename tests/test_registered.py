@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, db, name):
 
 def test_entry_points_agree():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(entry_points.queries()) == set(REGISTERED)
+    assert set(REGISTERED) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", ["search_code_text", "node_upsert", "debounce_sessions", "enclosing_smallest"])
