@@ -1,7 +1,8 @@
 """A corpus from raw documents: filter, deduplicate, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and returns documents; its result is written and
-read again as the next stage's input.
+read again as the next stage's input. A stage decides on doc_id: where ids repeat, the
+rows of one id stay or go together. Null ids never go for being someone's copy.
 """
 
 from __future__ import annotations
@@ -9,24 +10,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.common import documents, saved
+from loomgraph.llm.contamination import leaks
+from loomgraph.llm.mixing import mixed
 from loomgraph.llm.near import near_duplicates
+from loomgraph.llm.risk import quality_verdicts
+from loomgraph.llm.sharding import sharded
+from loomgraph.sources.tables import table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or a certified cutoff."""
+    return _without(docs, quality_verdicts(docs, table(spark, sf_dir, "labels")).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates."""
-    verdict = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = mixed(docs).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard."""
+    return sharded(docs).drop("grown_shard")
 
 
 STAGES = [
+    ("quality rules", drop_low_quality),
     ("near duplicates", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+    ("sharding", shard),
 ]
 
-#: No SQL: signatures, certified cutoffs and tilted rates have none; see tests/llm.
+#: No SQL: certified cutoffs, similarity components and tilted rates; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents table, with the column shard."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))

@@ -8,7 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from loomgraph.llm.common import documents
+from loomgraph.llm.contamination import leaks
+from loomgraph.llm.mixing import mix_report
 from loomgraph.llm.near import near_duplicates
+from loomgraph.llm.risk import quality_verdicts
+from loomgraph.llm.sharding import shard_slots
+from loomgraph.sources.tables import table
+
+
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base measures, base_failed, kept."""
+    return quality_verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies."""
+    return mix_report(documents(spark, sf_dir))
+
+
+def op6_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return shard_slots(documents(spark, sf_dir))
 
 
 def op7_bayesian_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +36,35 @@ def op7_bayesian_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared of every leaked item."""
+    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_risk_controlled_rules": op2_risk_controlled_rules,
+    "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+    "op6_jump_hash_shards": op6_jump_hash_shards,
     "op7_bayesian_near_duplicates": op7_bayesian_near_duplicates,
+    "op9_minhash_containment": op9_minhash_containment,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), x -> x <> '')"
+
+SQL: dict[str, str] = {
+    "op9_minhash_containment": f"""
+        with i as (select item_id, {_TOKENS} w from benchmark),
+        k as (select item_id, w, least(5, len(w)) k from i where len(w) > 0),
+        item as (select distinct item_id, k, array_to_string(w[p : p + k - 1], ' ') s
+                 from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) p from k)),
+        d as (select doc_id, {_TOKENS} w from documents),
+        doc as (select distinct doc_id, k, array_to_string(w[p : p + k - 1], ' ') s
+                from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) p
+                      from d, (select distinct k from k) where len(w) >= k)),
+        sizes as (select item_id, count(*) n from item group by item_id)
+        select doc_id, item_id, n::int n_item_shingles, count(*)::int n_shared
+        from doc join item using (k, s) join sizes using (item_id)
+        group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+    """,
+}
