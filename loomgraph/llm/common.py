@@ -40,3 +40,8 @@ def ascii_lower(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def broadcastable(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` (saved, narrow), to be broadcast only if its counted rows stay within ``limit``."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.llm.common import saved, words
+from loomgraph.llm.common import broadcastable, saved, words
 
 
 @dataclass(frozen=True)
@@ -77,11 +77,6 @@ def _rows_per_band(size: Column, settings: LeakSettings) -> Column:
     return out
 
 
-def _bounded(df: DataFrame, limit: int) -> DataFrame:
-    """``df``, to be broadcast where its counted rows stay below the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def candidates(docs: DataFrame, items: DataFrame, settings: LeakSettings = PRODUCTION) -> DataFrame:
     """Distinct (doc_id, item_id) where the document holds a whole band of the item."""
     probes = saved(_probes(items, settings))
@@ -91,7 +86,7 @@ def candidates(docs: DataFrame, items: DataFrame, settings: LeakSettings = PRODU
     made = F.concat(*(_shingles("tokens", w, hashed=True) for w in sorted(widths)))
     found = (
         _tokens(docs, "doc_id").select("doc_id", _rows_per_band(F.size("tokens"), settings).alias("rows"), F.explode(F.array_distinct(made)).alias("shingle"))
-        .join(_bounded(probes, settings.broadcast_probes), "shingle")
+        .join(broadcastable(probes, settings.broadcast_probes), "shingle")
         .select("doc_id", "item_id", "rows", F.explode("picks").alias("pick"))
     )
     bands = found.groupBy("doc_id", "item_id", "rows", F.floor(F.col("pick") / F.col("rows")).alias("band")).agg(F.countDistinct("pick").alias("n"))
@@ -111,7 +106,7 @@ def leaks(docs: DataFrame, items: DataFrame, settings: LeakSettings = PRODUCTION
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     pairs = saved(candidates(docs, items, settings))
     named = item_shingles(items, settings)
-    pairs = _bounded(pairs, settings.broadcast_pairs).toDF("pair_doc", "pair_item")
+    pairs = broadcastable(pairs, settings.broadcast_pairs).toDF("pair_doc", "pair_item")
     joined = docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["pair_doc"]))
     joined = joined.join(named, joined["pair_item"].eqNullSafe(named["item_id"])).select("doc_id", "item_id", "width", "exact", words(F.lower("text")).alias("tokens"))
     shared = F.size(F.array_intersect("exact", _shingles("tokens", F.col("width"), hashed=False)))

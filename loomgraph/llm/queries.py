@@ -9,18 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from loomgraph.llm.common import documents
 from loomgraph.llm.contamination import leaks
+from loomgraph.llm.licences import known_licences, licence_lookup, lookup_sql
 from loomgraph.llm.mixing import mix_report
 from loomgraph.llm.near import near_duplicates
+from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import shard_slots
+from loomgraph.llm.tokens import load_vocabulary, token_counts
 from loomgraph.sources.tables import table
 
+#: A sentencepiece model whose pieces and scores serve as the unigram vocabulary.
+VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    return find_personal_data(documents(spark, sf_dir))
+
 
 def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base measures, base_failed, kept."""
     return quality_verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, licence, n_notices, notices."""
+    return licence_lookup(documents(spark, sf_dir), known_licences(spark))
+
+
 def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies."""
     return mix_report(documents(spark, sf_dir))
@@ -41,18 +57,27 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op10_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, best_score."""
+    return token_counts(documents(spark, sf_dir), load_vocabulary(VOCABULARY_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
+    "op3_licence_digests": op3_licence_digests,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
     "op6_jump_hash_shards": op6_jump_hash_shards,
     "op7_bayesian_near_duplicates": op7_bayesian_near_duplicates,
     "op9_minhash_containment": op9_minhash_containment,
+    "op10_count_only_viterbi": op10_count_only_viterbi,
     "pipeline": corpus_pipeline.run,
 }
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), x -> x <> '')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
 
 SQL: dict[str, str] = {
+    "op3_licence_digests": lookup_sql(),
     "op9_minhash_containment": f"""
         with i as (select item_id, {_TOKENS} w from benchmark),
         k as (select item_id, w, least(5, len(w)) k from i where len(w) > 0),
