@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from loomgraph.llm.common import documents
 from loomgraph.llm.contamination import leaks
 from loomgraph.llm.licences import known_licences, licence_lookup, lookup_sql
+from loomgraph.llm.lines import dedup_sql, line_dedup
 from loomgraph.llm.mixing import mix_report
 from loomgraph.llm.near import near_duplicates
+from loomgraph.llm.passages import shared_passages
 from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import shard_slots
@@ -37,6 +39,11 @@ def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_lookup(documents(spark, sf_dir), known_licences(spark))
 
 
+def op4_suffix_array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_deleted, longest_run, kept_sha256."""
+    return line_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies."""
     return mix_report(documents(spark, sf_dir))
@@ -52,6 +59,11 @@ def op7_bayesian_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source_id, passage_start, passage_end and the segment's spans."""
+    return shared_passages(documents(spark, sf_dir))
+
+
 def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared of every leaked item."""
     return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -66,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
     "op3_licence_digests": op3_licence_digests,
+    "op4_suffix_array_lines": op4_suffix_array_lines,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
     "op6_jump_hash_shards": op6_jump_hash_shards,
     "op7_bayesian_near_duplicates": op7_bayesian_near_duplicates,
+    "op8_collinear_passages": op8_collinear_passages,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_count_only_viterbi": op10_count_only_viterbi,
     "pipeline": corpus_pipeline.run,
@@ -78,6 +92,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n
 
 SQL: dict[str, str] = {
     "op3_licence_digests": lookup_sql(),
+    "op4_suffix_array_lines": dedup_sql(),
     "op9_minhash_containment": f"""
         with i as (select item_id, {_TOKENS} w from benchmark),
         k as (select item_id, w, least(5, len(w)) k from i where len(w) > 0),
