@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Rows handed to Python at once where texts travel; bounds the Arrow buffers on both sides.
+ARROW_ROWS = 1000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder all executors share, and read back.
 
@@ -25,7 +29,13 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -84,8 +84,10 @@ def candidates(docs: DataFrame, items: DataFrame, settings: LeakSettings = PRODU
     if not widths:
         return docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
     made = F.concat(*(_shingles("tokens", w, hashed=True) for w in sorted(widths)))
+    # The outer form, as the plain one makes the optimizer add a filter on the array's
+    # size, below which it repeats the split into words for every shingle.
     found = (
-        _tokens(docs, "doc_id").select("doc_id", _rows_per_band(F.size("tokens"), settings).alias("rows"), F.explode(F.array_distinct(made)).alias("shingle"))
+        _tokens(docs, "doc_id").select("doc_id", _rows_per_band(F.size("tokens"), settings).alias("rows"), F.explode_outer(made).alias("shingle"))
         .join(broadcastable(probes, settings.broadcast_probes), "shingle")
         .select("doc_id", "item_id", "rows", F.explode("picks").alias("pick"))
     )
@@ -108,7 +110,9 @@ def leaks(docs: DataFrame, items: DataFrame, settings: LeakSettings = PRODUCTION
     named = item_shingles(items, settings)
     pairs = broadcastable(pairs, settings.broadcast_pairs).toDF("pair_doc", "pair_item")
     joined = docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["pair_doc"]))
-    joined = joined.join(named, joined["pair_item"].eqNullSafe(named["item_id"])).select("doc_id", "item_id", "width", "exact", words(F.lower("text")).alias("tokens"))
+    joined = joined.join(named, joined["pair_item"].eqNullSafe(named["item_id"]))
+    # Written, so that the optimizer can't repeat the split into words for every shingle.
+    joined = saved(joined.select("doc_id", "item_id", "width", "exact", words(F.lower("text")).alias("tokens")))
     shared = F.size(F.array_intersect("exact", _shingles("tokens", F.col("width"), hashed=False)))
     return (
         joined.select("doc_id", "item_id", F.size("exact").alias("n_item_shingles"), shared.alias("n_shared"))

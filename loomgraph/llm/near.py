@@ -6,9 +6,11 @@ batch by batch: with a uniform prior the similarity of a pair that agreed on m o
 is Beta(m + 1, n - m + 1), and the pair is pruned once P(similarity >= threshold) falls
 below the chosen miss probability. Survivors are compared on their full shingle sets.
 
-A band's bucket never yields all its pairs: each member meets the bucket's smallest class
-first. Only where a bucket still holds classes of several components after that do members
-of different components meet, so that no link that could join two components is lost.
+A band's bucket never yields all its pairs: each member meets the bucket's centre first.
+Where a bucket then still holds several components, members of different components may
+have links that join them. A shingle that no other class of such buckets has can't be
+common to a pair, which rules out most of these classes by a count; the others meet across
+components, so that no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.llm.common import saved
+from loomgraph.llm.common import broadcastable, saved
 from loomgraph.llm.components import components
 from loomgraph.llm.hashing import mix, random_numbers, shingle_set, word_hashes
 
@@ -37,6 +39,7 @@ class NearSettings:
     rows: int = 5
     batch: int = 24
     miss: float = 1e-6
+    broadcast_classes: int = 1_000_000  # two numbers each
 
     @property
     def hashes(self) -> int:
@@ -80,6 +83,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _set_id(shingles: np.ndarray) -> int:
+    """64-bit name of a shingle set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
     a, b = _hash_family(settings.hashes)
     for batch in batches:
@@ -90,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterat
             shingles = shingle_set(hashes, settings.width)
             if len(shingles):
                 counts[row] = len(shingles)
-                ids[row] = int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+                ids[row] = _set_id(shingles)
                 signatures[row] = signature(shingles, a, b)
         keys = _band_keys(signatures, settings)
         bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * settings.bands, pa.array(keys.ravel()))
@@ -166,35 +174,85 @@ def _exact(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, settings: NearSettings) -> DataFrame:
-    """The distinct pairs (a, b) of classes whose full shingle sets pass the threshold.
+def _shingle_rows(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("set_id").to_pylist()
+        for row, hashes in word_hashes(batch.column("text"), lower=True):
+            shingles = shingle_set(hashes, settings.width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), ids[row])), pa.array(shingles)], ["set_id", "shingle"])
+
+
+class _Corpus:
+    """Where the verification finds the signatures and texts of the classes it is asked for."""
+
+    def __init__(self, docs: DataFrame, made: DataFrame, first: DataFrame, settings: NearSettings):
+        self.docs, self.made, self.first, self.settings = docs, made, first, settings
+
+    def _wanted(self, ids: DataFrame) -> DataFrame:
+        """(set_id, doc_id) of one document per class; broadcast while that is small."""
+        return broadcastable(saved(self.first.join(ids.distinct(), "set_id", "left_semi")), self.settings.broadcast_classes)
+
+    def signatures(self, ids: DataFrame) -> DataFrame:
+        rows = self.made.select("set_id", "doc_id", "n_shingles", "signature").join(self._wanted(ids), ["set_id", "doc_id"], "left_semi")
+        return saved(rows.drop("doc_id").dropDuplicates(["set_id"]))
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """One text per class; where a doc_id repeats, the row with the class's text is found by its shingles."""
+        settings, wanted = self.settings, self._wanted(ids)
+        rows = self.docs.join(wanted, "doc_id").select("set_id", "text")
+        return saved(rows.mapInArrow(lambda batches: _own_texts(batches, settings), "set_id long, text string").dropDuplicates(["set_id"]))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose full shingle sets pass the threshold."""
+        settings, pairs = self.settings, saved(pairs.distinct())
+        sized = self.signatures(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
+        close = saved(
+            pairs.join(sized.select(F.col("set_id").alias("a"), F.col("signature").alias("left"), F.col("n_shingles").alias("n_a")), "a")
+            .join(sized.select(F.col("set_id").alias("b"), F.col("signature").alias("right"), F.col("n_shingles").alias("n_b")), "b")
+            .where(_reachable(F.least("n_a", "n_b"), settings))
+            .select("a", "b", "left", "right")
+            .mapInArrow(lambda batches: _prune(batches, settings), "a long, b long")
+        )
+        texts = self.texts(close.select(F.col("a").alias("set_id")).union(close.select("b")))
+        return (
+            close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+            .select("a", "b", "text_a", "text_b")
+            .mapInArrow(lambda batches: _exact(batches, settings), "a long, b long")
+        )
 
-    ``classes`` has one signature and ``texts`` one text per class.
-    """
-    sized = classes.select("set_id", "signature", "n_shingles")
-    left = sized.toDF("a", "left", "n_a")
-    right = sized.toDF("b", "right", "n_b")
-    t = settings.threshold_pct
-    close = (
-        pairs.distinct().join(left, "a").join(right, "b")
-        .where((F.col("n_a") * 100 >= F.col("n_b") * t) & (F.col("n_b") * 100 >= F.col("n_a") * t))
-        .select("a", "b", "left", "right")
-        .mapInArrow(lambda batches: _prune(batches, settings), "a long, b long")
-    )
-    close = saved(close)
-    wanted = close.select(F.col("a").alias("set_id")).union(close.select("b")).distinct()
-    texts = saved(texts.join(wanted, "set_id", "left_semi"))
-    return (
-        close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(lambda batches: _exact(batches, settings), "a long, b long")
-    )
+    def shared_shingles(self, ids: DataFrame) -> DataFrame:
+        """(set_id, n_shared): shingles that at least one other class among ``ids`` has too."""
+        settings, ids = self.settings, ids.distinct()
+        rows = self.texts(ids).mapInArrow(lambda batches: _shingle_rows(batches, settings), "set_id long, shingle long")
+        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.max("set_id").alias("set_id")).where("n = 1")
+        alone = alone.groupBy("set_id").agg(F.count("*").alias("alone"))
+        sizes = self.signatures(ids).select("set_id", "n_shingles")
+        return sizes.join(alone, "set_id", "left").select("set_id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("n_shared"))
+
+
+def _own_texts(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("set_id").to_pylist()
+        keep = [row for row, hashes in word_hashes(batch.column("text"), lower=True) if len(hashes) and _set_id(shingle_set(hashes, settings.width)) == ids[row]]
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _reachable(shared, settings: NearSettings):
+    """Whether n_a and n_b shingles with at most ``shared`` in common can pass."""
+    return 100 * shared >= settings.threshold_pct * (F.col("n_a") + F.col("n_b") - shared)
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the component's root of each set_id, itself where nothing links it."""
     return rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, settings: NearSettings = PRODUCTION) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -208,37 +266,42 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = PRODUCTION) -> Dat
     made = saved(sketches(docs, settings))
     ids = made.select("doc_id", "n_shingles", "set_id")
     named = made.where("set_id is not null and doc_id is not null")
-
-    # One row per class, chosen as the smallest document of it.
-    first = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = saved(named.drop("bands").join(first, ["set_id", "doc_id"]).dropDuplicates(["set_id"]))
-    class_texts = docs.join(classes.select("set_id", "doc_id"), "doc_id").select("set_id", "text")
+    first = saved(named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+    corpus = _Corpus(docs, made, first, settings)
 
     keys = named.select("set_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("top")).where("pivot < top")
-    members = saved(keys.join(shared.select("key", "pivot"), "key").distinct())
-
-    with_pivot = members.where("set_id != pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
-    links = saved(verified(with_pivot, classes, class_texts, settings))
+    shared = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key")
+    members = saved(keys.join(shared, "key").distinct())
+
+    # The centre of a bucket is the member that meets most others over all its buckets:
+    # in a group of near copies, the text that the others were made from.
+    counted = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    meets = counted.groupBy("set_id").agg(F.sum("n").alias("meets"))
+    ranked = saved(members.join(meets, "set_id"))
+    centre = F.max(F.struct("meets", "set_id")).alias("top")
+    told = saved(ranked.join(ranked.groupBy("key").agg(centre).select("key", F.col("top.set_id").alias("centre")), "key").where("set_id != centre").drop("meets"))
+    links = saved(corpus.verified(told.select(F.col("centre").alias("a"), F.col("set_id").alias("b"))))
     roots = components(links.toDF("u", "v"))
 
-    # Buckets that still span several components: their members meet across components.
-    # The smallest class has met all the others.
-    told = saved(_labelled(members.where("set_id != pivot"), roots))
-    open_keys = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    sized = classes.select("set_id", "n_shingles")
-    rest = saved(told.join(open_keys, "key", "left_semi").join(sized, "set_id").select("key", "set_id", "root", "n_shingles"))
-    t = settings.threshold_pct
+    # Buckets whose other members still span several components: these meet across
+    # components. A pair needs its common shingles among those that another open class has.
+    told = saved(_labelled(told.select("key", "set_id"), roots))
+    rest = saved(_open_buckets(told))
+    rest = saved(rest.join(saved(corpus.shared_shingles(rest.select("set_id"))), "set_id"))
+    least = rest.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    n, shared_n = F.col("n_shingles"), F.col("n_shared")
+    possible = 100 * shared_n >= settings.threshold_pct * (n + F.greatest("least", shared_n) - shared_n)
+    rest = saved(_open_buckets(rest.join(least, "key").where(possible).drop("least")))
     across = (
-        rest.toDF("key", "a", "root_a", "n_a").join(rest.toDF("key", "b", "root_b", "n_b"), "key")
-        .where("root_a < root_b")
-        .where((F.col("n_a") * 100 >= F.col("n_b") * t) & (F.col("n_b") * 100 >= F.col("n_a") * t))
+        rest.select("key", "set_id", "root", "n_shingles", "n_shared").toDF("key", "a", "root_a", "n_a", "shared_a")
+        .join(rest.select("key", "set_id", "root", "n_shingles", "n_shared").toDF("key", "b", "root_b", "n_b", "shared_b"), "key")
+        .where("root_a < root_b").where(_reachable(F.least("shared_a", "shared_b", "n_a", "n_b"), settings))
         .select("a", "b")
     )
-    links = saved(links.unionByName(verified(across, classes, class_texts, settings)))
+    links = saved(links.unionByName(corpus.verified(across)))
     roots = saved(components(links.toDF("u", "v")))
 
-    class_root = _labelled(classes.select("set_id", "doc_id"), roots)
+    class_root = _labelled(first, roots)
     smallest = class_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = class_root.join(smallest, "root").select("set_id", "component_id")
     return ids.join(by_class, "set_id", "left").select(

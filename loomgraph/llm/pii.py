@@ -44,6 +44,7 @@ class PiiSettings:
     rounds: int = 10  # of loopy message passing
     damping: float = 0.5
     smoothing: float = 0.5
+    agreement: float = 100.0  # least odds that equal tokens have equal labels
 
 
 PRODUCTION = PiiSettings()
@@ -217,9 +218,8 @@ def train(docs: DataFrame, settings: PiiSettings = PRODUCTION) -> Field:
         whole = table.sum()
         return np.log(table * whole / (table.sum(1, keepdims=True) * table.sum(0, keepdims=True)))
 
-    # Equal tokens carry equal labels unless the corpus shows otherwise.
     agree = association(pair["skip"])
-    np.fill_diagonal(agree, np.maximum(np.diag(agree), 1.0))
+    np.fill_diagonal(agree, np.maximum(np.diag(agree), math.log(settings.agreement)))
     return Field({k: tuple(np.log(v / v.sum())) for k, v in node.items()}, association(pair["chain"]), agree)
 
 
