@@ -153,14 +153,13 @@ def stream_debounce(spark, folder):
     Runs the stream to its end and reads back what it appended.
     """
     schema = table(spark, folder, "events").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
+    # The pattern finds the table as one file and as a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
     changes = stream.select(F.col("user_id").alias("repo_id"), "ts")
     out = scratch_folder(spark)
+    closed = closed_bursts(changes, 3600)
     running = (
-        closed_bursts(changes, 3600)
-        .writeStream.outputMode("append")
+        closed.writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{out}/bursts")
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -168,7 +167,7 @@ def stream_debounce(spark, folder):
         .start()
     )
     running.awaitTermination()
-    found = spark.read.parquet(f"{out}/bursts")
+    found = spark.read.schema(closed.schema).parquet(f"{out}/bursts")
     return found.select(
         "repo_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
         F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "changes",

@@ -111,17 +111,20 @@ def words_sql(source: str, text: str) -> str:
 
 
 DOCS_SQL = """
-    docs as (
+    all_docs as (
         select doc_id as id, source as repo_id, text, n_chars::int as start_line,
             lang || '/' || sha256(text)[1:16] || case lang when 'en' then '.py' when 'fr' then '.ts'
                 when 'de' then '.js' when 'es' then '.tsx' else '.txt' end as file_path
-        from documents)"""
+        from documents),
+    docs as (select * from all_docs where {keep})"""
 
 
-def search_sql(limit: int, template: str = "text", tail: str = "", collections: str = "0, 1") -> str:
-    """SQL of the whole chain: two collections, cuts per repository, dedup, final cut."""
+def search_sql(
+    limit: int, template: str = "text", tail: str = "", collections: str = "0, 1", keep: str = "true"
+) -> str:
+    """SQL of the whole chain: filter, two collections, smallest distance, dedup, one cut."""
     return f"""
-    with {DOCS_SQL},
+    with {DOCS_SQL.replace("{keep}", keep)},
     asked as (select item_id as id, {template} as text from benchmark),
     stored as (select id, 0 as collection, file_path as text from docs
                union all select id, 1, text from docs where trim(text) <> ''),
@@ -143,14 +146,10 @@ def search_sql(limit: int, template: str = "text", tail: str = "", collections:
         left join dots on dots.query_id = a.id and dots.collection = s.collection and dots.id = s.id
         left join qn on qn.id = a.id
         left join sn on sn.collection = s.collection and sn.id = s.id),
-    wide as (select * from scored qualify row_number() over (
-        partition by query_id, repo_id, collection order by distance, id) <= {2 * limit}),
-    per_repo as (select query_id, repo_id, id, min(distance) as distance from wide group by all),
-    cut as (select * from per_repo qualify row_number() over (
-        partition by query_id, repo_id order by distance, id) <= {limit}),
+    best as (select query_id, repo_id, id, min(distance) as distance from scored group by all),
     uniq as (
         select c.query_id, c.repo_id, c.id, d.file_path, d.start_line, c.distance
-        from cut c join docs d using (id)
+        from best c join docs d using (id)
         qualify row_number() over (partition by c.query_id, d.file_path, d.start_line
                                    order by c.distance, c.id) = 1),
     found as (select *, row_number() over (partition by query_id order by distance, id) as rank
@@ -162,14 +161,7 @@ RESULT_SQL = "query_id, rank::int as rank, repo_id, id, file_path, start_line, d
 
 
 def code_search_sql(top_k: int, template: str, keep: str) -> str:
-    return search_sql(
-        2 * top_k,
-        template,
-        f""", kept as (select query_id, repo_id, id, file_path, start_line, distance,
-                row_number() over (partition by query_id order by distance, id) as rank
-            from found where {keep})
-        select {RESULT_SQL} from kept where rank <= {top_k}""",
-    )
+    return search_sql(top_k, template, f"select {RESULT_SQL} from found", keep=keep)
 
 
 def _results(found):
@@ -196,7 +188,7 @@ def search_code_text(spark, folder):
     ),
 )
 def search_lang_filter(spark, folder):
-    """Code search with a language: it joins the question and filters after the cut."""
+    """Code search with a language: it joins the question and limits the files."""
     return _results(search.search_code(*_corpus(spark, folder), language="typescript"))
 
 
@@ -297,7 +289,7 @@ def _part_questions(spark, folder):
             )
         )
         .unionByName(
-            part.limit(1).select(
+            spark.range(1).select(
                 F.lit("x").alias("query_id"), F.lit("no such name").alias("name"), none.alias("kind")
             )
         )
@@ -316,14 +308,10 @@ NAME_SEARCH_SQL = f"""
         from asked a cross join nodes s
         left join dots on dots.query_id = a.query_id and dots.id = s.id
         left join qn on qn.id = a.query_id left join sn on sn.id = s.id),
-    wide as (select * from scored
-        qualify row_number() over (partition by query_id order by distance, id) <= 120),
-    cut as (select * from wide
-        qualify row_number() over (partition by query_id order by distance, id) <= 60),
-    uniq as (select * from cut qualify row_number() over (
-        partition by query_id, name, file_path, start_line order by distance, id) = 1),
     judged as (select *, (contains(lower(name), lower(wanted)) or contains(lower(wanted), lower(name)))
-            and (wanted_kind is null or kind = wanted_kind) as hit from uniq),
+            and (wanted_kind is null or kind = wanted_kind) as hit from scored
+        qualify row_number() over (
+            partition by query_id, name, file_path, start_line order by hit desc, distance, id) = 1),
     kept as (select * from judged qualify hit or not bool_or(hit) over (partition by query_id))
     select query_id, row_number() over (partition by query_id order by distance, id)::int as rank,
            id, name, kind, file_path, start_line, distance

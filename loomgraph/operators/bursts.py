@@ -17,7 +17,8 @@ def bursts(
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_seconds * 1_000_000
-    per_chunk = chunk_seconds // gap_seconds
+    # A gap longer than a chunk makes chunks of one bucket.
+    per_chunk = max(1, chunk_seconds // gap_seconds)
     buckets = (
         events.select(F.col(key), micros.alias("_t"))
         .withColumn("_bucket", F.floor(F.col("_t") / gap))

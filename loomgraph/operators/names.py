@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Advertised kind -> kinds stored on nodes.
@@ -27,6 +29,23 @@ def kind_matches(kind: Column, wanted: Column) -> Column:
     return wanted.isNull() | F.coalesce(k, F.lit("")).eqNullSafe("") | hit
 
 
+def match_matrix(names: pd.Series, kinds: pd.Series, wanted: pd.Series, wanted_kinds: pd.Series) -> np.ndarray:
+    """name_matches and kind_matches for every row against every question, in a scoring pass.
+
+    Decided once per different name and kind of a batch.
+    """
+    row_names, name_codes = np.unique(names.fillna("").str.lower().to_numpy(str), return_inverse=True)
+    row_kinds, kind_codes = np.unique(kinds.fillna("").str.lower().to_numpy(str), return_inverse=True)
+    asked = [w.lower() if isinstance(w, str) else None for w in wanted]
+    by_name = np.array([[n != "" and w is not None and (w in n or n in w) for w in asked] for n in row_names.tolist()])
+
+    def same_kind(kind: str, want) -> bool:
+        return not isinstance(want, str) or kind in ("", want.lower(), *KIND_ALIASES.get(want.lower(), ()))
+
+    by_kind = np.array([[same_kind(k, w) for w in wanted_kinds] for k in row_kinds.tolist()])
+    return by_name[name_codes] & by_kind[kind_codes]
+
+
 def keep_matches_or_all(df: DataFrame, keys: list[str], matched: Column) -> DataFrame:
     """Per question: the matching rows, or every row when none matches.
 

@@ -2,8 +2,8 @@
 
 The question vectors are shipped to the executors only up to a byte limit, and
 every Arrow batch of stored vectors is scored with one matrix product. A batch
-emits at most k rows per question and group, never the pairs. Questions beyond
-the limit go through a grid of bounded cells instead.
+emits at most k rows per question and group, or k distinct copies where rows have
+a copy key. Questions beyond the limit go through a grid of bounded cells instead.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loomgraph.operators.topk import top_k
+from loomgraph.operators.topk import keep_best, top_k
 from loomgraph.settings import Settings
 
 DISTANCE_DIGITS = 6
@@ -43,8 +43,10 @@ def _best_rows(
     groups: Sequence[str],
     k: int,
     bonus: Bonus | None,
+    copies: str | None = None,
+    carry: Sequence[str] = (),
 ) -> Iterator[pd.DataFrame]:
-    """The k closest stored rows per question and group among ``rows``."""
+    """The k closest stored rows (of different copy keys) per question and group among ``rows``."""
     rows = rows.reset_index(drop=True)
     order = rows["id"].argsort(kind="stable").to_numpy()  # ties go to the smaller id
     rows, stored = rows.iloc[order].reset_index(drop=True), _unit(stored[order])
@@ -54,6 +56,7 @@ def _best_rows(
         else [np.arange(len(rows))]
     )
     members = [np.sort(m) for m in members]
+    copy_codes = None if copies is None else pd.factorize(rows[copies], use_na_sentinel=False)[0]
     for begin in range(0, len(questions), _QUESTION_CHUNK):
         chunk = questions.iloc[begin : begin + _QUESTION_CHUNK]
         similarity = stored @ _unit(_matrix(chunk["embedding"])).T
@@ -62,7 +65,11 @@ def _best_rows(
         distance = np.round(1.0 - similarity, DISTANCE_DIGITS) + 0.0
         for member in members:
             block = distance[member]
-            first = np.argsort(block, axis=0, kind="stable")[:k]
+            first = np.argsort(block, axis=0, kind="stable")
+            if copy_codes is not None:
+                yield from _first_copies(rows, member, block, first, chunk, copy_codes, k, [*groups, "id", *carry, copies])
+                continue
+            first = first[:k]
             picked = member[first.ravel(order="F")]
             out = rows.loc[picked, [*groups, "id"]].reset_index(drop=True)
             out.insert(0, "query_id", np.repeat(chunk["query_id"].to_numpy(), first.shape[0]))
@@ -70,6 +77,23 @@ def _best_rows(
             yield out
 
 
+def _first_copies(rows, member, block, order, chunk, codes, k, columns) -> Iterator[pd.DataFrame]:
+    for j, query_id in enumerate(chunk["query_id"]):
+        ranked = member[order[:, j]]
+        # A prefix that holds k different copies is enough; most have no copies.
+        upto = 2 * k
+        while True:
+            _, at = np.unique(codes[ranked[:upto]], return_index=True)
+            if len(at) >= k or upto >= len(ranked):
+                break
+            upto *= 4
+        at = np.sort(at)[:k]
+        out = rows.loc[ranked[at], columns].reset_index(drop=True)
+        out.insert(0, "query_id", query_id)
+        out["distance"] = block[order[at, j], j]
+        yield out
+
+
 def nearest(
     vectors: DataFrame,
     questions: DataFrame,
@@ -78,6 +102,8 @@ def nearest(
     extra: Sequence[str] = (),
     bonus: Bonus | None = None,
     settings: Settings | None = None,
+    copies: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``k`` smallest cosine distances per question and per distinct ``groups`` value.
 
@@ -85,12 +111,16 @@ def nearest(
     ``query_id`` and ``embedding``. Distances are rounded before ranking and ties
     go to the smaller id, so the result does not depend on partitioning.
     ``extra`` columns of either side are handed to ``bonus``, whose values are
-    added to the similarity.
+    added to the similarity. Of rows with an equal ``copies`` value only the closest
+    counts, before anything is cut. ``carry`` columns of the vectors stay on the hits.
+    Vectors without an embedding are left out.
     """
     settings = settings or Settings.from_env()
     stored_extra = [c for c in extra if c in vectors.columns]
     question_extra = [c for c in extra if c in questions.columns]
-    vectors = vectors.select("id", *groups, *stored_extra, "embedding")
+    carried = [*carry, *([copies] if copies else [])]
+    plain = [c for c in dict.fromkeys([*carried, *stored_extra]) if c not in groups]
+    vectors = vectors.select("id", *groups, *plain, "embedding").where("embedding is not null")
     questions = questions.select("query_id", *question_extra, "embedding")
     kind = {f.name: f.dataType for f in vectors.schema.fields}
     schema = T.StructType(
@@ -98,6 +128,7 @@ def nearest(
             T.StructField("query_id", questions.schema["query_id"].dataType),
             *[T.StructField(g, kind[g]) for g in groups],
             T.StructField("id", kind["id"]),
+            *[T.StructField(c, kind[c]) for c in carried],
             T.StructField("distance", T.DoubleType()),
         ]
     )
@@ -105,9 +136,11 @@ def nearest(
     room = max(1, settings.query_broadcast_bytes // (8 * settings.embedding_dim))
     shipped = questions.limit(room + 1).toPandas()
     if len(shipped) <= room:
-        candidates = _score_shipped(vectors, shipped, k, groups, bonus, schema)
+        candidates = _score_shipped(vectors, shipped, k, groups, bonus, schema, copies, carry)
     else:
-        candidates = _score_grid(vectors, questions, k, groups, bonus, schema, room)
+        candidates = _score_grid(vectors, questions, k, groups, bonus, schema, room, copies, carry)
+    if copies:
+        candidates = keep_best(candidates, ["query_id", *groups, copies], [F.col("distance"), F.col("id")])
     return top_k(
         candidates,
         ["query_id", *groups],
@@ -117,7 +150,7 @@ def nearest(
     )
 
 
-def _score_shipped(vectors, shipped, k, groups, bonus, schema) -> DataFrame:
+def _score_shipped(vectors, shipped, k, groups, bonus, schema, copies, carry) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(shipped)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +162,14 @@ def _score_shipped(vectors, shipped, k, groups, bonus, schema) -> DataFrame:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             stored = flat.reshape(batch.num_rows, -1).astype(np.float64)
             rows = batch.drop_columns(["embedding"]).to_pandas()
-            for out in _best_rows(rows, stored, questions, groups, k, bonus):
+            for out in _best_rows(rows, stored, questions, groups, k, bonus, copies, carry):
                 yield pa.RecordBatch.from_pandas(out, schema=arrow_schema, preserve_index=False)
 
     arrow_schema = _arrow(schema)
     return vectors.mapInArrow(score, schema)
 
 
-def _score_grid(vectors, questions, k, groups, bonus, schema, room) -> DataFrame:
+def _score_grid(vectors, questions, k, groups, bonus, schema, room, copies, carry) -> DataFrame:
     """Questions too many to ship: meet in cells of bounded size on both sides."""
     question_blocks = ceil(questions.count() / room)
     stored_blocks = max(1, ceil(vectors.count() / _CELL_ROWS))
@@ -153,7 +186,7 @@ def _score_grid(vectors, questions, k, groups, bonus, schema, room) -> DataFrame
     def cell(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if stored.empty or asked.empty:
             return pd.DataFrame(columns=names)
-        parts = _best_rows(stored, _matrix(stored["embedding"]), asked, groups, k, bonus)
+        parts = _best_rows(stored, _matrix(stored["embedding"]), asked, groups, k, bonus, copies, carry)
         return pd.concat(list(parts), ignore_index=True)
 
     return left.groupBy("_qb", "_sb").cogroup(right.groupBy("_qb", "_sb")).applyInPandas(cell, schema)

@@ -16,8 +16,8 @@ from loomgraph.operators.source_text import (
     strip,
 )
 
-_DEF = r"(?s)^(\s*(?:async\s+)?def\s+)([A-Za-z_]\w*)(\s*)(\(.*?\))(?:(\s*->\s*)([^:]+?))?\s*:"
-_CLASS = r"(?s)^(\s*class\s+)([A-Za-z_]\w*)(\s*)(\(.*?\))?\s*:"
+_DEF = r"(?s)^(\s*(?:async\s+)?def\s+)([A-Za-z_]\w*)((?:\[.*?\])?\s*)(\(.*?\))(?:(\s*->\s*)([^:]+?))?\s*:"
+_CLASS = r"(?s)^(\s*class\s+)([A-Za-z_]\w*)((?:\[.*?\])?\s*)(\(.*?\))?\s*:"
 _IMPORT = r"(?s)^\s*import\s+(.+)$"
 _FROM = r"(?s)^\s*from\s+([.\w]+)\s+import\s+(.+)$"
 _ASSIGN = r"(?s)^(\s*)([A-Za-z_]\w*)(\s*(?::\s*)?)([^=:]*?)\s*=(?!=)\s*\S"

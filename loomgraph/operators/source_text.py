@@ -114,7 +114,9 @@ def source_lines(files: DataFrame) -> DataFrame:
     the whole extraction happens here, on the file; the size limit on files
     bounds every group that later windows work on.
     """
-    masked = files.select(
+    # One kind of line end, so that a carriage return is neither code nor text.
+    ended = files.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    masked = ended.select(
         *FILE_KEY, "language", "text", blanked("text", "language").alias("_m")
     ).select(*FILE_KEY, "language", "text", "_m.*")
     zipped = F.arrays_zip(
@@ -161,7 +163,7 @@ def call_targets(code: Column, keywords: list[str]) -> Column:
     """Targets called on a line: plain names, then dotted ``object.method`` texts."""
     plain = F.regexp_extract_all(
         code,
-        F.lit(r"(?<![\w.$])(?<!def )(?<!class )(?<!function )(?<!new )([A-Za-z_$][\w$]*)\s*\("),
+        F.lit(r"(?<![\w.$])(?<!def )(?<!class )(?<!function )(?<!function\* )(?<!function \*)(?<!new )([A-Za-z_$][\w$]*)\s*\("),
         F.lit(1),
     )
     dotted = F.regexp_extract_all(

@@ -113,14 +113,15 @@ def _run(store, listing, roots, incremental, languages, settings, embed):
     repo_ids = sorted(roots)
     stored = store.current("file_state", repo_ids)
     judged = _scope(stored, languages)
-    if not incremental:
-        judged = judged.limit(0)
 
     current = current_files(listing, settings, languages)
     # Hashing reads all contents once; the comparison is kept for the steps below.
-    differences = cut_lineage(
-        snapshots.diff(current, judged).select(*FILE_KEY, "new_hash", "status")
-    )
+    compared = snapshots.diff(current, judged).select(*FILE_KEY, "new_hash", "status")
+    if not incremental:
+        # A full run makes every file anew, and still removes those that are gone.
+        fresh = F.when(F.col("status") != "deleted", "new").otherwise(F.col("status"))
+        compared = compared.withColumn("status", fresh)
+    differences = cut_lineage(compared)
     touched = differences.filter("status in ('new', 'changed')").select(*FILE_KEY)
     replaced = differences.filter("status <> 'unchanged'").select(*FILE_KEY)
 

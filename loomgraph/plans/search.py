@@ -1,8 +1,8 @@
 """Search plans. Every plan answers a whole table of questions in one pass.
 
 ``nodes`` and ``vectors`` follow :mod:`loomgraph.schema`; ``questions`` has
-``query_id`` and ``query_text``. The limits at each step are part of the result:
-filters run after the cut, so a selective filter may return fewer than k rows.
+``query_id`` and ``query_text``. Filters run before the scoring, and copies of one
+result count once before anything is cut, so k results come back wherever k exist.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomgraph.functions.embedding import Embedder, hash_embedder
 from loomgraph.functions.paths import matches_glob, matches_language, same_file
 from loomgraph.operators.graph import neighbours_of
-from loomgraph.operators.names import keep_matches_or_all, kind_matches, name_matches
+from loomgraph.operators.names import match_matrix
 from loomgraph.operators.nearest import nearest
 from loomgraph.operators.results import node_result
-from loomgraph.operators.topk import keep_best, top_k
+from loomgraph.operators.topk import top_k
 from loomgraph.schema import (
     INDEX_FIELDS,
     NAME_COLLECTIONS,
@@ -36,6 +36,17 @@ def _closest() -> list[Column]:
 def index_vectors(nodes: DataFrame, embed: Embedder | None = None) -> DataFrame:
     """One vector per node and indexed text field; empty texts are skipped."""
     embed = embed or hash_embedder()
+    blank = F.lit("")
+
+    def known(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in nodes.columns else F.lit(None).cast(kind)
+
+    # What makes two results the same to a reader; see node_result.
+    copy_key = F.xxhash64(
+        F.coalesce(F.nullif(known("name"), blank), known("import_statement"), F.col("file_path"), blank),
+        F.coalesce(F.col("file_path"), blank),
+        F.coalesce(known("start_line", "int"), F.lit(0)).cast("long"),
+    )
     fields = sorted({f for names in INDEX_FIELDS.values() for f in names} & set(nodes.columns))
     indexed = reduce(
         lambda acc, item: acc | ((F.col("type") == item[0]) & F.col("_f.field").isin(*item[1])),
@@ -48,6 +59,8 @@ def index_vectors(nodes: DataFrame, embed: Embedder | None = None) -> DataFrame:
             "file_path",
             "id",
             "type",
+            F.coalesce(known("kind"), F.col("type")).alias("kind"),
+            copy_key.alias("copy_key"),
             F.explode(
                 F.array(
                     *[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]
@@ -60,6 +73,8 @@ def index_vectors(nodes: DataFrame, embed: Embedder | None = None) -> DataFrame:
             "file_path",
             F.concat_ws("_", "type", "_f.field").alias("collection"),
             "id",
+            "kind",
+            "copy_key",
             F.col("_f.text").alias("text"),
         )
     )
@@ -82,22 +97,38 @@ def _search(
     limit: int,
     collections: Sequence[str],
     repo_id: str | None,
+    where: Column | None = None,
+    match: tuple[str, ...] = (),
 ) -> DataFrame:
+    """The closest ``limit`` distinct results per question, with their node's columns.
+
+    ``where`` filters vectors. With ``match`` columns on the questions, results of a
+    matching name and kind come first, as their similarity is raised by MATCH_BONUS.
+    """
     pool = vectors.filter(F.col("collection").isin(*collections))
     if repo_id is not None:
         pool = pool.filter(F.col("repo_id") == repo_id)
         nodes = nodes.filter(F.col("repo_id") == repo_id)
-    wide = nearest(pool, embedded, limit * 2, groups=["repo_id", "collection"])
-    per_repo = wide.groupBy("query_id", "repo_id", "id").agg(F.min("distance").alias("distance"))
-    cut = top_k(per_repo, ["query_id", "repo_id"], _closest(), limit)
+    if where is not None:
+        pool = pool.filter(where)
+    hits = nearest(
+        pool, embedded, limit, copies="copy_key", carry=["repo_id"],
+        extra=["text", "kind", *match] if match else (), bonus=_name_bonus if match else None,
+    )
     lookup = nodes.select(
         "id", "repo_id", "type", "name", "kind", "file_path", "start_line", "end_line",
         "signature", "docstring", "import_statement",
     )
     # The hits are the small side: adaptive execution broadcasts them at run time.
-    hydrated = cut.join(lookup, ["repo_id", "id"]).select("query_id", "repo_id", *node_result())
-    unique = keep_best(hydrated, ["query_id", "dedup_name", "file_path", "start_line"], _closest())
-    return top_k(unique, ["query_id"], _closest(), limit, rank="rank").drop("dedup_name")
+    hydrated = hits.join(lookup, ["repo_id", "id"]).select("query_id", "repo_id", *node_result())
+    return top_k(hydrated, ["query_id"], _closest(), limit, rank="rank").drop("dedup_name")
+
+
+MATCH_BONUS = 10.0
+
+
+def _name_bonus(rows, asked):
+    return MATCH_BONUS * match_matrix(rows["text"], rows["kind"], asked["_wanted"], asked["_kind"])
 
 
 def semantic_search(
@@ -109,13 +140,17 @@ def semantic_search(
     embed: Embedder | None = None,
     collections: Sequence[str] = SEARCH_COLLECTIONS,
     template: str = "{}",
+    where: Column | None = None,
 ) -> DataFrame:
-    """Ranked results per question over the given collections of one or all repositories."""
+    """Ranked results per question over the given collections of one or all repositories.
+
+    ``where`` is a condition on the vectors' columns.
+    """
     embed = embed or hash_embedder()
     before, after = template.split("{}")
     asked = F.concat(F.lit(before), F.col("query_text"), F.lit(after))
     embedded = questions.select("query_id", embed(asked).alias("embedding"))
-    return _search(nodes, vectors, embedded, top_k_rows, collections, repo_id)
+    return _search(nodes, vectors, embedded, top_k_rows, collections, repo_id, where)
 
 
 def quick_search(nodes, vectors, questions, top_k_rows=10, repo_id=None, embed=None) -> DataFrame:
@@ -134,14 +169,13 @@ def search_code(
     repo_id: str | None = None,
     embed: Embedder | None = None,
 ) -> DataFrame:
-    """Code search: twice the rows are fetched, filtered by language and glob, then cut."""
+    """Code search among the files of a language and path pattern."""
     template = (language.replace("{", "").replace("}", "") + " {}") if language else "{}"
-    found = semantic_search(
-        nodes, vectors, questions, top_k_rows * 2, repo_id, embed, template=template
-    )
     path = F.col("file_path")
-    kept = found.filter(matches_language(path, language) & matches_glob(path, file_pattern))
-    return top_k(kept.drop("rank"), ["query_id"], _closest(), top_k_rows, rank="rank")
+    where = matches_language(path, language) & matches_glob(path, file_pattern)
+    return semantic_search(
+        nodes, vectors, questions, top_k_rows, repo_id, embed, template=template, where=where
+    )
 
 
 def search_by_name(
@@ -152,23 +186,26 @@ def search_by_name(
     repo_id: str | None = None,
     embed: Embedder | None = None,
 ) -> DataFrame:
-    """Symbols by name. ``questions`` has ``query_id, name`` and optionally ``kind``."""
+    """Symbols by name. ``questions`` has ``query_id, name`` and optionally ``kind``.
+
+    All symbols are matched by name and kind in the scoring pass. A question gets its
+    closest matches, or the closest symbols of any name where nothing matches.
+    """
     embed = embed or hash_embedder()
     if "kind" not in questions.columns:
         questions = questions.withColumn("kind", F.lit(None).cast("string"))
     wanted = questions.select(
         "query_id", F.col("name").alias("_wanted"), F.nullif("kind", F.lit("")).alias("_kind")
     )
-    embedded = wanted.select(
-        "query_id", embed(F.concat_ws(" ", "_kind", "_wanted")).alias("embedding")
+    embedded = wanted.withColumn("embedding", embed(F.concat_ws(" ", "_kind", "_wanted")))
+    found = _search(
+        nodes, vectors, embedded, top_k_rows, NAME_COLLECTIONS, repo_id, match=("_wanted", "_kind")
     )
-    found = _search(nodes, vectors, embedded, top_k_rows * 3, NAME_COLLECTIONS, repo_id)
-    judged = found.drop("rank").join(wanted, "query_id")
-    hit = name_matches(F.col("name"), F.col("_wanted")) & kind_matches(
-        F.col("kind"), F.col("_kind")
-    )
-    kept = keep_matches_or_all(judged, ["query_id"], hit).drop("_wanted", "_kind")
-    return top_k(kept, ["query_id"], _closest(), top_k_rows, rank="rank")
+    hit = F.col("distance") < 2 - MATCH_BONUS / 2
+    any_hit = found.groupBy("query_id").agg(F.bool_or(hit).alias("_any"))
+    kept = found.join(any_hit, "query_id").filter(hit | ~F.col("_any")).drop("_any")
+    plain = F.round(F.when(hit, F.col("distance") + MATCH_BONUS).otherwise(F.col("distance")), 6)
+    return kept.withColumn("distance", plain).withColumn("relevance", F.round(1 - plain, 6))
 
 
 def find_symbol(
@@ -179,13 +216,14 @@ def find_symbol(
     include_relationships: bool = True,
     repo_id: str | None = None,
     embed: Embedder | None = None,
+    top_k_rows: int = 20,
 ) -> DataFrame:
     """Name search whose best result carries its one-hop relationships.
 
     One row per result, repeated for rank 1 once per relationship: a hub may have
     any number of edges, so they stay rows and are never gathered into a list.
     """
-    results = search_by_name(nodes, vectors, questions, 20, repo_id, embed)
+    results = search_by_name(nodes, vectors, questions, top_k_rows, repo_id, embed)
     names = ("source", "relationship", "target")
     if not include_relationships:
         return results.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
@@ -195,17 +233,17 @@ def find_symbol(
     return results.join(attached, ["query_id", "rank"], "left")
 
 
-def get_dependencies(nodes, vectors, targets, repo_id=None, embed=None) -> DataFrame:
+def get_dependencies(nodes, vectors, targets, repo_id=None, embed=None, top_k_rows=20) -> DataFrame:
     """What a file or symbol depends on, by meaning (see graph.reachable for by edge)."""
     return semantic_search(
-        nodes, vectors, targets, 20, repo_id, embed, template="imports dependencies of {}"
+        nodes, vectors, targets, top_k_rows, repo_id, embed, template="imports dependencies of {}"
     )
 
 
-def get_dependents(nodes, vectors, targets, repo_id=None, embed=None) -> DataFrame:
+def get_dependents(nodes, vectors, targets, repo_id=None, embed=None, top_k_rows=20) -> DataFrame:
     """What depends on a file or symbol, by meaning."""
     return semantic_search(
-        nodes, vectors, targets, 20, repo_id, embed, template="what imports or calls or uses {}"
+        nodes, vectors, targets, top_k_rows, repo_id, embed, template="what imports or calls or uses {}"
     )
 
 

@@ -29,8 +29,8 @@ EDGES = (
 )
 
 VECTORS = (
-    "repo_id string, file_path string, collection string, id string, text string, "
-    "embedding array<float>"
+    "repo_id string, file_path string, collection string, id string, kind string, "
+    "copy_key bigint, text string, embedding array<float>"
 )
 
 FILE_STATE = (

@@ -114,6 +114,11 @@ def test_incremental_refresh(engine, write_tree):
     }
     assert engine.store.current("edges").filter("file_path = 'web/app.ts'").isEmpty()
 
+    (root / "pkg/extra.py").unlink()
+    whole = engine.index_repository(str(root), incremental=False).first()
+    assert (whole.new_files, whole.deleted_files) == (2, 1)
+    assert "pkg/extra.py" not in {r.file_path for r in engine.store.current("nodes").collect()}
+
 
 def test_language_filter_keeps_other_languages(engine, write_tree):
     root = write_tree(TREE)

@@ -222,3 +222,27 @@ def test_usage_formula_and_recorded_days(spark):
     assert (total.days, total.total_calls, total.lifetime_calls) == (7, 10, 12)
     assert [str(r.day)[-2:] for r in usage.last_days(calls, 7).collect()] == ["21", "20", "14", "11", "09", "06", "05"]
     assert usage.summary(calls.limit(0)).first().overall_pct == 0.0
+
+
+def test_copies_count_once_before_the_cut(spark):
+    rows = [(f"c{i:02d}", 1, [1.0, 0.0]) for i in range(50)] + [(f"d{i}", 10 + i, [1.0, float(i + 1)]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "id string, copy bigint, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, embedding array<float>")
+    for room in (64 * 1024 * 1024, 1):
+        found = nearest(frame, asked, 4, copies="copy", settings=Settings(query_broadcast_bytes=room, embedding_dim=2))
+        assert [r.id for r in found.orderBy("distance").collect()] == ["c00", "d0", "d1", "d2"]
+
+
+def test_name_matrix_agrees_with_the_columns(spark):
+    import pandas as pd
+
+    from loomgraph.operators.names import kind_matches, match_matrix, name_matches
+
+    stored = [("Parse", "function"), ("parse_all", "const"), ("", "class"), (None, None), ("x", "arrow"), ("Ünit", "type_alias")]
+    asked = [("parse", None), ("PARSE_ALL_NOW", "variable"), ("", "function"), ("x", "type"), (None, None), ("ünit", "Type")]
+    got = match_matrix(*(pd.Series(c) for c in zip(*stored)), *(pd.Series(c, dtype=object) for c in zip(*asked)))
+    left = spark.createDataFrame([(i, *s) for i, s in enumerate(stored)], "i int, name string, kind string")
+    right = spark.createDataFrame([(j, *a) for j, a in enumerate(asked)], "j int, wanted string, want_kind string")
+    hit = name_matches(F.col("name"), F.col("wanted")) & kind_matches(F.col("kind"), F.col("want_kind"))
+    for r in left.crossJoin(right).select("i", "j", F.coalesce(hit, F.lit(False)).alias("hit")).collect():
+        assert bool(got[r.i, r.j]) == r.hit, (stored[r.i], asked[r.j])

@@ -186,3 +186,23 @@ def test_blanking_keeps_lengths(spark):
     python, script = [r.code for r in frame.select(blanked("text", "language").code.alias("code")).collect()]
     assert python == "x = ~~~~~~    \ny = ~~~~\n```` + z"
     assert script == "a = ~~~~~f(1)~~~~;     \nb = ~~~~~~"
+
+
+def _entities(frame):
+    return sorted(str(r.asDict(recursive=True)) for r in frame.drop("file_path", "text").collect())
+
+
+@pytest.mark.parametrize("language", ["python", "typescript"])
+def test_line_ends_make_no_difference(spark, language):
+    from tests import test_script_source
+
+    source = SOURCE if language == "python" else test_script_source.SOURCE
+    windows, plain = (parse(spark, text, language)[1] for text in (source.replace("\n", "\r\n"), source))
+    assert _entities(windows) == _entities(plain)
+
+
+def test_type_parameters_and_generator_heads(spark):
+    found = parse(spark, "class A[T: (int, str)](B):\n    def m(self): pass\n\ndef f[T](x: T) -> T:\n    return x\n")[1]
+    assert {("class", "A"), ("method", "m"), ("function", "f")} <= {(r.kind, r.name) for r in found.collect()}
+    calls = parse(spark, "function* g() {\n  yield h();\n  g();\n}\nfunction *k() {}\n", "javascript")[1].filter("kind = 'call'")
+    assert {(r.name, r.start_line) for r in calls.collect()} == {("h", 2), ("g", 3)}
