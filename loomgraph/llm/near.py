@@ -9,8 +9,9 @@ below the chosen miss probability. Survivors are compared on their full shingle
 A band's bucket never yields all its pairs: each member meets the bucket's centre first.
 Where a bucket then still holds several components, members of different components may
 have links that join them. A shingle that no other class of such buckets has can't be
-common to a pair, which rules out most of these classes by a count; the others meet across
-components, so that no link that could join two components is lost.
+common to a pair, which rules out classes by a count; the others are compared exactly with
+those of other components, inside the join that finds them, so that no link that could join
+two components is lost and no pair leaves a task but the links.
 """
 
 from __future__ import annotations
@@ -174,12 +175,12 @@ def _exact(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
+def _shingle_lists(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("set_id").to_pylist()
-        for row, hashes in word_hashes(batch.column("text"), lower=True):
-            shingles = shingle_set(hashes, settings.width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), ids[row])), pa.array(shingles)], ["set_id", "shingle"])
+        sets = [shingle_set(hashes, settings.width).view(np.int64) for _, hashes in word_hashes(batch.column("text"), lower=True)]
+        offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("set_id"), lists], ["set_id", "shingles"])
 
 
 class _Corpus:
@@ -220,14 +221,14 @@ class _Corpus:
             .mapInArrow(lambda batches: _exact(batches, settings), "a long, b long")
         )
 
-    def shared_shingles(self, ids: DataFrame) -> DataFrame:
-        """(set_id, n_shared): shingles that at least one other class among ``ids`` has too."""
-        settings, ids = self.settings, ids.distinct()
-        rows = self.texts(ids).mapInArrow(lambda batches: _shingle_rows(batches, settings), "set_id long, shingle long")
-        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.max("set_id").alias("set_id")).where("n = 1")
+    def shingles(self, ids: DataFrame) -> DataFrame:
+        """(set_id, shingles, n_shared) of the classes: n_shared counts the shingles that at
+        least one other class among ``ids`` has too."""
+        settings = self.settings
+        sets = saved(self.texts(ids.distinct()).mapInArrow(lambda batches: _shingle_lists(batches, settings), "set_id long, shingles array<long>"))
+        alone = sets.select("set_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.max("set_id").alias("set_id")).where("n = 1")
         alone = alone.groupBy("set_id").agg(F.count("*").alias("alone"))
-        sizes = self.signatures(ids).select("set_id", "n_shingles")
-        return sizes.join(alone, "set_id", "left").select("set_id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("n_shared"))
+        return sets.join(alone, "set_id", "left").select("set_id", "shingles", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("n_shared"))
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch], settings: NearSettings) -> Iterator[pa.RecordBatch]:
@@ -287,19 +288,26 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = PRODUCTION) -> Dat
     # components. A pair needs its common shingles among those that another open class has.
     told = saved(_labelled(told.select("key", "set_id"), roots))
     rest = saved(_open_buckets(told))
-    rest = saved(rest.join(saved(corpus.shared_shingles(rest.select("set_id"))), "set_id"))
-    least = rest.groupBy("key").agg(F.min("n_shingles").alias("least"))
-    n, shared_n = F.col("n_shingles"), F.col("n_shared")
+    sets = saved(corpus.shingles(rest.select("set_id")))
+    rest = rest.join(sets.select("set_id", "n_shared", F.size("shingles").alias("n")), "set_id")
+    rest = saved(rest)
+    least = rest.groupBy("key").agg(F.min("n").alias("least"))
+    n, shared_n = F.col("n"), F.col("n_shared")
     possible = 100 * shared_n >= settings.threshold_pct * (n + F.greatest("least", shared_n) - shared_n)
-    rest = saved(_open_buckets(rest.join(least, "key").where(possible).drop("least")))
-    across = (
-        rest.select("key", "set_id", "root", "n_shingles", "n_shared").toDF("key", "a", "root_a", "n_a", "shared_a")
-        .join(rest.select("key", "set_id", "root", "n_shingles", "n_shared").toDF("key", "b", "root_b", "n_b", "shared_b"), "key")
-        .where("root_a < root_b").where(_reachable(F.least("shared_a", "shared_b", "n_a", "n_b"), settings))
-        .select("a", "b")
+    rest = _open_buckets(rest.join(least, "key").where(possible).drop("least"))
+    rest = saved(rest.join(sets.drop("n_shared"), "set_id").select("key", "set_id", "root", "n", "n_shared", "shingles"))
+    # The exact comparison is part of the join's condition, so only links leave it.
+    t = settings.threshold_pct
+    left = rest.toDF("key_a", "a", "root_a", "n_a", "shared_a", "set_a")
+    right = rest.toDF("key_b", "b", "root_b", "n_b", "shared_b", "set_b")
+    linked = (
+        (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b"))
+        & _reachable(F.least("shared_a", "shared_b", "n_a", "n_b"), settings)
+        & ((100 + t) * F.size(F.array_intersect("set_a", "set_b")) >= t * (F.col("n_a") + F.col("n_b")))
     )
-    links = saved(links.unionByName(corpus.verified(across)))
-    roots = saved(components(links.toDF("u", "v")))
+    across = saved(left.join(right, linked).select("a", "b").distinct())
+    # The components so far are stars; the new links join them.
+    roots = components(roots.toDF("u", "v").unionByName(across.toDF("u", "v")))
 
     class_root = _labelled(first, roots)
     smallest = class_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
