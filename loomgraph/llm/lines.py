@@ -79,7 +79,8 @@ def running_totals(rows: DataFrame, order: list[str], weights: dict[str, str]) -
 @dataclass
 class Round:
     """One doubling: live suffixes with their rank (line, sub) among those sharing ``lines``
-    lines, and the distinct (rank, rank ``lines`` on) with the rank they get."""
+    lines and what their pair of ranks has, and the distinct (rank, rank ``lines`` on) with
+    the rank they get."""
 
     lines: int
     live: DataFrame
@@ -107,12 +108,11 @@ def prefix_doubling(sequences: DataFrame, settings: LineSettings = PRODUCTION) -
             return
         pairs = live.groupBy(*_PAIR).agg(F.count("*").alias("members"), F.min(F.struct(*DOC, "n")).alias("first"))
         placed = running_totals(pairs.withColumn("one", F.lit(1)), _PAIR, {"smaller": "members", "number": "one"}).drop("one")
-        placed = saved(placed)
         start = placed.groupBy("line", "sub").agg(F.min("smaller").alias("start"))
         placed = placed.join(start, ["line", "sub"]).withColumn("new_sub", F.col("sub") + F.col("smaller") - F.col("start")).drop("start", "smaller")
         placed = saved(placed)
-        yield Round(lines, live, placed)
-        told = _with_pair(live, placed.select(*_PAIR, "new_sub", "members"))
+        told = saved(_with_pair(live, placed.select(*_PAIR, "new_sub", "members", "first")))
+        yield Round(lines, told, placed.select("number", "line", "sub", "first"))
         state = seen.where("not live").select(*DOC, "n", "line", "sub", "live").unionByName(
             told.select(*DOC, "n", "line", F.col("new_sub").alias("sub"), ((F.col("members") > 1) & F.col("next_line").isNotNull()).alias("live")))
         lines *= 2
@@ -137,22 +137,17 @@ def common_prefixes(rounds: list[Round]) -> DataFrame:
                 open_pairs = open_pairs.withColumn("stand", F.col(f"{side}_n") + F.col("lines")).join(at, [f"{side}_place", f"{side}_key", "stand"], "left").drop("stand")
             more = F.when(F.col("p_rank") == F.col("q_rank"), level.lines).otherwise(0)
             open_pairs = saved(open_pairs.withColumn("lines", F.col("lines") + more).drop("p_rank", "q_rank"))
-        own = level.pairs.select("number", "line", "sub", "first")
+        own = level.pairs
         left = own.select((F.col("number") + 1).alias("number"), "line", "sub", F.col("first").alias("p"))
         parted = left.join(own.withColumnRenamed("first", "q"), ["number", "line", "sub"]).select(
             *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in (*DOC, "n")), F.lit(level.lines).alias("lines"))
-        if level.lines > 1:
-            open_pairs = parted if open_pairs is None else open_pairs.unionByName(parted)
-        else:
-            found.append(parted)
+        open_pairs = parted if open_pairs is None else open_pairs.unionByName(parted)
         # Suffixes that end together inside a class share all they have.
-        ended = _with_pair(level.live, level.pairs.select(*_PAIR, "members").where("members > 1 and next_line is null"))
-        found.append(ended.select(*(F.col(c).alias(f"{s}_{c}") for s in "pq" for c in (*DOC, "n")), (F.col("length") - F.col("n")).cast("int").alias("lines")))
-    if open_pairs is not None:
-        found.append(open_pairs)
-    both = [f.select(F.col(f"{s}_place").alias("place"), F.col(f"{s}_key").alias("key"), "lines") for f in found for s in "pq"]
-    out = both[0]
-    for more in both[1:]:
+        ended = level.live.where("members > 1 and next_line is null")
+        found.append(ended.select(*DOC, (F.col("length") - F.col("n")).cast("int").alias("lines")))
+    sides = F.explode(F.array(*(F.struct(F.col(f"{s}_place").alias("place"), F.col(f"{s}_key").alias("key")) for s in "pq")))
+    out = open_pairs.select(sides.alias("doc"), "lines").select("doc.*", "lines")
+    for more in found:
         out = out.unionByName(more)
     return out
 
@@ -176,8 +171,7 @@ def line_dedup(docs: DataFrame, settings: LineSettings = PRODUCTION) -> DataFram
     gone = None
     for r in rounds:
         if 2 * r.lines == settings.min_lines:
-            again = r.pairs.where("members > 1 and next_line is not null").select(*_PAIR, "first")
-            later = _with_pair(r.live, again).where(F.struct(*DOC, "n") != F.col("first"))
+            later = r.live.where("members > 1 and next_line is not null").where(F.struct(*DOC, "n") != F.col("first"))
             gone = later.select(*DOC, F.explode(F.sequence(F.col("n"), F.col("n") + settings.min_lines - 1)).alias("n")).distinct().withColumn("gone", F.lit(True))
     identified = _identified(docs)
     if gone is None:
