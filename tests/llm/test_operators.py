@@ -210,6 +210,30 @@ def test_passages_cover_exact_repeats_and_survive_edits(make_docs):
     assert max(r.passage_end - r.passage_start for r in fuzzy) >= 60
 
 
+@pytest.mark.parametrize("every", [8, 9, 10, 12])
+def test_passages_with_frequent_edits_match_brute_force(make_docs, every):
+    rng = random.Random(every)
+    texts = [sentence(rng, 150).split() for _ in range(24)]
+    for i in range(12):  # half of the texts give 60 words to another one, with an edit in every few
+        passage = [w if (k + i) % every else f"new{rng.randrange(999)}" for k, w in enumerate(texts[i][40:100])]
+        at = rng.randrange(60)
+        texts[12 + i][at : at + 60] = passage
+
+    def share(a, b):
+        """The largest share of equal words of 50 in a row, at any offset of the texts."""
+        most = 0
+        for shift in range(50 - len(b), len(a) - 49):
+            same = [a[x] == b[x - shift] for x in range(max(0, shift), min(len(a), len(b) + shift))]
+            most = max([most, *(sum(same[x : x + 50]) for x in range(len(same) - 49))])
+        return most / 50
+
+    brute = {(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= PassageSettings().min_share}
+    assert brute == {(12 + i, i) for i in range(12)}
+    rows = shared_passages(make_docs([" ".join(t) for t in texts])).collect()
+    assert {(r.doc_id, r.source_id) for r in rows} == brute
+    assert all(r.passage_end - r.passage_start >= 50 for r in rows)
+
+
 def test_chains_match_quadratic_search():
     import numpy as np
 
