@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
 Every rule is a ratio of the text in thousandths; a document is rejected where the ratio
-exceeds the rule's cutoff for its stratum. A cutoff is admissible if an exact binomial
-test on the stratum's good holdout documents shows that it rejects less than the rule's
-share of the false-rejection limit. Within a rule, cutoffs are tested from the most
-lenient to the strictest and testing stops at the first failure (fixed-sequence testing);
-over strata and rules the level is divided by their number (Bonferroni). So with
-probability 1 - level, no stratum loses more than the limit of its good documents.
+exceeds the rule's cutoff for its stratum. A joint cutoff, one for every rule, is
+admissible if an exact binomial test on the stratum's good holdout documents shows that
+all its rules together reject less than the false-rejection limit. Joint cutoffs are
+tested in one order, from the most lenient to the strictest, that is fixed without a look
+at labels, and testing stops at the first failure (fixed-sequence testing); over strata
+the level is divided by their number (Bonferroni). So with probability 1 - level, no
+stratum loses more than the limit of its good documents.
 """
 
 from __future__ import annotations
@@ -33,6 +34,23 @@ RULES = {
 }
 #: Cutoffs tried, in thousandths, most lenient first.
 CUTOFFS = (900, 800, 700, 600, 500, 400, 300, 200, 150, 100, 50, 20, 10, 5)
+#: Strictest cutoff of each rule in the first turn, in the order in which rules are tightened:
+#: what running prose keeps below; the second turn goes on to the strictest cutoff of all.
+FIRST_TURN = {"symbols": 10, "shouts": 20, "dup_lines": 300, "capitals": 200, "repeats": 400}
+
+
+def _joint_cutoffs() -> list[dict[str, int]]:
+    steps: list[dict[str, int]] = []
+    for turn in (lambda rule, cutoff: cutoff >= FIRST_TURN[rule], lambda rule, cutoff: cutoff < FIRST_TURN[rule]):
+        for rule in FIRST_TURN:
+            for cutoff in CUTOFFS:
+                if turn(rule, cutoff):
+                    steps.append((steps[-1] if steps else {}) | {rule: cutoff})
+    return steps
+
+
+#: The joint cutoffs in their order: each tightens one rule of the one before; a rule without a cutoff is off.
+JOINT_CUTOFFS = _joint_cutoffs()
 
 
 @dataclass(frozen=True)
@@ -156,38 +174,34 @@ def admissible_cutoff(good: list[int], bad: list[int], n_good: int, limit: float
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, settings: RiskSettings = PRODUCTION) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, false_rejects, bad_rejects) where a rule is certified.
+    """(stratum, rule, cutoff, n_good, false_rejects, bad_rejects) of each stratum's certified rules.
 
-    The holdout is every labelled document that passes the base rules. Labels other
+    The rejected documents are those of all rules of the stratum together. The holdout is every labelled document that passes the base rules. Labels other
     than 0 and 1 and labels without a document are ignored; repeated labels count once.
     """
     marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     holdout = features.where(~base_failed()).join(marked, "doc_id")
-    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _ratio(r).alias("ratio")) for r in RULES)))
-    cuts = F.array(*(F.lit(c) for c in CUTOFFS))
-    # How many of the cutoffs, lenient first, the document passes.
-    passed = F.size(F.filter(cuts, lambda c: F.col("r.ratio") <= c))
-    histogram = saved(
-        holdout.select("stratum", "quality", rules.alias("r")).select("stratum", "quality", "r.rule", passed.alias("passed"))
-        .groupBy("stratum", "rule", "passed", "quality").count()
-    )
-    tests = max(1, histogram.select("stratum").distinct().count() * len(RULES))
-    share, level, cost = settings.limit / len(RULES), settings.level / tests, settings.cost
+    # How many of the joint cutoffs, lenient first, the document passes: as many as its strictest rule lets it.
+    passed = F.lit(len(JOINT_CUTOFFS))
+    for rule in RULES:
+        for cutoff in CUTOFFS:
+            first = next(i for i, joint in enumerate(JOINT_CUTOFFS) if joint.get(rule) == cutoff)
+            passed = F.least(passed, F.when(_ratio(rule) > cutoff, first))
+    histogram = saved(holdout.select("stratum", "quality", passed.alias("passed")).groupBy("stratum", "passed", "quality").count())
+    limit, level, cost = settings.limit, settings.level / max(1, histogram.select("stratum").distinct().count()), settings.cost
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        n = len(CUTOFFS)
+        n = len(JOINT_CUTOFFS)
         count = np.zeros((2, n + 1), np.int64)
         np.add.at(count, (rows["quality"].to_numpy(), rows["passed"].to_numpy()), rows["count"].to_numpy())
-        # Cutoff i rejects documents that pass at most i cutoffs.
+        # Joint cutoff i rejects documents that pass at most i of them.
         rejected = count.cumsum(axis=1)[:, :n].tolist()
         n_good = int(count[1].sum())
-        best = admissible_cutoff(rejected[1], rejected[0], n_good, share, level, cost)
-        if best is None:
-            return pd.DataFrame(columns=["stratum", "rule", "cutoff", "n_good", "false_rejects", "bad_rejects"])
-        return pd.DataFrame([[rows["stratum"].iloc[0], rows["rule"].iloc[0], CUTOFFS[best], n_good, rejected[1][best], rejected[0][best]]],
-                            columns=["stratum", "rule", "cutoff", "n_good", "false_rejects", "bad_rejects"])
+        best = admissible_cutoff(rejected[1], rejected[0], n_good, limit, level, cost)
+        chosen = [] if best is None else [[rows["stratum"].iloc[0], rule, cutoff, n_good, rejected[1][best], rejected[0][best]] for rule, cutoff in JOINT_CUTOFFS[best].items()]
+        return pd.DataFrame(chosen, columns=["stratum", "rule", "cutoff", "n_good", "false_rejects", "bad_rejects"])
 
-    return saved(histogram.groupBy("stratum", "rule").applyInPandas(
+    return saved(histogram.groupBy("stratum").applyInPandas(
         choose, "stratum string, rule string, cutoff int, n_good long, false_rejects long, bad_rejects long"))
 
 

@@ -142,6 +142,33 @@ def test_certified_cutoffs_reject_junk_and_keep_the_clean(spark, make_docs):
     assert all(r.kept for r in quality_verdicts(docs, few).collect())
 
 
+def test_small_strata_certify_joint_cutoffs(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    # Four strata with 240 good documents each; junk by symbols and, in two of them, by exclamation marks.
+    texts = [sentence(rng, 60) if i % 5 else sentence(rng, 60).replace(" ", "### " if i % 2 else "!!! ") for i in range(1200)]
+    docs = make_docs(texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4))
+    marks = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    settings = RiskSettings()
+    chosen = cutoffs(measured(docs), marks).collect()
+    kept = {r.doc_id: r.kept for r in quality_verdicts(docs, marks).collect()}
+    assert {r.stratum for r in chosen} == {"l0", "l1", "l2", "l3"}
+    for r in chosen:
+        good = [i for i in range(1200) if i % 5 and i % 4 == int(r.stratum[1])]
+        assert (r.n_good, r.false_rejects) == (len(good), sum(not kept[i] for i in good))
+        assert binomial_tail(r.false_rejects, r.n_good, settings.limit) <= settings.level / 4
+    assert all(kept[i] == (i % 5 > 0) for i in range(1200))
+
+
+def test_joint_cutoffs_only_tighten():
+    from loomgraph.llm.risk import JOINT_CUTOFFS, RULES
+
+    for a, b in zip(JOINT_CUTOFFS, JOINT_CUTOFFS[1:]):
+        assert a != b and all(b[rule] <= cutoff for rule, cutoff in a.items())
+    assert JOINT_CUTOFFS[-1] == {rule: CUTOFFS[-1] for rule in RULES}
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
