@@ -1,8 +1,9 @@
 """A corpus from raw documents: filter, deduplicate, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and returns documents; its result is written and
-read again as the next stage's input. A stage decides on doc_id: where ids repeat, the
-rows of one id stay or go together. Null ids never go for being someone's copy.
+read again as the next stage's input. A stage that drops documents decides on each row by
+itself, under a key that is written with the rows when it starts: rows without an id and
+rows that share one are judged like all others.
 """
 
 from __future__ import annotations
@@ -18,23 +19,43 @@ from loomgraph.llm.sharding import sharded
 from loomgraph.sources.tables import table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, doc): every row under a key of its own, written once so that it stays the same."""
+    return saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+
+
+def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows for an operator, with the key in place of their id."""
+    return rows.select(F.col("row").alias("doc_id"), *(f"doc.{c}" for c in columns))
+
+
+def _without(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    return rows.join(keyed.select(F.col("doc_id").alias("row")), "row", "left_anti").select("doc.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or a certified cutoff."""
-    return _without(docs, quality_verdicts(docs, table(spark, sf_dir, "labels")).where("not kept"))
+    rows = _rows(docs)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), "quality")
+    marked = rows.select("row", F.col("doc.doc_id").cast("long").alias("id")).join(labels, "id")
+    verdicts = quality_verdicts(_keyed(rows, "text", "lang"), marked.select(F.col("row").alias("doc_id"), "quality"))
+    return _without(rows, verdicts.where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """Keeps one row of each group of near duplicates: of the smallest doc_id (nulls last), then text hash."""
+    rows = _rows(docs)
+    groups = near_duplicates(_keyed(rows, "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"), F.col("row").alias("row"))
+    named = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("text_hash"))
+    first = groups.join(named, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    rows = _rows(docs)
+    return _without(rows, leaks(_keyed(rows, "text"), table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

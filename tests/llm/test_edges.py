@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, odd texts, repeated rows, clashing names and empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import shard_slots
 from loomgraph.llm.tokens import Vocabulary, token_counts
+from tests.llm.conftest import sentence
 
 VOCABULARY = Vocabulary(("▁", "a", "b", "ab", "▁a"), (-2.0, -1.0, -1.0, -1.5, -1.5), True)
 
@@ -84,3 +87,29 @@ def test_stages_take_odd_documents(spark, edge_docs, no_docs, tmp_path, stage):
     assert set(edge_docs.columns) <= set(out.columns)
     assert out.where(F.col("doc_id").isNotNull()).join(edge_docs.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0
     assert run(spark, no_docs, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_rows_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 80) for _ in "abc")
+    item = "one two three four five six seven eight"
+    rows = [(5, a), (5, a), (None, a), (3, a), (5, b), (None, b), (None, c), (None, c), (None, None), (None, None), (9, ""), (3, "too short"),
+            (None, "too short"), (None, f"{sentence(rng, 70)} {item}"), (6, f"{sentence(rng, 70)} {item}"), (6, sentence(rng, 90))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+
+    def order(row):
+        return row[0] is None, row[0] or 0, row[1] is None, row[1] or ""
+
+    def one_of_each(rows):  # the copies here are exact; wordless texts are nobody's
+        first = {}
+        for row in sorted(rows, key=order):
+            first.setdefault(row[1] or object(), row)
+        return list(first.values())
+
+    expected = [[r for r in rows if len((r[1] or "").split()) >= 50], one_of_each(rows), [r for r in rows if item not in (r[1] or "")]]
+    for (name, stage), left in zip(corpus_pipeline.STAGES, expected):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(left, key=order), name
