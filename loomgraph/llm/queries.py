@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from loomgraph.llm.codes import codes_sql, vector_codes
 from loomgraph.llm.common import documents
 from loomgraph.llm.contamination import leaks
 from loomgraph.llm.licences import known_licences, licence_lookup, lookup_sql
@@ -74,6 +75,11 @@ def op10_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), load_vocabulary(VOCABULARY_FILE))
 
 
+def op13_anchor_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_collinear_passages": op8_collinear_passages,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_count_only_viterbi": op10_count_only_viterbi,
+    "op13_anchor_tree_codes": op13_anchor_tree_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -93,6 +100,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n
 SQL: dict[str, str] = {
     "op3_licence_digests": lookup_sql(),
     "op4_suffix_array_lines": dedup_sql(),
+    "op13_anchor_tree_codes": codes_sql(),
     "op9_minhash_containment": f"""
         with i as (select item_id, {_TOKENS} w from benchmark),
         k as (select item_id, w, least(5, len(w)) k from i where len(w) > 0),

@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_each_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_of_documents(spark):
