@@ -274,7 +274,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, settings: CodeSetting
 
     def built(ids, labels, rows):
         numbers, step = whole_numbers(rows, settings.scale), width // settings.parts
-        trees = [metric_tree(numbers[:, p * step : (p + 1) * step], settings.leaf_points) for p in range(settings.parts)]
+        trees = [vars(metric_tree(numbers[:, p * step : (p + 1) * step], settings.leaf_points)) for p in range(settings.parts)]
         return pa.RecordBatch.from_arrays(
             [pa.array([ids], pa.list_(pa.int64())), pa.array([labels], pa.list_(pa.string())), pa.array([pickle.dumps(trees, 5)], pa.binary())],
             ["vec_ids", "labels", "tree"])
@@ -292,12 +292,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, settings: CodeSetting
         yield built(ids, labels, rows)
 
 
+def _trees(stored: pa.Scalar) -> list[Tree]:
+    return [Tree(**fields) for fields in pickle.loads(stored.as_py())]
+
+
 def _rounds(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(part, entry, position, limb, value): counts at position -1; sums in limbs of 40 bits."""
     for batch in batches:
         rows = []
         for tree in batch.column("tree"):
-            for p, (one, book) in enumerate(zip(pickle.loads(tree.as_py()), books)):
+            for p, (one, book) in enumerate(zip(_trees(tree), books)):
                 for e, n, sums in _added(one, book):
                     for at, value in enumerate([n, *sums], -1):
                         limb = 0
@@ -316,7 +320,7 @@ def _coded(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterat
     for batch in batches:
         for ids, labels, tree in zip(batch.column("vec_ids"), batch.column("labels"), batch.column("tree")):
             codes, total = np.full(len(ids), "", object), 0
-            for one, book in zip(pickle.loads(tree.as_py()), books):
+            for one, book in zip(_trees(tree), books):
                 entry, error = _entries_of(one, book)
                 codes, total = codes + digits[entry].astype(object), total + error
             errors = [int(v) if v < 1 << 63 else None for v in total.tolist()]
