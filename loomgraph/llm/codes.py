@@ -395,22 +395,22 @@ def codes_sql(settings: CodeSettings = PRODUCTION) -> str:
         n as (select row_number() over (order by vec_id nulls last, embedding) r, vec_id, label, embedding v from embeddings
               where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         w as (select len(v) // {p} s from n limit 1),
-        x as (select r, (i - 1) // s part, (i - 1) % s at, floor({settings.scale} * v[i]::double)::bigint c
+        x as (select r, (i - 1) // s part, (i - 1) % s pos, floor({settings.scale} * v[i]::double)::bigint c
               from (select r, v, s, unnest(range(1, s * {p} + 1)) i from n, w)),
-        b0 as (select part, r - 1 entry, at, c from x where r <= {k})"""]
+        b0 as (select part, r - 1 entry, pos, c from x where r <= {k})"""]
     for t in range(settings.rounds + 1):
         steps.append(f"""
-        d{t} as (select x.r, x.part, b.entry, sum((x.c - b.c) * (x.c - b.c))::hugeint far from x join b{t} b using (part, at) group by all),
+        d{t} as (select x.r, x.part, b.entry, sum((x.c - b.c) * (x.c - b.c))::hugeint far from x join b{t} b using (part, pos) group by all),
         a{t} as (select r, part, m % {k} entry, m // {k} far from (select r, part, min(far * {k} + entry) m from d{t} group by r, part))""")
         if t < settings.rounds:
             steps.append(f"""
-        m{t} as (select part, entry, at, sum(c)::hugeint s, count(*) n from x join a{t} using (r, part) group by all),
-        b{t + 1} as (select part, entry, at, coalesce((s - ((s % n) + n) % n) // n, c)::bigint c from b{t} left join m{t} using (part, entry, at))""")
+        m{t} as (select part, entry, pos, sum(c)::hugeint s, count(*) n from x join a{t} using (r, part) group by all),
+        b{t + 1} as (select part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c)::bigint c from b{t} left join m{t} using (part, entry, pos))""")
     end = settings.rounds
     return f"""
         with {','.join(steps)},
-        h as (select sha256(string_agg(c::varchar, ',' order by part, entry, at)) codebooks_sha256 from b{end}),
-        e as (select r, string_agg(lpad(to_hex(entry), 2, '0'), '' order by part) code, sum(far)::bigint error from a{end} group by r)
+        h as (select sha256(string_agg(c::varchar, ',' order by part, entry, pos)) codebooks_sha256 from b{end}),
+        e as (select r, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) code, sum(far)::bigint error from a{end} group by r)
         select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, codebooks_sha256
         from n join e using (r), h
     """

@@ -132,3 +132,17 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(windows(hashes, min(width, len(hashes))))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every span of bytes (none empty), in slices of SLICE_BYTES or one longer span."""
+    lengths = end - start
+    edges, out = np.concatenate([[0], np.cumsum(lengths)]), np.zeros(len(start), _U)
+    with np.errstate(over="ignore"):
+        for i, j in _slices(edges):
+            size = lengths[i:j]
+            begin = edges[i:j] - edges[i]
+            place = np.arange(edges[j] - edges[i]) - np.repeat(begin, size)
+            value = _EXACT[data[np.repeat(start[i:j], size) + place]] * _places(int(size.max()))[place]
+            out[i:j] = mix(np.add.reduceat(value, begin))
+    return out

@@ -15,6 +15,7 @@ from loomgraph.llm.lines import dedup_sql, line_dedup
 from loomgraph.llm.mixing import mix_report
 from loomgraph.llm.near import near_duplicates
 from loomgraph.llm.passages import shared_passages
+from loomgraph.llm.phrases import collocations, phrases_sql
 from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import shard_slots
@@ -75,6 +76,11 @@ def op10_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), load_vocabulary(VOCABULARY_FILE))
 
 
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score."""
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_anchor_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, code, error, label_error, codebooks_sha256."""
     return vector_codes(table(spark, sf_dir, "embeddings"))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_collinear_passages": op8_collinear_passages,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_count_only_viterbi": op10_count_only_viterbi,
+    "op12_son_collocations": op12_son_collocations,
     "op13_anchor_tree_codes": op13_anchor_tree_codes,
     "pipeline": corpus_pipeline.run,
 }
@@ -100,6 +107,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n
 SQL: dict[str, str] = {
     "op3_licence_digests": lookup_sql(),
     "op4_suffix_array_lines": dedup_sql(),
+    "op12_son_collocations": phrases_sql(),
     "op13_anchor_tree_codes": codes_sql(),
     "op9_minhash_containment": f"""
         with i as (select item_id, {_TOKENS} w from benchmark),
