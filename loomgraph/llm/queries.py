@@ -20,6 +20,7 @@ from loomgraph.llm.pii import find_personal_data
 from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import shard_slots
 from loomgraph.llm.tokens import load_vocabulary, token_counts
+from loomgraph.llm.warc import archived_pages, archived_sql
 from loomgraph.sources.tables import table
 
 #: A sentencepiece model whose pieces and scores serve as the unigram vocabulary.
@@ -76,6 +77,11 @@ def op10_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), load_vocabulary(VOCABULARY_FILE))
 
 
+def op11_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
     return collocations(documents(spark, sf_dir))
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_collinear_passages": op8_collinear_passages,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_count_only_viterbi": op10_count_only_viterbi,
+    "op11_splittable_warc": op11_splittable_warc,
     "op12_son_collocations": op12_son_collocations,
     "op13_anchor_tree_codes": op13_anchor_tree_codes,
     "pipeline": corpus_pipeline.run,
@@ -107,6 +114,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n
 SQL: dict[str, str] = {
     "op3_licence_digests": lookup_sql(),
     "op4_suffix_array_lines": dedup_sql(),
+    "op11_splittable_warc": archived_sql(),
     "op12_son_collocations": phrases_sql(),
     "op13_anchor_tree_codes": codes_sql(),
     "op9_minhash_containment": f"""
