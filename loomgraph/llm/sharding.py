@@ -29,23 +29,26 @@ def jump_shard(key: Column, shards: int) -> Column:
 
     The state is (shard, next jump, key). Every jump goes at least one shard further, so
     ``shards`` rounds are enough; a round after the last jump changes nothing. Products
-    modulo 2^64 are made of two halves, each below 10^38.
+    modulo 2^64 are made of two halves, each below 10^38. Whole quotients and remainders
+    only: division of decimals would round before it is floored.
     """
     two32 = F.lit(2**32).cast("decimal(38,0)")
 
     def number(expression: Column) -> Column:
         return expression.cast("decimal(38,0)")
 
+    def whole_quotient(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
     def next_key(k: Column) -> Column:
         step, whole = number(F.lit(_STEP)), number(F.lit(_TWO64))
-        high = number(F.floor(k / two32))
-        low = number(k - number(high * two32))
+        high, low = number(whole_quotient(k, two32)), number(k % two32)
         top = number(number(number(high * step) % two32) * two32)
         return number((number(low * step) + top + number(F.lit(1))) % whole)
 
     def jump(state: Column, _) -> Column:
         k = next_key(state["key"])
-        draw = F.floor(k / F.lit(2**33).cast("decimal(38,0)")).cast("double") + 1
+        draw = whole_quotient(k, number(F.lit(2**33))).cast("double") + 1
         ahead = F.floor((state["next"] + 1).cast("double") * (F.lit(float(2**31)) / draw)).cast("long")
         live = state["next"] < shards
         return F.struct(

@@ -191,6 +191,25 @@ def test_shards_follow_the_published_algorithm(spark, make_docs):
         assert all(r.shard == jump(int(hashlib.md5(f"={r.doc_id}".encode()).hexdigest()[:16], 16), n) for r in sharded(docs, n).collect())
 
 
+def test_shards_are_exact_at_the_word_border(spark):
+    """Keys whose state has a low word just below 2^32, where rounded quotients are one too large."""
+    from loomgraph.llm.sharding import jump_shard, stable_key
+    from pyspark.sql import functions as F
+
+    step, two64, rng = 2862933555777941757, 2**64, random.Random(9)
+    back = pow(step, -1, two64)
+    keys = [((rng.randrange(2**32) << 32 | 2**32 - 1 - rng.randrange(2200)) - back_step) * pow(back, n, two64) % two64
+            for _ in range(1500) for n in (0, 1) for back_step in (n,)]
+    frame = spark.createDataFrame([(str(k),) for k in keys + [0, 1, two64 - 1]], "k string")
+    key = F.col("k").cast("decimal(38,0)")
+    for r in frame.select("k", jump_shard(key, 8).alias("eight"), jump_shard(key, 9).alias("nine"), jump_shard(key, 300).alias("many")).collect():
+        assert (r.eight, r.nine, r.many) == tuple(jump(int(r.k), n) for n in (8, 9, 300))
+    ids = spark.createDataFrame([(453274,), (4576462,), (6214314,)], "doc_id long")
+    assert [r[0] for r in ids.select(jump_shard(stable_key(F.col("doc_id")), 8)).collect()] == [7, 6, 0]
+    many = spark.range(0, 400_000, numPartitions=4).select(jump_shard(stable_key(F.col("id")), 8).alias("s"))
+    assert many.agg(F.min("s"), F.max("s")).first()[:] == (0, 7)
+
+
 def test_targets_stop_at_the_cap():
     got = targets([("b", 100), ("a", 10), (None, 1000), ("c", 100)], (1, 2, 3), 3)
     assert got["a"] == 30 and got["b"] == 300 and got["c"] == 300 and got[None] == pytest.approx(580)
