@@ -4,13 +4,18 @@ A phrase that occurs ``support`` times in a language occurs, in at least one sha
 share w of the language's words, support * w times or more. So every shard, a bounded run of
 documents, is mined completely at ceil(support * w): level by level, a run of k words is
 looked at only if its first and its last k - 1 words are frequent in the shard. The union of
-what shards find holds every phrase frequent in the whole, and a second pass counts each of
-its members in all shards.
-
-Words are named by 64-bit hashes inside a pass, phrases by a hash of theirs, and candidates
-carry their text. From ``support`` shards of a language on (300 million of its words as set
-below) the local support is 1: then nothing is pruned locally, and the counts of all
-phrases are shuffled once to those of the candidates.
+what shards find holds every phrase frequent in the whole. A shard that doesn't report a phrase
+holds it less often than its support, so the reports also bound each phrase's count from
+above, and phrases whose bound is too small leave the union. A last pass counts each of its
+members in all shards.
+
+Words and pairs are mined and united first; longer runs are then mined only over pairs of that
+union, so that they stay few where shards are many and the local support comes down to 1
+(from ``support`` shards of a language on, 300 million of its words as set below).
+
+Words are named by 64-bit hashes, phrases by a hash of theirs. What is shipped to all tasks
+is the union's hashes up to a bound, beyond it a Bloom filter of fixed size, whose false hits
+the join with the union drops.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.common import saved
-from loomgraph.llm.hashing import buffers, byte_hashes, windows
+from loomgraph.llm.hashing import buffers, byte_hashes, mix, windows
 
 #: Bytes that end a piece; blanks and tabs end words besides.
 _ENDS_PIECE = np.zeros(256, bool)
@@ -41,7 +46,8 @@ class PhraseSettings:
     longest: int = 5
     top: int = 2000
     shard_words: int = 3_000_000
-    shipped: int = 2_000_000  # candidates whose hashes, 8 bytes each, go to all tasks
+    shipped: int = 1_000_000  # hashes, 8 bytes each, that go to all tasks
+    filter_bits: int = 27  # the filter beyond that has 2 to this power
 
 
 PRODUCTION = PhraseSettings()
@@ -75,11 +81,35 @@ def runs(shard: Shard, k: int) -> np.ndarray:
     return shard.piece[:n] == shard.piece[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def frequent(shard: Shard, support: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+@dataclass
+class Shipped:
+    """A set of hashes in all tasks: exact, or a Bloom filter."""
+
+    hashes: np.ndarray | None
+    bits: np.ndarray | None = None
+    power: int = 0
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.logical_and.reduce([self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in filter_places(hashes, self.power)]).astype(bool)
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        at = np.searchsorted(self.hashes, hashes)
+        return self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+
+
+def filter_places(hashes: np.ndarray, power: int) -> list[np.ndarray]:
+    """Four places of each hash in a filter of 2^power bits."""
+    with np.errstate(over="ignore"):
+        return [(mix(hashes + np.uint64(k)) >> np.uint64(64 - power)).astype(np.int64) for k in range(4)]
+
+
+def frequent(shard: Shard, support: int, longest: int, allowed=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, first place, count) of every run of up to ``longest`` words found ``support`` times.
 
     ``name`` numbers, per place, the frequent run of k words there; equal runs share a
     number, so a run of k words is a pair of the numbers of its two overlapping parts.
+    ``allowed`` tells of places which pairs of words may be part of longer runs.
     """
     words, name, count = np.unique(shard.word, return_inverse=True, return_counts=True)
     places = np.arange(len(shard.word))
@@ -100,6 +130,8 @@ def frequent(shard: Shard, support: int, longest: int) -> Iterator[tuple[int, np
         first = np.full(len(count), len(shard.word))
         np.minimum.at(first, inverse, places)
         yield k, first[keep], count[keep]
+        if k == 2 and allowed is not None:
+            keep[keep] = allowed(first[keep])
         number = np.where(keep, np.cumsum(keep) - 1, -1)
         name = np.full(len(shard.word), -1)
         name[places] = number[inverse]
@@ -133,37 +165,89 @@ def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iter
         yield lang, shard_of(texts)
 
 
-def _mined(batches: Iterator[pa.RecordBatch], totals: dict[str, int], settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
+def _local_support(n: int, lang: str, totals: dict[str, int], settings: PhraseSettings) -> int:
+    return max(1, -(-settings.support * n // totals[lang]))
+
+
+_MINED = "lang string, id long, k int, c long, slack long"
+
+
+def _mined(batches: Iterator[pa.RecordBatch], totals: dict[str, int], pairs: Shipped | None, settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
+    """Per shard its frequent words and pairs, or its longer runs over ``pairs``, with their
+    counts; and a row of k = 0. ``slack`` is what a phrase not reported may count at most."""
+
+    def batch_of(lang, ids, k, counts, slack):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(ids, pa.int64()), pa.array(np.full(n, k, np.int32)), pa.array(counts, pa.int64()), pa.array(np.full(n, slack))],
+                                          ["lang", "id", "k", "c", "slack"])
+
     for lang, shard in _shards(batches, settings):
-        n = len(shard.word)
-        if not n:
+        if not len(shard.word):
             continue
-        support = max(1, -(-settings.support * n // totals[lang]))
-        for k, first, _ in frequent(shard, support, settings.longest):
-            hashes = salted(windows(shard.word, k), lang)[first].view(np.int64)
-            whole = shard.data.tobytes()
-            for at in range(0, len(first), 50_000):
-                some = first[at : at + 50_000]
-                spans = zip(shard.start[some].tolist(), shard.end[some + k - 1].tolist())
-                # Words of one piece are parted by blanks and tabs alone.
-                texts = [b" ".join(p for p in whole[a:b].replace(b"\t", b" ").split(b" ") if p) for a, b in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some)), pa.array(hashes[at : at + 50_000]), pa.array(np.full(len(some), k, np.int32)), pa.array(texts, pa.binary())],
-                    ["lang", "id", "k", "phrase"])
+        support = _local_support(len(shard.word), lang, totals, settings)
+        yield batch_of(lang, [0], 0, [0], support - 1)
+        allowed = None
+        if pairs is not None:
+            two = salted(windows(shard.word, 2), lang)
+            allowed = lambda places, two=two: pairs.has(two[places])
+        for k, first, count in frequent(shard, support, 2 if pairs is None else settings.longest, allowed):
+            if (k > 2) == (pairs is not None):
+                ids = salted(windows(shard.word, k), lang)[first].view(np.int64)
+                for at in range(0, len(first), 100_000):
+                    yield batch_of(lang, ids[at : at + 100_000], k, count[at : at + 100_000], support - 1)
+
+
+_COUNTED = "lang string, id long, k int, f long, phrase binary"
 
 
-def _counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
-    """(lang, id, f): the shard's counts of the wanted phrases, or of all."""
+def _counted(batches: Iterator[pa.RecordBatch], totals: dict[str, int], wanted: Shipped, settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
+    """The shard's counts of the wanted phrases, with the phrase where it is frequent in the shard."""
     for lang, shard in _shards(batches, settings):
+        if not len(shard.word):
+            continue
+        whole, support = shard.data.tobytes(), _local_support(len(shard.word), lang, totals, settings)
         for k in range(1, settings.longest + 1):
-            hashes = salted(windows(shard.word, k), lang)[runs(shard, k)]
-            if wanted is not None:
-                at = np.searchsorted(wanted, hashes)
-                hashes = hashes[np.append(wanted, np.uint64(0))[at] == hashes][: len(hashes) if len(wanted) else 0]
-            ids, counts = np.unique(hashes, return_counts=True)
-            for at in range(0, len(ids), 100_000):
-                some = ids[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.view(np.int64)), pa.array(counts[at : at + 100_000])], ["lang", "id", "f"])
+            places = np.flatnonzero(runs(shard, k))
+            hashes = salted(windows(shard.word, k), lang)[places]
+            hit = wanted.has(hashes)
+            ids, first, counts = np.unique(hashes[hit], return_index=True, return_counts=True)
+            first = places[hit][first]
+            for at in range(0, len(ids), 50_000):
+                part = slice(at, at + 50_000)
+                spans = zip(shard.start[first[part]].tolist(), shard.end[first[part] + k - 1].tolist(), (counts[part] >= support).tolist())
+                # Words of one piece are parted by blanks and tabs alone.
+                texts = [b" ".join(p for p in whole[a:b].replace(b"\t", b" ").split(b" ") if p) if told else None for a, b, told in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(texts)), pa.array(ids[part].view(np.int64)), pa.array(np.full(len(texts), k, np.int32)), pa.array(counts[part]), pa.array(texts, pa.binary())],
+                    ["lang", "id", "k", "f", "phrase"])
+
+
+def _union(mined: DataFrame, settings: PhraseSettings) -> DataFrame:
+    """(lang, id, k): the reported phrases that may be frequent in the whole."""
+    reports = saved(mined.groupBy("lang", "id", "k").agg(F.sum("c").alias("c"), F.sum("slack").alias("slack")))
+    # One row per language, as the totals that the driver holds.
+    every = F.broadcast(reports.where("k = 0").select("lang", F.col("slack").alias("all_slack")))
+    return saved(reports.where("k > 0").join(every, "lang").where(F.col("c") + F.col("all_slack") - F.col("slack") >= settings.support).select("lang", "id", "k"))
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.concatenate(filter_places(batch.column("id").to_numpy().view(np.uint64), power))
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bits"])
+
+
+def shipped(ids: DataFrame, settings: PhraseSettings) -> Shipped:
+    """The ids (saved), as a set of bounded size."""
+    if ids.count() <= settings.shipped:
+        return Shipped(np.sort(ids.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)))
+    power = settings.filter_bits
+    marked = ids.select("id").mapInArrow(lambda batches: _filter_words(batches, power), "word long, bits long")
+    marked = saved(marked.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")))
+    table = np.zeros(1 << (power - 5), np.uint32)
+    for piece in range(16):  # of at most 2^(power - 9) rows each
+        rows = marked.where(F.col("word") % 16 == piece).toPandas()
+        table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    return Shipped(None, table.view(np.uint8), power)
 
 
 def phrase_counts(docs: DataFrame, settings: PhraseSettings = PRODUCTION) -> tuple[DataFrame, DataFrame]:
@@ -178,14 +262,16 @@ def phrase_counts(docs: DataFrame, settings: PhraseSettings = PRODUCTION) -> tup
     partitions = -(-sum(known.values()) // (2 * settings.shard_words))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     shards = rows.coalesce(max(int(partitions), cores, 1))
-    mined = shards.mapInArrow(lambda batches: _mined(batches, known, settings), "lang string, id long, k int, phrase binary")
-    candidates = saved(mined.groupBy("lang", "id").agg(F.first("k").alias("k"), F.min(F.col("phrase").cast("string")).alias("phrase")))
-    wanted = None
-    if candidates.count() <= settings.shipped:
-        wanted = np.sort(candidates.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64))
-    counted = shards.mapInArrow(lambda batches: _counted(batches, wanted, settings), "lang string, id long, f long")
-    counted = counted.groupBy("lang", "id").agg(F.sum("f").alias("f")).where(F.col("f") >= settings.support)
-    return totals, saved(candidates.join(counted, ["lang", "id"]).select("lang", "k", "phrase", "f"))
+    short = _union(shards.mapInArrow(lambda batches: _mined(batches, known, None, settings), _MINED), settings)
+    pairs = shipped(short.where("k = 2"), settings)
+    long = _union(shards.mapInArrow(lambda batches: _mined(batches, known, pairs, settings), _MINED), settings)
+    candidates = saved(short.unionByName(long))
+    wanted = shipped(candidates, settings)
+    counted = shards.mapInArrow(lambda batches: _counted(batches, known, wanted, settings), _COUNTED)
+    if wanted.bits is not None:
+        counted = counted.join(candidates.select("lang", "id"), ["lang", "id"])
+    counted = counted.groupBy("lang", "id", "k").agg(F.sum("f").alias("f"), F.min(F.col("phrase").cast("string")).alias("phrase"))
+    return totals, saved(counted.where(F.col("f") >= settings.support).select("lang", "k", "phrase", "f"))
 
 
 def collocations(docs: DataFrame, settings: PhraseSettings = PRODUCTION) -> DataFrame:
