@@ -8,9 +8,10 @@ rows that share one are judged like all others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loomgraph.llm.common import documents, saved
+from loomgraph.llm.common import broadcastable, documents, saved
 from loomgraph.llm.contamination import leaks
 from loomgraph.llm.mixing import mixed
 from loomgraph.llm.near import near_duplicates
@@ -18,10 +19,25 @@ from loomgraph.llm.risk import quality_verdicts
 from loomgraph.llm.sharding import sharded
 from loomgraph.sources.tables import table
 
+#: Files of one input whose names are broadcast; more are joined.
+MAX_FILES = 100_000
+
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(row, doc): every row under a key of its own, written once so that it stays the same."""
-    return saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    """(row, doc): every row under a key of its own that is the same whenever it is read.
+
+    Rows read from Parquet files have one already: their file and their number in it. Other
+    rows are written once under a number.
+    """
+    doc = F.struct(*docs.columns).alias("doc")
+    try:
+        placed = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), doc)
+    except AnalysisException:  # not a scan of such files
+        return saved(docs.select(F.monotonically_increasing_id().alias("row"), doc))
+    number = (F.row_number().over(Window.orderBy("file")) - 1).cast("long")
+    # One row per file; files hold less than 2^40 rows.
+    files = saved(placed.select("file").distinct().withColumn("number", number))
+    return placed.join(broadcastable(files, MAX_FILES), "file").select((F.shiftleft("number", 40) + F.col("at")).alias("row"), "doc")
 
 
 def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -59,14 +75,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    taken = mixed(docs).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    """Every document as often as the mix takes it; own columns of any name come back as they are."""
+    taken = mixed(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source")).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard."""
-    return sharded(docs).drop("grown_shard")
+    """The documents with their shard, which replaces a column of that name."""
+    placed = sharded(docs.select(F.struct(*(c for c in docs.columns if c != "shard")).alias("doc"), "doc_id"))
+    return placed.select("doc.*", "shard")
 
 
 STAGES = [
