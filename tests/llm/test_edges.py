@@ -108,8 +108,20 @@ def test_stages_judge_rows_of_null_and_repeated_ids(spark, tmp_path):
             first.setdefault(row[1] or object(), row)
         return list(first.values())
 
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
     expected = [[r for r in rows if len((r[1] or "").split()) >= 50], one_of_each(rows), [r for r in rows if item not in (r[1] or "")]]
     for (name, stage), left in zip(corpus_pipeline.STAGES, expected):
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns
-        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(left, key=order), name
+        for given in (docs, read):  # rows numbered when written, and by their place in files
+            out = stage(spark, given, str(tmp_path))
+            assert out.columns == docs.columns
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(left, key=order), name
+
+
+def test_mixing_and_sharding_keep_own_columns(spark, edge_docs):
+    names = [c for c in edge_docs.columns if c != "shard"]
+    for stage in (corpus_pipeline.mix, corpus_pipeline.shard):
+        out = stage(spark, edge_docs, "")
+        assert out.select(*names).exceptAll(edge_docs.select(*names)).join(edge_docs.select(*names).distinct(), names, "left_anti").where("doc_id is not null").count() == 0
+        assert {tuple(r) for r in out.select("size", "target", "copies").collect()} == {(7, 1.0, 6)}
