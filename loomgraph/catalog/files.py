@@ -9,6 +9,9 @@ from loomgraph.functions.paths import file_name, is_indexable, language_of, repo
 from loomgraph.operators import discovery, snapshots
 from loomgraph.operators.ancestors import nearest_root
 from loomgraph.operators.source_text import line_count
+from loomgraph.plans.store import TABLES, CodeStore, new_snapshot
+from loomgraph.schema import FILE_STATE, conform
+from loomgraph.session import scratch_folder
 from loomgraph.sources.tables import language_suffix, table
 
 EXT_SQL = """case lang when 'en' then '.py' when 'fr' then '.ts' when 'de' then '.js'
@@ -93,7 +96,7 @@ def detect_frameworks(spark, folder):
 
 
 HEAD_SQL = """
-    regexp_replace(hex(content[1:4096]), '(..)', '\\1 ', 'g') as head"""
+    regexp_replace(hex(content), '(..)', '\\1 ', 'g') as head"""
 MINIFIED_SQL = """
     (length(head) // 3 - 0) as bytes, (length(head) - length(replace(head, '0A ', ''))) // 3 + 1 as lines"""
 IS_MINIFIED = "((lines <= 1 and bytes > 1000) or bytes / lines > 500)"
@@ -249,7 +252,7 @@ def snapshot_common(spark, folder):
 
 
 COUNTERS_SQL = ", ".join(
-    f"count(*) filter (status = '{s}') as {s}_files" for s in ("new", "changed", "deleted", "unchanged")
+    f"count(*) filter (status = '{s}') as {s}_files" for s in ("new", "changed", "deleted", "unchanged", "skipped")
 )
 
 
@@ -261,6 +264,51 @@ def snapshot_counters(spark, folder):
     return snapshots.counters(snapshots.diff(_current(spark, folder), _stored(spark, folder)))
 
 
+def _refreshed_store(spark, folder) -> CodeStore:
+    """A store with a first snapshot of the labelled documents and pages, refreshed to all documents.
+
+    Every file has one node, whose id is the file's hash and whose line_count the run's number.
+    """
+    store = CodeStore(spark, scratch_folder(spark), buckets=4)
+
+    def commit(snapshot: str, run: int, files: DataFrame, gone: DataFrame) -> None:
+        nodes = files.select("repo_id", "file_path", F.col("content_hash").alias("id"), F.lit(run).alias("line_count"))
+        store.write_snapshot("nodes", conform(nodes, TABLES["nodes"]), snapshot)
+        fresh = files.withColumns({"deleted": F.lit(False), "data_snapshot": F.lit(snapshot)})
+        state = conform(fresh, FILE_STATE).unionByName(conform(gone.withColumn("deleted", F.lit(True)), FILE_STATE))
+        store.write_snapshot("file_state", state, snapshot)
+        row = state.groupBy("repo_id").agg(F.collect_set(store.bucket()).alias("buckets"))
+        row = row.withColumns({"snapshot": F.lit(snapshot), "kind": F.lit("delta"), "indexed_at": F.current_timestamp()})
+        store.append("repo_state", conform(row, TABLES["repo_state"]))
+
+    stored = _stored(spark, folder)
+    commit(new_snapshot(), 1, stored.select("repo_id", "file_path", "content_hash"), stored.filter("false"))
+    differences = snapshots.diff(_current(spark, folder), store.current("file_state"))
+    touched = differences.filter("status in ('new', 'changed')").withColumn("content_hash", F.col("new_hash"))
+    commit(new_snapshot(), 2, touched, differences.filter("status = 'deleted'"))
+    return store
+
+
+REFRESHED_SQL = f"""with {SNAPSHOT_SQL}, {DIFF_SQL}
+    select cur.repo_id, cur.file_path, cur.content_hash as id, case status when 'unchanged' then 1 else 2 end as run
+    from cur join d using (repo_id, file_path)"""
+
+
+@query("store_refresh", REFRESHED_SQL)
+def store_refresh(spark, folder):
+    """Nodes as readers see them after a refresh that wrote the changed files only."""
+    return _refreshed_store(spark, folder).current("nodes").select("repo_id", "file_path", "id", F.col("line_count").alias("run"))
+
+
+@query("store_compacted", REFRESHED_SQL)
+def store_compacted(spark, folder):
+    """The same nodes once crowded buckets are rewritten and what they hid is removed."""
+    store = _refreshed_store(spark, folder)
+    store.compact(store.crowded(1))
+    store.vacuum(0)
+    return store.current("nodes").select("repo_id", "file_path", "id", F.col("line_count").alias("run"))
+
+
 @query(
     "stale_report",
     f"""with {SNAPSHOT_SQL}, {DIFF_SQL},

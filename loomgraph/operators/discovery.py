@@ -42,7 +42,6 @@ EXCLUDED_EXTENSIONS = (
     ".lock",
 )
 MINIFIED_ENDINGS = (".min.js", ".min.css", ".bundle.js", ".chunk.js")
-MINIFIED_SAMPLE_BYTES = 4096
 MINIFIED_SINGLE_LINE_BYTES = 1000
 MINIFIED_MEAN_LINE_BYTES = 500
 # Framework -> directories it adds to the excluded ones, and name globs (none so far).
@@ -61,8 +60,6 @@ FRAMEWORK_DIRS = {
 FRAMEWORK_GLOBS: dict[str, tuple[str, ...]] = {}
 # Entry files and text marks that give a framework away.
 ENTRY_FILES = ("app.py", "main.py", "wsgi.py", "application.py")
-ENTRY_HEAD_CHARS = 4096
-PACKAGE_HEAD_CHARS = 8192
 PACKAGE_MARKS = {
     '"react"': "react",
     '"next"': "nextjs",
@@ -90,9 +87,8 @@ def repo_markers(listing: DataFrame) -> DataFrame:
 
     text = decoded(F.col("content"))
     entry = at_root & name.isin(*ENTRY_FILES)
-    head = F.lower(F.substring(text, 1, ENTRY_HEAD_CHARS))
+    head = F.lower(text)
     package = at_root & (name == "package.json")
-    package_head = F.substring(text, 1, PACKAGE_HEAD_CHARS)
     votes = [
         F.when(at_root & (name == "manage.py"), F.lit("django")),
         F.when(entry & F.contains(head, F.lit("flask")), F.lit("flask")),
@@ -101,7 +97,7 @@ def repo_markers(listing: DataFrame) -> DataFrame:
         F.when(has_dir("instance"), F.lit("flask")),
         F.when(package, F.lit("node")),
         *[
-            F.when(package & F.contains(package_head, F.lit(mark)), F.lit(framework))
+            F.when(package & F.contains(text, F.lit(mark)), F.lit(framework))
             for mark, framework in PACKAGE_MARKS.items()
         ],
     ]
@@ -232,9 +228,8 @@ def is_minified(relative_path: Column, content: Column) -> Column:
     by_name = F.lit(False)
     for ending in MINIFIED_ENDINGS:
         by_name = by_name | name.endswith(ending)
-    sample = F.substring(content, 1, MINIFIED_SAMPLE_BYTES)
-    size = F.octet_length(sample)
-    text = sample.cast("string")
+    size = F.octet_length(content)
+    text = content.cast("string")
     lines = size - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return (
         by_name
@@ -252,6 +247,15 @@ def discover(
 
     ``languages`` names languages; ``typescript`` includes TSX files.
     """
+    small = listing.filter(F.col("size") <= max_file_size_kb * 1024)
+    named = named_sources(small, repo_rules(listing), languages)
+    return named.filter(~is_minified(F.col("relative_path"), F.col("content"))).select(
+        "repo_id", "path", "relative_path", "language", "size", "content"
+    )
+
+
+def named_sources(files: DataFrame, rules: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """Rows of ``files`` that names and rules let through, with their language; contents don't matter."""
     wanted = set(languages or ())
     if "typescript" in wanted:
         wanted.add("tsx")
@@ -262,12 +266,9 @@ def discover(
         extension.isin(*allowed)
         & ~extension.isin(*EXCLUDED_EXTENSIONS)
         & ~name.isin(*EXCLUDED_NAMES)
-        & (F.col("size") <= max_file_size_kb * 1024)
         & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
-        & ~is_minified(path, F.col("content"))
     )
-    rules = repo_rules(listing)
-    ruled = listing.filter(cheap).join(rules, "repo_id", "left")
+    ruled = files.filter(cheap).join(rules, "repo_id", "left")
     no_dirs = F.array().cast("array<string>")
     kept = ruled.filter(
         ~F.arrays_overlap(F.split(path, "/"), F.coalesce("extra_dirs", no_dirs))
@@ -277,9 +278,7 @@ def discover(
         for pattern in globs:
             hit = F.array_contains("frameworks", framework) & name.rlike(fnmatch.translate(pattern))
             kept = kept.filter(~F.coalesce(hit, F.lit(False)))
-    return kept.select(
-        "repo_id", "path", "relative_path", language_of(path).alias("language"), "size", "content"
-    )
+    return kept.select(*files.columns, language_of(path).alias("language"))
 
 
 def repo_rules(listing: DataFrame) -> DataFrame:

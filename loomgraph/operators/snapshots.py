@@ -43,13 +43,13 @@ def counters(differences: DataFrame) -> DataFrame:
     """Files per status and repository."""
     count = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_files")
     return differences.groupBy("repo_id").agg(
-        count("new"), count("changed"), count("deleted"), count("unchanged")
+        count("new"), count("changed"), count("deleted"), count("unchanged"), count("skipped")
     )
 
 
 def stale_files(differences: DataFrame) -> DataFrame:
-    """The files that differ, as rows: repo_id, status, file_path."""
-    return differences.filter("status <> 'unchanged'").select("repo_id", "status", "file_path")
+    """The files that differ, as rows: repo_id, status, file_path; skipped ones can't be judged."""
+    return differences.filter("status not in ('unchanged', 'skipped')").select("repo_id", "status", "file_path")
 
 
 def staleness(differences: DataFrame, stored_totals: DataFrame | None = None) -> DataFrame:

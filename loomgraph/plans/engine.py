@@ -17,7 +17,7 @@ from loomgraph.plans.store import CodeStore
 from loomgraph.schema import TOOL_CALLS, conform
 from loomgraph.settings import Settings
 from loomgraph.sources.repo_changes import stream_changes
-from loomgraph.sources.repo_files import read_repositories, repo_id
+from loomgraph.sources.repo_files import list_trees, marker_listing, repo_id
 from loomgraph.sources.skills import parse_skills, read_documents, valid_skills
 from loomgraph.streaming.watch import Watchers
 
@@ -35,14 +35,15 @@ class Engine:
         self.spark = spark
         self.settings = settings or Settings.from_env()
         self.embed = embed or hash_embedder(self.settings.embedding_dim)
-        self.store = CodeStore(spark, self.settings.data_dir)
+        self.store = CodeStore(spark, self.settings.data_dir, self.settings.store_buckets)
         self.watchers = Watchers()
         self.active: str | None = None
+        self.problems: DataFrame | None = None  # skipped entries of the last run
 
     # --- indexing ---------------------------------------------------------------
 
-    def _listing(self, paths: list[str]) -> DataFrame:
-        return read_repositories(self.spark, paths, self.settings.max_file_size_kb)
+    def _entries(self, paths: list[str]) -> DataFrame:
+        return list_trees(self.spark, paths)
 
     def index_repository(
         self, path: str | list[str], incremental: bool = True, languages: list[str] | None = None
@@ -51,9 +52,10 @@ class Engine:
         paths = [path] if isinstance(path, str) else list(path)
         roots = {repo_id(p): os.path.realpath(p) for p in paths}
         run = indexing.index(
-            self.store, self._listing(paths), roots, incremental, languages, self.settings, self.embed
+            self.store, self._entries(paths), roots, incremental, languages, self.settings, self.embed
         )
         self.active = paths[-1]
+        self.problems = run.problems
         return run.report.withColumn("duration_seconds", F.round(F.lit(run.seconds), 2))
 
     def refresh_index(self, path: str | list[str] | None = None) -> DataFrame:
@@ -95,7 +97,7 @@ class Engine:
 
     def stale_report(self, path: str | None = None) -> DataFrame:
         target = path or self._require_active()
-        found = indexing.staleness(self.store, self._listing([target]), [repo_id(target)], self.settings)
+        found = indexing.staleness(self.store, self._entries([target]), [repo_id(target)], self.settings)
         row = self.spark.createDataFrame([(repo_id(target),)], "repo_id string")
         return row.join(found, "repo_id", "left").withColumn(
             "is_stale", F.coalesce("is_stale", F.lit(True))
@@ -210,7 +212,7 @@ class Engine:
         registered = skills.embedded(self._skills(), self.embed)
         frameworks: list[str] = []
         if self.active:
-            row = detect_frameworks(self._listing([self.active])).first()  # one row per repository
+            row = detect_frameworks(marker_listing(self._entries([self.active]))).first()  # one row per repository
             frameworks = list(row.frameworks) if row else []
         matches = skills.match(registered, self._question(query), top_k, frameworks, self.embed)
         expanded = skills.expand_dependencies(matches, registered)

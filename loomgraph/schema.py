@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 FILES = (
-    "repo_id string, path string, relative_path string, size bigint, content binary"
+    "repo_id string, path string, relative_path string, size bigint, modified bigint, "
+    "content binary, reason string"
 )
 
 ENTITIES = (
@@ -35,7 +36,8 @@ VECTORS = (
 
 FILE_STATE = (
     "repo_id string, file_path string, content_hash string, language string, "
-    "entity_count bigint, last_indexed_at timestamp, deleted boolean"
+    "entity_count bigint, last_indexed_at timestamp, deleted boolean, size bigint, "
+    "modified bigint, data_snapshot string"
 )
 
 TOOL_CALLS = (

@@ -72,6 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, with column pruning for its readers."""
+    place = scratch_folder(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def work_partitions(spark: SparkSession) -> int:
     """Partition count for work whose cost is far above its size in bytes.
 

@@ -24,6 +24,10 @@ class Settings:
     builtin_skills_dir: str | None = None
     # Largest set of question vectors shipped to executors in one piece.
     query_broadcast_bytes: int = 64 * 1024 * 1024
+    # Folders that a snapshot's rows are dealt to by file path; a refresh writes those it touches.
+    store_buckets: int = 8
+    # Snapshots a bucket may have before it is rewritten as one.
+    store_deltas: int = 8
     # 0 = derive from spark.sql.shuffle.partitions.
     top_k_salts: int = 0
 
