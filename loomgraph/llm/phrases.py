@@ -70,8 +70,8 @@ def shard_of(texts: list[np.ndarray]) -> Shard:
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~_ENDS_WORD[data]
     edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(_ENDS_PIECE[data], dtype=np.int32)[start] if len(data) else np.zeros(0, np.int32)
+    start, end = np.flatnonzero(edge == 1).astype(np.int32), np.flatnonzero(edge == -1).astype(np.int32)
+    piece = np.searchsorted(np.flatnonzero(_ENDS_PIECE[data]).astype(np.int32), start).astype(np.int32)
     return Shard(data, start, end, piece, byte_hashes(data, start, end))
 
 
@@ -132,8 +132,8 @@ def frequent(shard: Shard, support: int, longest: int, allowed=None) -> Iterator
         yield k, first[keep], count[keep]
         if k == 2 and allowed is not None:
             keep[keep] = allowed(first[keep])
-        number = np.where(keep, np.cumsum(keep) - 1, -1)
-        name = np.full(len(shard.word), -1)
+        number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+        name = np.full(len(shard.word), -1, np.int32)
         name[places] = number[inverse]
 
 
@@ -157,7 +157,7 @@ def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iter
             if held[lang] >= most:
                 yield lang, shard_of(waiting.pop(lang))
                 held[lang] = 0
-            elif sum(held.values()) >= 2 * most:
+            elif sum(held.values()) >= 4 * most:
                 largest = max(held, key=held.get)
                 yield largest, shard_of(waiting.pop(largest))
                 held[largest] = 0
@@ -259,7 +259,7 @@ def phrase_counts(docs: DataFrame, settings: PhraseSettings = PRODUCTION) -> tup
     # One number per language goes to the tasks.
     known = {r["lang"]: r["n"] for r in totals.collect()}
     # Few large shards prune better than many small ones.
-    partitions = -(-sum(known.values()) // (2 * settings.shard_words))
+    partitions = -(-sum(known.values()) // (4 * settings.shard_words))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     shards = rows.coalesce(max(int(partitions), cores, 1))
     short = _union(shards.mapInArrow(lambda batches: _mined(batches, known, None, settings), _MINED), settings)
