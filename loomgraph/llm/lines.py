@@ -11,7 +11,11 @@ Neighbours of one class that part in a round share at least h and less than 2h l
 many, the ranks of earlier rounds tell from the largest half down. A class of suffixes
 that share min_lines lines is an interval of the array whose common prefixes are at least
 that long: its first suffix in the order of documents stays, and the min_lines lines of
-each later one go. The union of these over all intervals is what lies in repeated runs.
+each later one go. The union of these over all intervals is what lies in repeated runs. With
+min_lines 1 the classes are those of equal lines, from before the first doubling.
+
+Documents with the same lines enter as one: the first of them stands for the others, whose
+lines are all later copies.
 """
 
 from __future__ import annotations
@@ -30,50 +34,77 @@ _PAIR = ["line", "sub", "next_line", "next_sub"]
 
 @dataclass(frozen=True)
 class LineSettings:
-    min_lines: int = 2  # a power of two
-    broadcast_ids: int = 1_000_000  # of repeated lines, 8 bytes each
+    min_lines: int = 1  # a power of two
+    broadcast_ids: int = 500_000  # of repeated lines or documents, some 40 bytes each
 
     def __post_init__(self):
-        if self.min_lines < 2 or self.min_lines & (self.min_lines - 1):
-            raise ValueError("min_lines must be 2, 4, 8 ...")
+        if self.min_lines < 1 or self.min_lines & (self.min_lines - 1):
+            raise ValueError("min_lines must be 1, 2, 4 ...")
 
 
 PRODUCTION = LineSettings()
 
 
 def _identified(docs: DataFrame) -> DataFrame:
+    """Rows with what names their document, the digest of its lines that have a word, and their number."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), F.xxhash64("doc_id", "text").alias("key"))
+    worded = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
+    return rows.withColumns({"lines_md5": F.unhex(F.md5(F.array_join(worded, "\n"))), "n_worded": F.size(worded)})
+
 
+def _with_first(rows: DataFrame, settings: LineSettings) -> DataFrame:
+    """``rows`` (identified) with, where several documents have the same lines, the first of them."""
+    documents = rows.where("n_worded > 0").groupBy("lines_md5").agg(F.min(F.struct(*DOC)).alias("first_doc"), F.max(F.struct(*DOC)).alias("last_doc"))
+    shared = saved(documents.where("first_doc != last_doc").select("lines_md5", "first_doc"))
+    return rows.join(broadcastable(shared, settings.broadcast_ids), "lines_md5", "left").drop("lines_md5")
 
-def line_sequences(docs: DataFrame) -> DataFrame:
+
+def line_sequences(rows: DataFrame) -> DataFrame:
     """(place, key, at, n, line): every line's position, place among those with a word, id.
 
     Lines without a word have neither n nor id. Rows that repeat id and text are one
     document.
     """
-    rows = _identified(docs).select(*DOC, F.posexplode(F.split("text", "\n")).alias("at", "content"))
-    rows = rows.select(*DOC, "at", F.when(F.col("content").rlike(WORD), F.xxhash64("content")).alias("line"))
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), *DOC).dropDuplicates([*DOC, "at"])
+    lines = rows.select(*DOC, F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    lines = lines.select(*DOC, "at", F.when(F.col("content").rlike(WORD), F.xxhash64("content")).alias("line"))
+    lines = lines.repartition(shuffle_partitions(rows.sparkSession), *DOC).dropDuplicates([*DOC, "at"])
     before = F.expr("count(line) over (partition by place, key order by at) - 1")
-    return rows.withColumn("n", F.when(F.col("line").isNotNull(), before))
+    return lines.withColumn("n", F.when(F.col("line").isNotNull(), before))
 
 
-def running_totals(rows: DataFrame, order: list[str], weights: dict[str, str]) -> DataFrame:
-    """``rows`` with, per weight, the sum over all rows before in the given order.
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their number in order, and the rank their members get within (line, sub).
 
-    Sorted by range, summed within ranges, and moved by the ranges' totals, of which there
-    is one row per range. The order must be total.
+    Sorted by range; totals within ranges are moved by those of the ranges before, of which
+    there is one row per range. A class that began in an earlier range takes its start from
+    there, as the last start before this range.
     """
-    ranged = saved(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()))
-    sums = ranged.groupBy("part").agg(*(F.sum(w).alias(f"all_{out}") for out, w in weights.items()))
-    for out in weights:
-        sums = sums.withColumn(f"base_{out}", F.coalesce(F.expr(f"sum(all_{out}) over (order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)))
-    sums = F.broadcast(sums.select("part", *(f"base_{out}" for out in weights)))
-    within = {out: F.coalesce(F.expr(f"sum({w}) over (partition by part order by {', '.join(order)} rows between unbounded preceding and 1 preceding)"), F.lit(0))
-              for out, w in weights.items()}
-    return ranged.withColumns(within).join(sums, "part").withColumns({out: F.col(out) + F.col(f"base_{out}") for out in weights}).drop("part", *(f"base_{out}" for out in weights))
+    def within(column: str) -> Column:
+        return F.coalesce(F.expr(f"sum({column}) over (partition by part order by {', '.join(_PAIR)} rows between unbounded preceding and 1 preceding)"), F.lit(0))
+
+    ranged = pairs.repartitionByRange(shuffle_partitions(pairs.sparkSession), *_PAIR).withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumns({"smaller": within("members"), "number": F.expr(f"row_number() over (partition by part order by {', '.join(_PAIR)}) - 1").cast("long")})
+    ranged = saved(ranged.withColumn("start", F.expr(f"first_value(smaller) over (partition by part, line, sub order by {', '.join(_PAIR)})")))
+    sums = ranged.groupBy("part").agg(
+        F.sum("members").alias("all"), F.count("*").alias("rows"),
+        F.min(F.struct("line", "sub")).alias("head"), F.max(F.struct("line", "sub", "start")).alias("last"))
+    before = "over (order by part rows between unbounded preceding and 1 preceding)"
+    sums = sums.select(
+        "part", "head", "last", F.expr(f"coalesce(sum(all) {before}, 0)").alias("base"), F.expr(f"coalesce(sum(rows) {before}, 0)").alias("base_number"),
+        F.expr("lag(struct(last.line, last.sub)) over (order by part)").alias("tail"))
+    # A range's last class has its start here unless it fills the range and began before it.
+    goes_on = F.col("head").eqNullSafe(F.col("tail"))
+    begun = F.when(~(goes_on & (F.struct("last.line", "last.sub") == F.col("head"))), F.col("base") + F.col("last.start"))
+    sums = sums.withColumns({"goes_on": goes_on, "begun": begun})
+    sums = sums.select("part", "base", "base_number", F.when(F.col("goes_on"), F.col("head")).alias("open_class"),
+                       F.expr(f"last_value(begun, true) {before}").alias("open_start"))
+    joined = ranged.join(F.broadcast(sums), "part")
+    start = F.when(F.struct("line", "sub") == F.col("open_class"), F.col("open_start")).otherwise(F.col("base") + F.col("start"))
+    return joined.withColumns({
+        "new_sub": F.col("sub") + F.col("base") + F.col("smaller") - start, "number": F.col("number") + F.col("base_number"),
+    }).drop("part", "start", "smaller", "base", "base_number", "open_class", "open_start")
 
 
 @dataclass
@@ -87,11 +118,18 @@ class Round:
     pairs: DataFrame
 
 
-def prefix_doubling(sequences: DataFrame, settings: LineSettings = PRODUCTION) -> Iterator[Round]:
+def repeated_lines(sequences: DataFrame) -> DataFrame:
+    """(line, first): lines found twice or more, with the place of the first in the order of documents."""
+    worded = sequences.where("line is not null")
+    times = worded.groupBy("line").agg(F.count("*").alias("times"), F.min(F.struct(*DOC, "n")).alias("first"))
+    return saved(times.where("times > 1").select("line", "first"))
+
+
+def prefix_doubling(sequences: DataFrame, repeated: DataFrame, settings: LineSettings = PRODUCTION) -> Iterator[Round]:
     """The rounds until every suffix has its place."""
     worded = sequences.where("line is not null").select(*DOC, "n", "line")
-    repeated = saved(worded.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").select("line", F.lit(True).alias("again")))
-    state = worded.join(broadcastable(repeated, settings.broadcast_ids), "line", "left").select(
+    again = broadcastable(repeated.select("line", F.lit(True).alias("again")), settings.broadcast_ids)
+    state = worded.join(again, "line", "left").select(
         *DOC, "n", "line", F.lit(0).cast("long").alias("sub"), F.coalesce("again", F.lit(False)).alias("live"))
     lines = 1
     while True:
@@ -107,10 +145,7 @@ def prefix_doubling(sequences: DataFrame, settings: LineSettings = PRODUCTION) -
         if live.isEmpty():
             return
         pairs = live.groupBy(*_PAIR).agg(F.count("*").alias("members"), F.min(F.struct(*DOC, "n")).alias("first"))
-        placed = running_totals(pairs.withColumn("one", F.lit(1)), _PAIR, {"smaller": "members", "number": "one"}).drop("one")
-        start = placed.groupBy("line", "sub").agg(F.min("smaller").alias("start"))
-        placed = placed.join(start, ["line", "sub"]).withColumn("new_sub", F.col("sub") + F.col("smaller") - F.col("start")).drop("start", "smaller")
-        placed = saved(placed)
+        placed = ranked_pairs(pairs)
         told = saved(_with_pair(live, placed.select(*_PAIR, "new_sub", "members", "first")))
         yield Round(lines, told, placed.select("number", "line", "sub", "first"))
         state = seen.where("not live").select(*DOC, "n", "line", "sub", "live").unionByName(
@@ -161,49 +196,65 @@ def line_dedup(docs: DataFrame, settings: LineSettings = PRODUCTION) -> DataFram
     text, then of the line stays. Copies inside one document count, also where they
     overlap. ``docs`` needs doc_id and text; other columns are ignored. A null text
     counts as empty and comes back empty. Rows that repeat id and text are one document
-    and get equal results. An empty table gives no rows. Lines are told apart by 64-bit
-    hashes.
+    and get equal results. An empty table gives no rows. Texts of any length are read whole.
+    Lines are told apart by 64-bit hashes, documents with the same lines found by 128-bit ones.
     """
-    sequences = saved(line_sequences(docs))
-    rounds = []
-    for r in prefix_doubling(sequences, settings):
-        rounds.append(r)
-    gone = None
-    for r in rounds:
-        if 2 * r.lines == settings.min_lines:
-            later = r.live.where("members > 1 and next_line is not null").where(F.struct(*DOC, "n") != F.col("first"))
-            gone = later.select(*DOC, F.explode(F.sequence(F.col("n"), F.col("n") + settings.min_lines - 1)).alias("n")).distinct().withColumn("gone", F.lit(True))
-    identified = _identified(docs)
-    if gone is None:
-        return identified.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"), F.lit(0).alias("n_deleted"), F.lit(0).alias("longest_run"))
-    touched = saved(gone.select(*DOC).distinct())
+    rows = _with_first(_identified(docs), settings)
+    later = F.col("first_doc").isNotNull() & (F.struct(*DOC) != F.col("first_doc")) & (F.col("n_worded") >= settings.min_lines)
+    sequences = saved(line_sequences(rows.where(~later)))
+    repeated = repeated_lines(sequences)
+    rounds = list(prefix_doubling(sequences, repeated, settings))
+    gone = _later_copies(sequences, repeated, rounds, settings)
+    if gone is None or not rounds:
+        return _cut(rows, None, later)
+    gone = saved(gone)
+    touched = gone.select(*DOC).distinct()
     flagged = sequences.join(touched, DOC, "left_semi").join(gone, [*DOC, "n"], "left")
     flags = flagged.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("flags"))
     longest = common_prefixes(rounds).groupBy(*DOC).agg(F.max("lines").alias("longest_run"))
-    told = saved(longest.join(flags, DOC, "full_outer"))
-    return _cut(identified, told)
+    return _cut(rows, saved(longest.join(flags, DOC, "full_outer")), later)
+
+
+def _later_copies(sequences: DataFrame, repeated: DataFrame, rounds: list[Round], settings: LineSettings) -> DataFrame | None:
+    """(place, key, n, gone): the lines in later copies of runs of min_lines lines."""
+    if settings.min_lines == 1:
+        worded = sequences.where("line is not null").join(broadcastable(repeated, settings.broadcast_ids), "line")
+        later = worded.where(F.struct(*DOC, "n") != F.col("first"))
+        return later.select(*DOC, "n", F.lit(True).alias("gone"))
+    for r in rounds:
+        if 2 * r.lines == settings.min_lines:
+            later = r.live.where("members > 1 and next_line is not null").where(F.struct(*DOC, "n") != F.col("first"))
+            runs = later.select(*DOC, F.explode(F.sequence(F.col("n"), F.col("n") + settings.min_lines - 1)).alias("n"))
+            return runs.distinct().withColumn("gone", F.lit(True))
+    return None
 
 
-def _cut(identified: DataFrame, told: DataFrame) -> DataFrame:
+def _cut(rows: DataFrame, told: DataFrame | None, later: Column) -> DataFrame:
+    """Later documents of the same lines keep the lines without a word; the others lose what is flagged."""
     lines = F.split("text", "\n")
+    blank = F.array_join(F.filter(lines, lambda line: ~line.rlike(WORD)), "\n")
+    if told is None:
+        told = rows.select(*DOC, F.lit(0).alias("longest_run"), F.lit(None).cast("array<struct<at:int,gone:boolean>>").alias("flags")).where("false")
     kept = F.filter(F.zip_with(lines, F.col("flags"), lambda x, f: F.when(~f["gone"], x)), lambda x: x.isNotNull())
-    n_deleted = F.when(F.col("flags").isNull(), 0).otherwise(F.size(F.filter("flags", lambda f: f["gone"])))
-    return identified.join(told, DOC, "left").select(
-        "doc_id", F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(lines).alias("n_lines"), n_deleted.alias("n_deleted"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+    text = F.when(later, blank).when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_deleted = F.when(later, F.col("n_worded")).when(F.col("flags").isNull(), 0).otherwise(F.size(F.filter("flags", lambda f: f["gone"])))
+    longest = F.when(F.col("first_doc").isNotNull(), F.col("n_worded")).otherwise(F.coalesce("longest_run", F.lit(0)))
+    return rows.join(told, DOC, "left").select(
+        "doc_id", text.alias("text"), F.size(lines).alias("n_lines"), n_deleted.alias("n_deleted"), longest.alias("longest_run"))
 
 
-def dedup_sql(min_lines: int = 2) -> str:
+def dedup_sql(min_lines: int = 1) -> str:
     """The same result, by brute force, as SQL over documents (its rows must be distinct)."""
     word = "[^ \\t\\n\\v\\f\\r]"
-    same = ", ".join(f"lead(line, {k}) over w l{k}" for k in range(1, min_lines))
+    same = "".join(f", lead(line, {k}) over w l{k}" for k in range(1, min_lines))
     keys = ", ".join(["line", *(f"l{k}" for k in range(1, min_lines))])
+    whole = f"l{min_lines - 1} is not null" if min_lines > 1 else "true"
     return f"""
         with recursive d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
         a as (select r, doc_id, line, pos from (select r, doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) - 1 pos from d)),
         s as (select r, doc_id, pos, line, row_number() over (partition by r order by pos) - 1 n from a where regexp_matches(line, '{word}')),
-        win as (select r, doc_id, n, line, {same} from s window w as (partition by r order by n)),
-        later as (select r, n from (select *, row_number() over (partition by {keys} order by doc_id, n) i from win where l{min_lines - 1} is not null) where i > 1),
+        win as (select r, doc_id, n, line{same} from s window w as (partition by r order by n)),
+        later as (select r, n from (select *, row_number() over (partition by {keys} order by doc_id, n) i from win where {whole}) where i > 1),
         gone as (select distinct s.r, s.pos from s join later on s.r = later.r and s.n between later.n and later.n + {min_lines - 1}),
         run as (
             select r, n, 1 m, md5(line) g from (select *, count(*) over (partition by line) c from s) where c > 1
