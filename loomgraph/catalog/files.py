@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.catalog.registry import query
 from loomgraph.functions.paths import file_name, is_indexable, language_of, repo_id_of
-from loomgraph.operators import discovery, snapshots
+from loomgraph.operators import digests, discovery, snapshots
 from loomgraph.operators.ancestors import nearest_root
 from loomgraph.operators.source_text import line_count
 from loomgraph.plans.store import TABLES, CodeStore, new_snapshot
@@ -269,7 +269,7 @@ def _refreshed_store(spark, folder) -> CodeStore:
 
     Every file has one node, whose id is the file's hash and whose line_count the run's number.
     """
-    store = CodeStore(spark, scratch_folder(spark), buckets=4)
+    store = CodeStore(spark, scratch_folder(spark), buckets=2)
 
     def commit(snapshot: str, run: int, files: DataFrame, gone: DataFrame) -> None:
         nodes = files.select("repo_id", "file_path", F.col("content_hash").alias("id"), F.lit(run).alias("line_count"))
@@ -324,6 +324,54 @@ def stale_report(spark, folder):
     return found.select("repo_id", "stale_count", "total_indexed", "is_stale", "preview")
 
 
+DIGEST_SQL = """
+    {name}_f as (select repo_id, file_path, string_split(file_path, '/') as parts,
+            ('0x' || substr(md5(file_path || chr(31) || {fact}), 1, 15))::bigint as h from {source}),
+    {name}_d as (select repo_id, n - 1 as depth, array_to_string(parts[1 : n - 1], '/') as directory, h
+            from (select repo_id, parts, h, unnest(range(1, len(parts) + 1)) as n from {name}_f)),
+    {name} as (select repo_id, directory, depth::int as depth, count(*) as files, bit_xor(h) as digest from {name}_d group by all)"""
+
+
+@query(
+    "directory_digests",
+    f"with {LISTING_SQL}, named as (select repo_id, relative_path as file_path, size from listing), "
+    f"{DIGEST_SQL.format(name='t', source='named', fact='size')} select * from t",
+)
+def directory_digests(spark, folder):
+    """Digest of every directory of the corpus as source trees, by path and size."""
+    files = corpus_listing(spark, folder).withColumnRenamed("relative_path", "file_path")
+    return digests.directory_digests(files, "size")
+
+
+def _nested(files: DataFrame) -> DataFrame:
+    """File paths dealt over two levels of directories by the last digits of their number."""
+    number = F.regexp_extract("file_path", r"(\d+)\.", 1)
+    path = F.concat(F.lit("d"), F.right(number, F.lit(1)), F.lit("/e"), F.right(number, F.lit(2)), F.lit("/"), "file_path")
+    return files.select("repo_id", path.alias("file_path"), "content_hash")
+
+
+NESTED_SQL = """
+    {name}_n as (select repo_id, 'd' || right(x, 1) || '/e' || right(x, 2) || '/' || file_path as file_path, content_hash
+            from (select *, regexp_extract(file_path, '(\\d+)\\.', 1) as x from {source}))"""
+
+
+@query(
+    "changed_directories",
+    f"""with {SNAPSHOT_SQL}, {NESTED_SQL.format(name='c', source='cur')}, {NESTED_SQL.format(name='o', source='old')},
+    {DIGEST_SQL.format(name='now', source='c_n', fact='content_hash')}, {DIGEST_SQL.format(name='was', source='o_n', fact='content_hash')},
+    u as (select coalesce(a.repo_id, b.repo_id) as repo_id, coalesce(a.directory, b.directory) as directory, coalesce(a.depth, b.depth) as depth
+          from now a full outer join was b on a.repo_id = b.repo_id and a.directory = b.directory
+          where a.files is distinct from b.files or a.digest is distinct from b.digest)
+    select * from u where not exists (select 1 from u below where below.repo_id = u.repo_id and below.depth = u.depth + 1
+        and (u.depth = 0 or starts_with(below.directory, u.directory || '/')))""",
+)
+def changed_directories(spark, folder):
+    """The deepest directories that differ between the labelled documents and all of them."""
+    now = digests.directory_digests(_nested(_current(spark, folder)), "content_hash")
+    before = digests.directory_digests(_nested(_stored(spark, folder)), "content_hash")
+    return digests.changed_directories(now, before)
+
+
 @query(
     "language_counts",
     f"with {SNAPSHOT_SQL} select repo_id, language, count(*) as files from old group by all",

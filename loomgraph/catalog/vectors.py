@@ -245,6 +245,42 @@ def tool_envelope(spark, folder):
     return envelope(found.join(questions, "query_id"))
 
 
+@query(
+    "file_summary",
+    """
+    with n as (
+        select p_brand || '.py' as file_path, p_name as name, p_type as signature, p_size as start_line, p_partkey % 4 as t,
+               p_brand as module, 'import ' || p_name as statement from part
+        union all select p_brand || '.py', null, null, 0, 4, null, null from part group by p_brand)
+    select 'parts' as repo_id, file_path,
+        case t when 0 then 'functions' when 1 then 'classes' when 2 then 'imports' else 'file' end as bucket,
+        case t when 2 then module when 4 then file_path else name end as name,
+        case t when 2 then statement when 4 then 'Summary of ' || file_path else signature end as text,
+        start_line::int as start_line, start_line::int + 1 as end_line
+    from n where t <> 3 and file_path like '%.py'
+    """,
+)
+def file_summary(spark, folder):
+    """Summaries of all files whose path ends in ``.py``: brands as files of functions, classes, imports, variables."""
+    part = table(spark, folder, "part")
+    kind = F.col("p_partkey") % 4
+    of = lambda *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (kind + 1).cast("int"))
+    path = F.concat("p_brand", F.lit(".py"))
+    module, line = kind == 2, F.col("p_size").cast("int")
+    symbols = part.select(
+        F.lit("parts").alias("repo_id"), path.alias("file_path"), of("CodeFunction", "CodeClass", "CodeImport", "CodeVariable").alias("type"),
+        of("method", "interface", None, "variable").alias("kind"), F.when(~module, F.col("p_name")).alias("name"),
+        F.when(module, F.col("p_brand")).alias("source_module"), F.when(~module, F.col("p_type")).alias("signature"),
+        F.when(module, F.concat(F.lit("import "), "p_name")).alias("import_statement"), line.alias("start_line"), (line + 1).alias("end_line"),
+    )
+    files = part.select(
+        F.lit("parts").alias("repo_id"), path.alias("file_path"), F.lit("CodeFile").alias("type"), F.lit("file").alias("kind"),
+        F.concat(F.lit("Summary of "), path).alias("summary"), F.lit(0).alias("start_line"), F.lit(1).alias("end_line"),
+    ).distinct()
+    nodes = symbols.unionByName(files, allowMissingColumns=True)
+    return search.file_summary(nodes, ".py")
+
+
 # --- names ----------------------------------------------------------------------
 
 PART_NODES_SQL = """

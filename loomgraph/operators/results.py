@@ -59,6 +59,36 @@ def envelope(results: DataFrame) -> DataFrame:
     )
 
 
+def response(results: DataFrame, query: str, stale: dict | None = None) -> DataFrame:
+    """One row: results in sparse JSON by rank, total, query, and a warning where files have changed.
+
+    ``results`` is one question's, cut before; rows without the columns of a search
+    result are given as they are.
+    """
+    searched = {"rank", "file_path", "name", "kind", "signature", "start_line", "end_line", "docstring", "relevance"}
+    row = sparse_json() if searched <= set(results.columns) else F.to_json(F.struct("*"), {"ignoreNullFields": "true"})
+    rank = F.col("rank").cast("bigint") if "rank" in results.columns else F.lit(0).cast("bigint")
+    listed = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), row.alias("json"))))
+    warning, changed = (stale or {}).get("stale_warning"), (stale or {}).get("changed_files", [])
+    return results.agg(
+        F.transform(listed, lambda r: r["json"]).alias("results"),
+        F.count(F.lit(1)).alias("total"),
+    ).withColumns({
+        "query": F.lit(query),
+        "stale_warning": F.lit(warning).cast("string"),
+        "changed_files": F.array(*map(F.lit, changed)).cast("array<string>"),
+    })
+
+
+def response_length() -> Column:
+    """Characters of a response as compact JSON; the warning counts where there is one."""
+    warning = F.when(F.col("stale_warning").isNotNull(), F.struct("stale_warning", "changed_files"))
+    frame = F.to_json(F.struct(F.lit("").alias("results"), "total", "query", warning.alias("_stale")), {"ignoreNullFields": "true"})
+    # The frame's two quotes give way to brackets; rows are joined by commas.
+    inside = F.aggregate("results", F.lit(0), lambda n, r: n + F.length(r)) + F.greatest(F.size("results") - 1, F.lit(0))
+    return (F.length(frame) + inside).cast("bigint")
+
+
 def index_report(counters: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Index outcome per repository, with at most ``ERROR_LIMIT`` error lines."""
     report = counters.withColumn("status", F.lit("completed"))

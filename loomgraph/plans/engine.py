@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomgraph.functions.embedding import Embedder, hash_embedder
 from loomgraph.operators import graph, skills, snapshots, usage
 from loomgraph.operators.discovery import detect_frameworks
+from loomgraph.operators.results import response, response_length
 from loomgraph.plans import index as indexing
 from loomgraph.plans import search
 from loomgraph.plans.store import CodeStore
 from loomgraph.schema import TOOL_CALLS, conform
+from loomgraph.session import materialised
 from loomgraph.settings import Settings
 from loomgraph.sources.repo_changes import stream_changes
 from loomgraph.sources.repo_files import list_trees, marker_listing, repo_id
@@ -25,7 +27,7 @@ from loomgraph.streaming.watch import Watchers
 class Engine:
     """Search, graph, advice and usage over the repositories indexed in one store.
 
-    The repository indexed last is the active one and scopes searches; with
+    The repositories indexed last are the active ones and scope searches; with
     none, all repositories are searched.
     """
 
@@ -37,9 +39,19 @@ class Engine:
         self.embed = embed or hash_embedder(self.settings.embedding_dim)
         self.store = CodeStore(spark, self.settings.data_dir, self.settings.store_buckets)
         self.watchers = Watchers()
-        self.active: str | None = None
+        self.active_paths: list[str] = []
+        self.response: DataFrame | None = None  # of the last call, as one row
         self.problems: DataFrame | None = None  # skipped entries of the last run
 
+    @property
+    def active(self) -> str | None:
+        """The repository indexed last; searches cover all of the call that indexed it."""
+        return self.active_paths[-1] if self.active_paths else None
+
+    @active.setter
+    def active(self, path: str | None) -> None:
+        self.active_paths = [] if path is None else [path]
+
     # --- indexing ---------------------------------------------------------------
 
     def _entries(self, paths: list[str]) -> DataFrame:
@@ -54,12 +66,15 @@ class Engine:
         run = indexing.index(
             self.store, self._entries(paths), roots, incremental, languages, self.settings, self.embed
         )
-        self.active = paths[-1]
+        self.active_paths = paths
         self.problems = run.problems
+        if self.settings.auto_watch:
+            for one in paths:
+                self.watch(one)
         return run.report.withColumn("duration_seconds", F.round(F.lit(run.seconds), 2))
 
     def refresh_index(self, path: str | list[str] | None = None) -> DataFrame:
-        return self.index_repository(path or self._require_active(), incremental=True)
+        return self.index_repository(path or (self._require_active() and self.active_paths), incremental=True)
 
     def watch(self, path: str, **trigger):
         """Refresh ``path`` after each burst of changes; a second call returns the running query."""
@@ -103,6 +118,25 @@ class Engine:
             "is_stale", F.coalesce("is_stale", F.lit(True))
         )
 
+    def stale_warning(self) -> dict | None:
+        """What to warn of: files of the active repositories that changed since they were indexed.
+
+        Equal tree digests settle it; only otherwise are the files' states compared.
+        """
+        total, preview = 0, []
+        for path in self.active_paths if self.settings.stale_check else []:
+            entries = self._entries([path])
+            if indexing.is_settled(self.store, entries, repo_id(path)):
+                continue
+            row = indexing.staleness(self.store, entries, [repo_id(path)], self.settings).first()
+            if row is not None and row.is_stale:
+                total += row.stale_count
+                preview += row.preview
+        if not total:
+            return None
+        message = f"{total} file(s) changed since last index. Call refresh_index to update the knowledge base."
+        return {"stale_warning": message, "changed_files": preview[: snapshots.PREVIEW]}
+
     def _require_active(self) -> str:
         if self.active is None:
             raise ValueError("no active repository: pass a path or index one first")
@@ -111,27 +145,36 @@ class Engine:
     # --- search -----------------------------------------------------------------
 
     def _scope(self) -> tuple[DataFrame, DataFrame, str | None]:
-        repo = repo_id(self.active) if self.active else None
-        ids = [repo] if repo else None
-        return self.store.current("nodes", ids), self.store.current("vectors", ids), repo
+        ids = sorted({repo_id(p) for p in self.active_paths}) or None
+        only = ids[0] if ids and len(ids) == 1 else None
+        return self.store.current("nodes", ids), self.store.current("vectors", ids), only
+
+    def _edges(self) -> DataFrame:
+        return self.store.current("edges", sorted({repo_id(p) for p in self.active_paths}) or None)
 
     def _question(self, text: str, column: str = "query_text") -> DataFrame:
         return self.spark.createDataFrame([(0, text)], f"query_id int, {column} string")
 
     def _recorded(self, tool: str, results: DataFrame, text: str) -> DataFrame:
-        """Log the call with the size of its response; result sets are top-k bounded."""
-        kept = results.persist()
-        size = F.length(F.to_json(F.struct("*")))
-        call = kept.agg(
+        """The rows of a call, evaluated once. Its response goes to ``self.response`` and is
+        what the usage log counts."""
+        kept = materialised(results)
+        self.response = response(kept, text, self.stale_warning())
+        call = self.response.select(
             F.lit(tool).alias("tool"),
             F.current_timestamp().alias("ts"),
-            F.coalesce(F.sum(size), F.lit(0)).alias("response_len"),
-            F.count(F.lit(1)).alias("result_count"),
+            response_length().alias("response_len"),
+            F.col("total").alias("result_count"),
             F.lit(text).alias("query"),
         )
         self.store.append("tool_calls", conform(call, TOOL_CALLS))
         return kept
 
+    def respond(self, tool: str, *args, **named) -> DataFrame:
+        """A tool's response: one row of results in sparse JSON, total, query and stale warning."""
+        getattr(self, tool)(*args, **named)
+        return self.response
+
     def search_code(
         self, query: str, top_k: int = 10, language: str | None = None, file_pattern: str | None = None
     ) -> DataFrame:
@@ -146,7 +189,7 @@ class Engine:
     ) -> DataFrame:
         nodes, vectors, repo = self._scope()
         asked = self._question(name, "name").withColumn("kind", F.lit(kind).cast("string"))
-        edges = self.store.current("edges", [repo] if repo else None)
+        edges = self._edges()
         found = search.find_symbol(
             nodes, vectors, edges, asked, include_relationships, repo, self.embed
         )
@@ -155,7 +198,7 @@ class Engine:
     def _related(self, tool: str, plan, target: str, depth: int, mode: str, reverse: bool) -> DataFrame:
         nodes, vectors, repo = self._scope()
         if mode == "graph":
-            edges = self.store.current("edges", [repo] if repo else None).filter(
+            edges = self._edges().filter(
                 F.col("relationship_name").isin(
                     "calls", "imports", "inherits_from", "exports_symbol", "contains_symbols", "methods"
                 )

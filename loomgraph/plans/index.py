@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.functions.embedding import Embedder
 from loomgraph.operators import code_graph, snapshots
+from loomgraph.operators.digests import file_digest
 from loomgraph.operators.discovery import is_minified, named_sources, repo_rules
 from loomgraph.operators.results import index_report
 from loomgraph.operators.source_text import FILE_KEY, decoded
@@ -76,6 +77,21 @@ class Comparison:
     differences: DataFrame  # repo_id, file_path, status, language, new_hash, old_hash, size, modified
     read: DataFrame  # repo_id, file_path, language, content: the files that were read
     problems: DataFrame  # repo_id, file_path, reason
+    trees: DataFrame  # repo_id, tree_files, tree_digest, tree_newest
+
+
+def listed_sources(entries: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """The files that names and rules let through; only marker files are read."""
+    found = named_sources(entries.filter("kind = 'file'"), repo_rules(marker_listing(entries)), languages)
+    return found.withColumnRenamed("relative_path", "file_path")
+
+
+def tree_digests(sources: DataFrame) -> DataFrame:
+    """One row per repository that tells a tree from another by its files' names, sizes and times."""
+    digest = file_digest(F.col("file_path"), F.col("size"), F.col("modified"), F.col("reason"))
+    return sources.groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("tree_files"), F.bit_xor(digest).alias("tree_digest"), F.max("modified").alias("tree_newest")
+    )
 
 
 def compare(
@@ -93,9 +109,9 @@ def compare(
     them without ``trust_times``.
     """
     most = settings.max_file_size_kb * 1024
-    sources = named_sources(entries.filter("kind = 'file'"), repo_rules(marker_listing(entries)), languages)
+    sources = listed_sources(entries, languages)
     sources = sources.select(
-        "repo_id", F.col("relative_path").alias("file_path"), "path", "language", "size", "modified",
+        *FILE_KEY, "path", "language", "size", "modified", F.col("reason").alias("_reason"),
         F.when(F.col("size") > most, F.concat(F.lit("larger than "), F.lit(settings.max_file_size_kb), F.lit(" KB"))).otherwise(F.col("reason")).alias("reason"),
     )
     old = _scope(stored, languages).select(
@@ -137,7 +153,10 @@ def compare(
     problems = now.filter("reason is not null").select(*FILE_KEY, "reason").unionByName(
         entries.filter("kind = 'directory' and reason is not null").select("repo_id", F.col("relative_path").alias("file_path"), "reason")
     )
-    return Comparison(differences, read.filter("reason is null").select(*FILE_KEY, "language", "content"), problems)
+    trees = tree_digests(listed.drop("reason").withColumnRenamed("_reason", "reason"))
+    if languages:  # a part of the tree
+        trees = trees.filter("false")
+    return Comparison(differences, read.filter("reason is null").select(*FILE_KEY, "language", "content"), problems, trees)
 
 
 def staleness(store: CodeStore, entries: DataFrame, repo_ids: list[str], settings: Settings) -> DataFrame:
@@ -146,6 +165,20 @@ def staleness(store: CodeStore, entries: DataFrame, repo_ids: list[str], setting
     return snapshots.staleness(found.differences)
 
 
+def is_settled(store: CodeStore, entries: DataFrame, repo: str) -> bool:
+    """Whether a repository's tree has the digest of its last full index run.
+
+    Then no file's size or time has changed, and no state of single files is looked at.
+    """
+    columns = ["tree_files", "tree_digest", "tree_newest"]
+    stored = store.repo_state().filter(F.col("repo_id") == repo).select(*columns, F.unix_micros("indexed_at").alias("at")).first()
+    if stored is None or stored.tree_digest is None or stored.tree_newest >= stored.at - RACY_MICROS:
+        return False
+    now = tree_digests(listed_sources(entries)).select(*columns).first()
+    blind = not entries.filter("reason is not null").isEmpty()
+    return not blind and now is not None and tuple(now) == tuple(stored)[:3]
+
+
 def index(
     store: CodeStore,
     entries: DataFrame,
@@ -242,6 +275,7 @@ def _run(store, entries, roots, incremental, languages, settings, embed):
     commits = (
         paths.join(totals, "repo_id", "left")
         .join(placed, "repo_id", "left")
+        .join(found.trees, "repo_id", "left")
         .withColumns({
             "total_files": F.coalesce("total_files", F.lit(0)), "total_entities": F.coalesce("total_entities", F.lit(0)),
             "buckets": F.coalesce("buckets", F.array().cast("array<int>")),

@@ -25,7 +25,8 @@ from loomgraph.settings import Settings
 STAMPED = ", created_at timestamp, updated_at timestamp"
 REPO_STATE = (
     "repo_id string, repo_path string, snapshot string, kind string, buckets array<int>, "
-    "total_files bigint, total_entities bigint, indexed_at timestamp"
+    "total_files bigint, total_entities bigint, indexed_at timestamp, "
+    "tree_files bigint, tree_digest bigint, tree_newest bigint"
 )
 TABLES = {
     "nodes": NODES + STAMPED,

@@ -20,6 +20,10 @@ class Settings:
     advisor_enabled: bool = True
     advisor_min_similarity: float = MIN_SIMILARITY
     debounce_seconds: int = DEBOUNCE_SECONDS
+    # Watch a repository once it is indexed.
+    auto_watch: bool = False
+    # Compare the active repositories with their index at every response.
+    stale_check: bool = True
     user_skills_dir: str | None = None
     builtin_skills_dir: str | None = None
     # Largest set of question vectors shipped to executors in one piece.

@@ -1,8 +1,11 @@
 """Indexing, refreshing and the tools, end to end on small source trees."""
 
+import json
+import os
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.plans import index as indexing
 from loomgraph.plans.engine import Engine
@@ -103,9 +106,19 @@ def test_incremental_refresh(engine, write_tree):
     stale = engine.stale_report().first()
     assert stale.is_stale and stale.stale_count == 3
     assert stale.preview == ["pkg/shapes.py", "pkg/extra.py", "web/app.ts"]
+    for tool, asked in (("search_code", "square"), ("find_symbol", "square"), ("get_dependents", "square"), ("get_file_summary", "shapes.py")):
+        answer = engine.respond(tool, asked).first()
+        assert answer.stale_warning == "3 file(s) changed since last index. Call refresh_index to update the knowledge base."
+        assert answer.changed_files == stale.preview and answer.query == asked and answer.total == len(answer.results) > 0
 
     report = engine.refresh_index().first()
     assert (report.new_files, report.changed_files, report.deleted_files, report.unchanged_files) == (1, 1, 1, 1)
+    answer = engine.respond("search_code", "square", top_k=2).first()
+    assert answer.stale_warning is None and answer.changed_files == [] and answer.total == 2
+    first = json.loads(answer.results[0])
+    assert first["name"] == "square" and first["lines"] == [1, 2] and "docstring" not in first
+    text = json.dumps({"results": list(map(json.loads, answer.results)), "total": 2, "query": "square"}, separators=(",", ":"))
+    assert abs(engine.store._read("tool_calls").orderBy(F.desc("ts")).first().response_len - len(text)) <= 2  # digits of numbers
     nodes = engine.store.current("nodes")
     assert "web/app.ts" not in {r.file_path for r in nodes.collect()}
     assert ("Circle",) not in as_set(nodes, "name") and ("LIMIT",) in as_set(nodes, "name")
@@ -120,6 +133,19 @@ def test_incremental_refresh(engine, write_tree):
     assert "pkg/extra.py" not in {r.file_path for r in engine.store.current("nodes").collect()}
 
 
+def test_an_unchanged_tree_is_settled_by_its_digest(engine, write_tree, monkeypatch):
+    root = write_tree(TREE)
+    for folder, _, names in os.walk(root):
+        for name in names:
+            os.utime(os.path.join(folder, name), (1_600_000_000, 1_600_000_000))
+    engine.index_repository(str(root))
+    monkeypatch.setattr(indexing, "staleness", None)  # not needed
+    assert engine.stale_warning() is None
+    monkeypatch.undo()
+    (root / "new.py").write_text("x = 1\n")
+    assert engine.stale_warning()["changed_files"] == ["new.py"]
+
+
 def test_language_filter_keeps_other_languages(engine, write_tree):
     root = write_tree(TREE)
     engine.index_repository(str(root))
@@ -137,6 +163,10 @@ def test_status_and_several_repositories(engine, write_tree):
     assert status.indexed and status.total_files == 3
     assert status.languages == {"python": 2, "typescript": 1}
     assert engine.index_status("/nowhere").first().indexed is False
+    both = {repo_id(str(one)), repo_id(str(two))}
+    assert {r.repo_id for r in engine.search_code("function", top_k=30).collect()} == both  # all of the call
+    engine.active = str(two)
+    assert {r.repo_id for r in engine.search_code("function", top_k=30).collect()} == {repo_id(str(two))}
     engine.active = None  # no active repository: search all
     repos = {r.repo_id for r in engine.search_code("function", top_k=30).collect()}
     assert repos == {repo_id(str(one)), repo_id(str(two))}
