@@ -123,7 +123,7 @@ def node_degree(spark, folder):
 def node_lookup(spark, folder):
     """Point lookup of nodes by id in batch form: the customer node of every order."""
     wanted = table(spark, folder, "orders").select("o_orderkey", _id("customer", "o_custkey").alias("id"))
-    return wanted.join(trade_nodes(spark, folder), "id").select("o_orderkey", "type", "name")
+    return graph.lookup(trade_nodes(spark, folder), wanted).select("o_orderkey", "type", "name")
 
 
 def _khop_sql(start: str, depth: int, here: str, there: str) -> str:

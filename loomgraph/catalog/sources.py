@@ -380,9 +380,8 @@ def graph_totals(spark, folder):
 def class_bases(spark, folder):
     """Base lists split to rows: the words of a part name as bases of its brand."""
     part = table(spark, folder, "part")
-    return part.select(
-        "p_partkey", F.explode(F.split("p_name", " ")).alias("base"), F.col("p_brand").alias("class_name")
-    ).withColumn("base", F.btrim(F.trim("base"), F.lit("()")))
+    bases = code_graph.base_names(F.col("p_name"), " ")
+    return part.select("p_partkey", F.explode(bases).alias("base"), F.col("p_brand").alias("class_name"))
 
 
 INTERVALS_SQL = """

@@ -211,10 +211,7 @@ def build_edges(entities: DataFrame) -> DataFrame:
     )
     refer = lambda name, relation, origin: row(name, 1, no_definition, F.lit(relation), origin)
     fn, cls = F.lit("CodeFunction:"), F.lit("CodeClass:")
-    bases = F.filter(
-        F.transform(F.split("bases", ","), lambda b: F.btrim(F.trim(b), F.lit("()"))),
-        lambda b: b != "",
-    )
+    bases = base_names(F.col("bases"), ",")
     empty = "array<struct<ref:string,rank:int,definition:struct<id:string,ordinal:bigint,type:string>,relation:string,origin:string>>"
     references = F.concat(
         F.coalesce(defines.cast(empty), F.array().cast(empty)),
@@ -298,6 +295,12 @@ def build_edges(entities: DataFrame) -> DataFrame:
     return conform(edges.select(*FILE_KEY, "_e.*").distinct(), EDGES)
 
 
+def base_names(text: Column, separator: str) -> Column:
+    """The names of a list of base classes, without brackets around it; empty ones left out."""
+    named = F.transform(F.split(text, separator), lambda b: F.btrim(F.trim(b), F.lit("()")))
+    return F.filter(named, lambda b: b != "")
+
+
 def _item(array_type: str) -> str:
     return array_type[len("array<") : -1]
 

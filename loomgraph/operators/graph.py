@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.session import cut_lineage
 
 
+def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted rows with the node of their ``id``; ids without a node give no row."""
+    return wanted.join(nodes, "id")
+
+
 def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two endpoints exist, with the endpoints' names.
 

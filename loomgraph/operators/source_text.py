@@ -115,7 +115,7 @@ def source_lines(files: DataFrame) -> DataFrame:
     bounds every group that later windows work on.
     """
     # One kind of line end, so that a carriage return is neither code nor text.
-    ended = files.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    ended = files.withColumn("text", F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text")))
     masked = ended.select(
         *FILE_KEY, "language", "text", blanked("text", "language").alias("_m")
     ).select(*FILE_KEY, "language", "text", "_m.*")

@@ -236,14 +236,14 @@ def find_symbol(
 def get_dependencies(nodes, vectors, targets, repo_id=None, embed=None, top_k_rows=20) -> DataFrame:
     """What a file or symbol depends on, by meaning (see graph.reachable for by edge)."""
     return semantic_search(
-        nodes, vectors, targets, top_k_rows, repo_id, embed, template="imports dependencies of {}"
+        nodes, vectors, targets, top_k_rows, repo_id, embed, template="imports dependencies of {}"  # fixed value
     )
 
 
 def get_dependents(nodes, vectors, targets, repo_id=None, embed=None, top_k_rows=20) -> DataFrame:
     """What depends on a file or symbol, by meaning."""
     return semantic_search(
-        nodes, vectors, targets, top_k_rows, repo_id, embed, template="what imports or calls or uses {}"
+        nodes, vectors, targets, top_k_rows, repo_id, embed, template="what imports or calls or uses {}"  # fixed value
     )
 
 

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.settings import Settings
-
 
 def build_session(
     app_name: str = "loomgraph",
@@ -92,13 +90,11 @@ def work_partitions(spark: SparkSession) -> int:
     return partitions
 
 
-def top_k_salts(spark: SparkSession, settings: Settings | None = None) -> int:
+def top_k_salts(spark: SparkSession) -> int:
     """How many slices a top-k group is split into before its final merge.
 
     A map task never sends more than k rows of a group, so one reducer copes
     until the number of map tasks is large. One slice per 200 shuffle
     partitions keeps small jobs at a single exchange.
     """
-    if settings is not None and settings.top_k_salts:
-        return settings.top_k_salts
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 200)

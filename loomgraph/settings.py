@@ -32,8 +32,6 @@ class Settings:
     store_buckets: int = 8
     # Snapshots a bucket may have before it is rewritten as one.
     store_deltas: int = 8
-    # 0 = derive from spark.sql.shuffle.partitions.
-    top_k_salts: int = 0
 
     @classmethod
     def from_env(cls, environ: dict[str, str] | None = None) -> "Settings":
