@@ -22,6 +22,9 @@ from loomgraph.sources.tables import table
 #: Files of one input whose names are broadcast; more are joined.
 MAX_FILES = 100_000
 
+#: Keys, of 8 bytes or a few times that, that are broadcast; more are joined.
+MAX_KEYS = 1_000_000
+
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(row, doc): every row under a key of its own that is the same whenever it is read.
@@ -45,8 +48,9 @@ def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.col("row").alias("doc_id"), *(f"doc.{c}" for c in columns))
 
 
-def _without(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    return rows.join(keyed.select(F.col("doc_id").alias("row")), "row", "left_anti").select("doc.*")
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents but for the dropped keys (row), which alone travel while they are few."""
+    return rows.join(broadcastable(saved(dropped.distinct()), MAX_KEYS), "row", "left_anti").select("doc.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), "quality")
     marked = rows.select("row", F.col("doc.doc_id").cast("long").alias("id")).join(labels, "id")
     verdicts = quality_verdicts(_keyed(rows, "text", "lang"), marked.select(F.col("row").alias("doc_id"), "quality"))
-    return _without(rows, verdicts.where("not kept"))
+    return _without(rows, verdicts.where("not kept").select(F.col("doc_id").alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,14 +68,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = near_duplicates(_keyed(rows, "text")).select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"), F.col("row").alias("row"))
     named = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("text_hash"))
-    first = groups.join(named, "row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
+    members = saved(groups.join(named, "row").select("component_id", order.alias("member")))
+    first = members.groupBy("component_id").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = members.join(broadcastable(saved(first.select("component_id", "first")), MAX_KEYS), "component_id").where("member.row != first.row")
+    return _without(rows, copies.select("member.row"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     rows = _rows(docs)
-    return _without(rows, leaks(_keyed(rows, "text"), table(spark, sf_dir, "benchmark")))
+    return _without(rows, leaks(_keyed(rows, "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
