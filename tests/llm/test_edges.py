@@ -123,5 +123,5 @@ def test_mixing_and_sharding_keep_own_columns(spark, edge_docs):
     names = [c for c in edge_docs.columns if c != "shard"]
     for stage in (corpus_pipeline.mix, corpus_pipeline.shard):
         out = stage(spark, edge_docs, "")
-        assert out.select(*names).exceptAll(edge_docs.select(*names)).join(edge_docs.select(*names).distinct(), names, "left_anti").where("doc_id is not null").count() == 0
+        assert {tuple(r) for r in out.select(*names).collect()} <= {tuple(r) for r in edge_docs.select(*names).collect()}
         assert {tuple(r) for r in out.select("size", "target", "copies").collect()} == {(7, 1.0, 6)}
