@@ -5,7 +5,8 @@ two texts with window + k - 1 equal words in a row share a seed: 8 words as set
 one changed word in every 9 or more never hides a passage. With words changed at random, a
 50-word passage has no seed with probability below 0.001 at 90 % equal words, 0.02 at 80 %,
 0.14 at 70 % and 0.39 at 60 % (600 simulated passages each). All occurrences of a seed
-are joined to its first one (the smallest document, then position), never to each other.
+meet its first one (the smallest document, then position) and the document before, never
+each other.
 The anchors between a document and an earlier one are chained in the order of both texts:
 an anchor's score is its words plus the best score before it less a cost per skipped word,
 found by a Fenwick tree over prefix maxima. Chains are cut at large gaps, and aligned word
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.llm.common import broadcastable, saved
+from loomgraph.llm.common import broadcastable, saved, shuffle_partitions, words
 from loomgraph.llm.hashing import windows, word_hashes
 
 
@@ -34,7 +35,10 @@ class PassageSettings:
     slack: int = 3  # words that an end may skip at once while it extends
     min_segment: int = 24  # words that one source must give
     min_words: int = 50  # words of a passage, all sources together
-    slice_rows: int = 100_000  # of a seed
+    slice_rows: int = 100_000  # of a seed, beyond which it is dealt over slices
+    slices: int = 64  # of such a seed
+    sample_of: int = 64  # one document in so many is looked at for such seeds
+    broadcast_seeds: int = 1_000_000  # such seeds, 9 bytes each
     min_share: float = 0.6  # of a passage's words that are equal
     broadcast_texts: int = 1_000_000
 
@@ -219,28 +223,72 @@ def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings)
             ["doc_id", "source_id", *_SPANS])
 
 
+def _hot_seeds(docs: DataFrame, settings: PassageSettings) -> DataFrame:
+    """(seed, hot): seeds of more than slice_rows rows, estimated from one document in sample_of.
+
+    They only decide where rows are sent; which seeds they are changes no result.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.sample_of)) == 0)
+    rows = some.mapInArrow(lambda batches: _seed_rows(batches, settings), "doc_id long, seed long, at int")
+    return saved(rows.groupBy("seed").count().where(F.col("count") * settings.sample_of > settings.slice_rows).select("seed", F.lit(True).alias("hot")))
+
+
 def anchors(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFrame:
     """(doc_id, source_id, anchors): where a document has seeds of an earlier one.
 
     A document's seed meets the seed's first document and the one before it, which the
     texts around the seed may differ in; the list of a pair of documents is bounded by
-    the seeds of one of them. Seeds of very many documents are dealt over slices, within
-    which the document before is looked for.
+    the seeds of one of them. All seeds are shuffled once and scanned in the order of
+    documents. A seed of very many rows is dealt over slices, each a range of documents;
+    the first and last document of its slices, a row each, carry on from slice to slice.
     """
-    seeds = saved(docs.mapInArrow(lambda batches: _seed_rows(batches, settings), "doc_id long, seed long, at int"))
-    counted = seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    slices = F.ceil(F.col("n") / settings.slice_rows)
-    shared = saved(seeds.join(counted.select("seed", "first", slices.alias("slices")), "seed"))
-    heads = shared.groupBy("seed", "doc_id", "first", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice")).agg(F.min("at").alias("head"))
-    before = F.expr("lag(struct(doc_id, head)) over (partition by seed, slice order by doc_id)")
-    linked = heads.select("seed", "doc_id", "first", before.alias("before")).where("doc_id != first")
-    starts = heads.where("doc_id = first").select("seed", F.col("head").alias("first_at"))
-    linked = linked.join(starts, "seed")
-    ways = F.array(F.struct(F.col("first").alias("source_id"), F.col("first_at").alias("source_at")),
-                   F.struct(F.col("before.doc_id").alias("source_id"), F.col("before.head").alias("source_at")))
-    ways = linked.select("seed", "doc_id", F.explode(F.array_distinct(F.filter(ways, lambda w: w["source_id"].isNotNull()))).alias("way"))
-    met = shared.select("seed", "doc_id", "at").join(ways.select("seed", "doc_id", "way.*"), ["seed", "doc_id"])
-    return met.groupBy("doc_id", "source_id").agg(F.collect_set(F.struct("at", "source_at")).alias("anchors"))
+    rows = docs.mapInArrow(lambda batches: _seed_rows(batches, settings), "doc_id long, seed long, at int")
+    hot = _hot_seeds(docs, settings)
+    n_hot = hot.count()
+    if n_hot:
+        cuts = docs.select(F.percentile_approx("doc_id", [i / settings.slices for i in range(1, settings.slices)])).first()[0]
+        number = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts or [])))), lambda c: c < F.col("doc_id")))
+        slices = F.when(F.col("hot"), number).otherwise(0)
+        rows = rows.join(F.broadcast(hot) if n_hot <= settings.broadcast_seeds else hot, "seed", "left")
+    else:
+        rows, slices = rows.withColumn("hot", F.lit(None).cast("boolean")), F.lit(0)
+    group = "over (partition by seed, slice order by doc_id, at"
+    scanned = rows.withColumn("slice", slices).repartition(shuffle_partitions(docs.sparkSession), "seed", "slice")
+    scanned = scanned.withColumn("head", F.expr("first_value(at) over (partition by seed, slice, doc_id order by at)"))
+    scanned = scanned.withColumns({
+        "first": F.expr(f"first_value(struct(doc_id, at)) {group} rows between unbounded preceding and current row)"),
+        "behind": F.expr(f"lag(struct(doc_id, head)) {group})")})
+    enters = F.when(F.col("behind.doc_id") != F.col("doc_id"), F.col("behind")).alias("enters")
+    scanned = scanned.select("seed", "slice", "hot", "doc_id", "at", "head", "first", enters)
+    scanned = scanned.withColumn("before", F.expr(f"last_value(enters, true) {group} rows between unbounded preceding and current row)"))
+    if n_hot:
+        scanned = _carried(saved(scanned.drop("enters").where("hot or first.doc_id != doc_id")))
+    linked = scanned.where("first.doc_id != doc_id")
+    ways = F.array(F.col("first"), F.struct(F.col("before.doc_id").alias("doc_id"), F.col("before.head").alias("at")))
+    met = linked.select("doc_id", "at", F.explode(F.array_distinct(ways)).alias("way"))
+    met = met.select("doc_id", F.col("way.doc_id").alias("source_id"), F.struct("at", F.col("way.at").alias("source_at")).alias("anchor"))
+    return met.groupBy("doc_id", "source_id").agg(F.collect_set("anchor").alias("anchors"))
+
+
+def _carried(scanned: DataFrame) -> DataFrame:
+    """``scanned`` with the first document and the one before taken over from earlier slices."""
+    ends = scanned.where("hot").groupBy("seed", "slice").agg(
+        F.min(F.struct("doc_id", "at")).alias("begins"), F.max(F.struct("doc_id", "head")).alias("ends"))
+    order = "over (partition by seed order by slice"
+    carry = ends.select(
+        "seed", "slice", F.expr(f"first_value(begins) {order})").alias("whole_first"), F.expr(f"lag(ends) {order})").alias("slice_before"))
+    cold = scanned.where("hot is null").drop("hot")
+    moved = scanned.where("hot").drop("hot").join(carry, ["seed", "slice"]).withColumns({
+        "first": F.col("whole_first"), "before": F.coalesce("before", "slice_before")}).drop("whole_first", "slice_before")
+    return cold.unionByName(moved)
+
+
+def _copies(docs: DataFrame, settings: PassageSettings) -> DataFrame:
+    """``docs`` with first_id: the smallest id of those with the same text, null if it is the only one."""
+    keyed = docs.withColumn("digest", F.unhex(F.md5("text")))
+    ids = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    several = saved(ids.where("first_id != last_id").select("digest", "first_id"))
+    return keyed.join(broadcastable(several, settings.broadcast_texts), "digest", "left").drop("digest")
 
 
 def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFrame:
@@ -254,9 +302,16 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     and text; other columns are ignored. Null, empty and short texts have no passages.
     Documents without an id can't be named and take no part; rows that repeat an id are
     one document, whose texts are each looked at. Repeats within one document don't
-    count. An empty table gives no rows.
+    count. Of documents with equal texts the first stands for the others, each of which is
+    one passage of it. An empty table gives no rows. Texts of any length are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    docs = _copies(docs, settings)
+    copies = docs.where("doc_id != first_id").select("doc_id", F.col("first_id").alias("source_id"), F.size(words(F.col("text"))).cast("long").alias("n")).distinct()
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    copies = copies.where(n >= settings.min_words).select("doc_id", "source_id", *(c.alias(name) for c, name in zip(
+        (zero, n, zero, n, zero, n, n), ("passage_start", "passage_end", *_SPANS))))
+    docs = docs.where("first_id is null or doc_id = first_id").select("doc_id", "text")
     pairs = saved(anchors(docs, settings))
     ids = saved(pairs.select("doc_id").union(pairs.select("source_id")).distinct())
     texts = docs.join(broadcastable(ids, settings.broadcast_texts), "doc_id", "left_semi")
@@ -268,8 +323,9 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     number = F.expr("sum(fresh) over (partition by doc_id order by start_word, end_word rows between unbounded preceding and current row)")
     runs = segments.withColumn("fresh", fresh).withColumn("run", number)
     begin, end = (F.expr(f"{f} over (partition by doc_id, run)") for f in ("min(start_word)", "max(end_word)"))
-    return (
+    found = (
         runs.withColumns({"passage_start": begin, "passage_end": end})
         .where(F.col("passage_end") - F.col("passage_start") >= settings.min_words)
         .select("doc_id", "source_id", "passage_start", "passage_end", *_SPANS)
     )
+    return found.unionByName(copies)
