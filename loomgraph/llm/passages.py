@@ -249,17 +249,17 @@ def anchors(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFram
         cuts = docs.select(F.percentile_approx("doc_id", [i / settings.slices for i in range(1, settings.slices)])).first()[0]
         number = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts or [])))), lambda c: c < F.col("doc_id")))
         slices = F.when(F.col("hot"), number).otherwise(0)
-        rows = rows.join(F.broadcast(hot) if n_hot <= settings.broadcast_seeds else hot, "seed", "left")
-    else:
-        rows, slices = rows.withColumn("hot", F.lit(None).cast("boolean")), F.lit(0)
-    group = "over (partition by seed, slice order by doc_id, at"
-    scanned = rows.withColumn("slice", slices).repartition(shuffle_partitions(docs.sparkSession), "seed", "slice")
-    scanned = scanned.withColumn("head", F.expr("first_value(at) over (partition by seed, slice, doc_id order by at)"))
+        rows = rows.join(F.broadcast(hot) if n_hot <= settings.broadcast_seeds else hot, "seed", "left").withColumn("slice", slices)
+    # A constant slice would be folded, and the windows would shuffle the rows again.
+    keys = ["seed", "slice"] if n_hot else ["seed"]
+    group = f"over (partition by {', '.join(keys)} order by doc_id, at"
+    scanned = rows.repartition(shuffle_partitions(docs.sparkSession), *keys)
+    scanned = scanned.withColumn("head", F.expr(f"first_value(at) over (partition by {', '.join(keys)}, doc_id order by at)"))
     scanned = scanned.withColumns({
         "first": F.expr(f"first_value(struct(doc_id, at)) {group} rows between unbounded preceding and current row)"),
         "behind": F.expr(f"lag(struct(doc_id, head)) {group})")})
     enters = F.when(F.col("behind.doc_id") != F.col("doc_id"), F.col("behind")).alias("enters")
-    scanned = scanned.select("seed", "slice", "hot", "doc_id", "at", "head", "first", enters)
+    scanned = scanned.select(*keys, *(["hot"] if n_hot else []), "doc_id", "at", "head", "first", enters)
     scanned = scanned.withColumn("before", F.expr(f"last_value(enters, true) {group} rows between unbounded preceding and current row)"))
     if n_hot:
         scanned = _carried(saved(scanned.drop("enters").where("hot or first.doc_id != doc_id")))
