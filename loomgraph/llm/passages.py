@@ -291,6 +291,20 @@ def _copies(docs: DataFrame, settings: PassageSettings) -> DataFrame:
     return keyed.join(broadcastable(several, settings.broadcast_texts), "digest", "left").drop("digest")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame, settings: PassageSettings) -> DataFrame:
+    """``pairs`` with text and source_text. The shorter text of a pair travels to the other one."""
+    sizes = saved(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size")))
+    for side in ("doc_id", "source_id"):
+        pairs = pairs.join(broadcastable(sizes.toDF(side, f"{side}_size"), settings.broadcast_texts), side)
+    shorter = F.col("doc_id_size") <= F.col("source_id_size")
+    ends = F.when(shorter, F.struct(F.col("doc_id").alias("goes"), F.col("source_id").alias("stays"))).otherwise(
+        F.struct(F.col("source_id").alias("goes"), F.col("doc_id").alias("stays")))
+    sent = pairs.select("anchors", shorter.alias("shorter"), ends.alias("ends")).select("anchors", "shorter", "ends.*")
+    met = sent.join(texts.toDF("goes", "sent"), "goes").join(texts.toDF("stays", "met"), "stays")
+    pick = lambda a, b, name: F.when(F.col("shorter"), F.col(a)).otherwise(F.col(b)).alias(name)
+    return met.select(pick("goes", "stays", "doc_id"), pick("stays", "goes", "source_id"), "anchors", pick("sent", "met", "text"), pick("met", "sent", "source_text"))
+
+
 def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFrame:
     """One row per segment that a document shares with an earlier one, in passages of at
     least min_words: doc_id, source_id, passage_start, passage_end, start_word, end_word,
@@ -315,7 +329,7 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     pairs = saved(anchors(docs, settings))
     ids = saved(pairs.select("doc_id").union(pairs.select("source_id")).distinct())
     texts = docs.join(broadcastable(ids, settings.broadcast_texts), "doc_id", "left_semi")
-    both = pairs.join(texts, "doc_id").join(texts.toDF("source_id", "source_text"), "source_id")
+    both = _with_texts(pairs, texts, settings)
     segments = saved(both.select("doc_id", "source_id", "anchors", "text", "source_text").mapInArrow(
         lambda batches: _passage_rows(batches, settings), "doc_id long, source_id long, " + ", ".join(f"{c} long" for c in _SPANS)).distinct())
     reach = F.expr("max(end_word) over (partition by doc_id order by start_word, end_word rows between unbounded preceding and 1 preceding)")
