@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.common import broadcastable, saved, shuffle_partitions, words
@@ -33,6 +34,7 @@ class PassageSettings:
     gap_cost: float = 0.1  # per word skipped in either text
     max_gap: int = 40  # words between neighbours of a chain
     slack: int = 3  # words that an end may skip at once while it extends
+    margin: int = 24  # words around anchors that are compared first; whole texts where ends reach further
     min_segment: int = 24  # words that one source must give
     min_words: int = 50  # words of a passage, all sources together
     slice_rows: int = 100_000  # of a seed, beyond which it is dealt over slices
@@ -184,14 +186,21 @@ def align(part: list[int], x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.nd
     return int(x[first] - left_a), int(end_a + right_a), int(y[first] - left_b), int(end_b + right_b), int(same + same_left + same_right)
 
 
-def passages_between(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, settings: PassageSettings = PRODUCTION) -> list[tuple[int, int, int, int, int]]:
-    """Aligned segments of at least min_segment words, none inside another of the same chainings."""
+def passages_between(
+    x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, settings: PassageSettings = PRODUCTION, tried: list | None = None
+) -> list[tuple[int, int, int, int, int]]:
+    """Aligned segments of at least min_segment words, none inside another of the same chainings.
+
+    ``tried`` gets all alignments, those too short or too different as well.
+    """
     found: list[tuple[int, int, int, int, int]] = []
     for chain in best_chains(x, y, settings):
         for part in _cut(chain, x, y, settings):
             if any(f[0] <= x[i] and x[i] + settings.seed_words <= f[1] for i in (part[0],) for f in found) and any(f[0] <= x[part[-1]] < f[1] for f in found):
                 continue
             one = align(part, x, y, a, b, settings)
+            if tried is not None:
+                tried.append(one)
             if min(one[1] - one[0], one[3] - one[2]) >= settings.min_segment and one[4] >= settings.min_share * max(one[1] - one[0], one[3] - one[2]):
                 found.append(one)
     return sorted(found)
@@ -200,26 +209,70 @@ def passages_between(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray,
 _SPANS = ("start_word", "end_word", "source_start", "source_end", "n_equal")
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings) -> Iterator[pa.RecordBatch]:
+def _hashes_of(texts: pa.Array) -> list[np.ndarray]:
+    """The word hashes of every text; a text that comes several times is hashed once."""
+    encoded = texts.dictionary_encode()
+    hashes = [h for _, h in word_hashes(encoded.dictionary, lower=True)]
+    return [hashes[i] for i in encoded.indices.to_pylist()]
+
+
+def _slice_rows(batches: Iterator[pa.RecordBatch], margin: int, settings: PassageSettings) -> Iterator[pa.RecordBatch]:
+    """Pairs with the hashes of the words around their anchors in the text that goes."""
     k = settings.seed_words
     for batch in batches:
-        own = [h for _, h in word_hashes(batch.column("text"), lower=True)]
-        other = [h for _, h in word_hashes(batch.column("source_text"), lower=True)]
+        rows, slices, begins, ends = [], [], [], []
+        shorter = batch.column("shorter").to_pylist()
+        for i, (words_, anchors_) in enumerate(zip(_hashes_of(batch.column("text")), batch.column("anchors"))):
+            at = anchors_.values.field("at" if shorter[i] else "source_at").to_numpy()
+            at = at[at <= len(words_) - k]  # others are of another text of the same id
+            if len(at):
+                begin, end = max(0, int(at.min()) - margin), min(len(words_), int(at.max()) + k + margin)
+                rows.append(i)
+                slices.append(words_[begin:end].tobytes())
+                begins.append(begin)
+                ends.append(end < len(words_))
+        taken = pa.array(rows, pa.int64())
+        kept = [batch.column(c).take(taken) for c in ("goes", "stays", "shorter", "anchors")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(slices, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.bool_())],
+            ["goes", "stays", "shorter", "anchors", "words", "begin", "more"])
+
+
+def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings) -> Iterator[pa.RecordBatch]:
+    """Segments of pairs of a slice and a text; one row of nulls where the slice was too short."""
+    k, near = settings.seed_words, 2 * settings.slack + 1
+    for batch in batches:
         rows, spans = [], []
-        for i, anchors in enumerate(batch.column("anchors")):
-            x, y = (anchors.values.field(f).to_numpy().astype(np.int64) for f in ("at", "source_at"))
+        shorter, begins, mores = (batch.column(c).to_pylist() for c in ("shorter", "begin", "more"))
+        for i, (whole, part, anchors_) in enumerate(zip(_hashes_of(batch.column("text")), batch.column("words"), batch.column("anchors"))):
+            sent = np.frombuffer(part.as_py(), whole.dtype)
+            at, source_at = (anchors_.values.field(f).to_numpy().astype(np.int64) for f in ("at", "source_at"))
+            there, here = ((at, source_at) if shorter[i] else (source_at, at))
+            there = there - begins[i]
             # Where an id has several texts, only anchors that lie in these two count.
-            inside = (x <= len(own[i]) - k) & (y <= len(other[i]) - k)
-            x, y = x[inside], y[inside]
-            same = windows(own[i], k)[x] == windows(other[i], k)[y]
-            if same.any():
-                for span in passages_between(x[same], y[same], own[i], other[i], settings):
-                    rows.append(i)
-                    spans.append(span)
+            inside = (there >= 0) & (there <= len(sent) - k) & (here <= len(whole) - k)
+            there, here = there[inside], here[inside]
+            same = windows(sent, k)[there] == windows(whole, k)[here]
+            if not same.any():
+                continue
+            there, here, tried = there[same], here[same], []
+            own = (there, here, sent, whole) if shorter[i] else (here, there, whole, sent)
+            found = passages_between(*own, settings, tried)
+            side = 0 if shorter[i] else 2
+            # An end that stopped this close to a cut might have gone on in the whole text.
+            if any((begins[i] and t[side] < near) or (mores[i] and t[side + 1] > len(sent) - near) for t in tried):
+                found = [(None,) * len(_SPANS)]
+            else:
+                move = [begins[i] if c // 2 * 2 == side and c < 4 else 0 for c in range(len(_SPANS))]
+                found = [tuple(v + m for v, m in zip(span, move)) for span in found]
+            rows += [i] * len(found)
+            spans += found
         taken = pa.array(rows, pa.int64())
+        shorter_rows = batch.column("shorter").take(taken)
+        goes, stays = (batch.column(c).take(taken) for c in ("goes", "stays"))
         columns = list(zip(*spans)) or [()] * len(_SPANS)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(taken), batch.column("source_id").take(taken), *(pa.array(list(c), pa.int64()) for c in columns)],
+            [pc.if_else(shorter_rows, goes, stays), pc.if_else(shorter_rows, stays, goes), *(pa.array(list(c), pa.int64()) for c in columns)],
             ["doc_id", "source_id", *_SPANS])
 
 
@@ -291,18 +344,33 @@ def _copies(docs: DataFrame, settings: PassageSettings) -> DataFrame:
     return keyed.join(broadcastable(several, settings.broadcast_texts), "digest", "left").drop("digest")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame, settings: PassageSettings) -> DataFrame:
-    """``pairs`` with text and source_text. The shorter text of a pair travels to the other one."""
+def _aligned(pairs: DataFrame, texts: DataFrame, margin: int, settings: PassageSettings) -> DataFrame:
+    """Segments (doc_id, source_id, spans) of pairs with ends; spans are null where the margin was too small.
+
+    Of the text that goes only the words around anchors travel to the text that stays.
+    """
+    both = pairs.select("goes", "stays", "shorter", "anchors").join(texts.toDF("goes", "text"), "goes")
+    sent = both.mapInArrow(
+        lambda batches: _slice_rows(batches, margin, settings),
+        "goes long, stays long, shorter boolean, anchors array<struct<at:int,source_at:int>>, words binary, begin int, more boolean")
+    met = sent.join(texts.toDF("stays", "text"), "stays")
+    return saved(met.mapInArrow(
+        lambda batches: _passage_rows(batches, settings), "doc_id long, source_id long, " + ", ".join(f"{c} long" for c in _SPANS)))
+
+
+def _segments(pairs: DataFrame, texts: DataFrame, settings: PassageSettings) -> DataFrame:
+    """Distinct aligned segments of all pairs. The shorter text of a pair goes to the other one."""
     sizes = saved(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size")))
     for side in ("doc_id", "source_id"):
         pairs = pairs.join(broadcastable(sizes.toDF(side, f"{side}_size"), settings.broadcast_texts), side)
-    shorter = F.col("doc_id_size") <= F.col("source_id_size")
-    ends = F.when(shorter, F.struct(F.col("doc_id").alias("goes"), F.col("source_id").alias("stays"))).otherwise(
-        F.struct(F.col("source_id").alias("goes"), F.col("doc_id").alias("stays")))
-    sent = pairs.select("anchors", shorter.alias("shorter"), ends.alias("ends")).select("anchors", "shorter", "ends.*")
-    met = sent.join(texts.toDF("goes", "sent"), "goes").join(texts.toDF("stays", "met"), "stays")
-    pick = lambda a, b, name: F.when(F.col("shorter"), F.col(a)).otherwise(F.col(b)).alias(name)
-    return met.select(pick("goes", "stays", "doc_id"), pick("stays", "goes", "source_id"), "anchors", pick("sent", "met", "text"), pick("met", "sent", "source_text"))
+    ends = [F.when(F.col("shorter"), F.col(a)).otherwise(F.col(b)) for a, b in (("doc_id", "source_id"), ("source_id", "doc_id"))]
+    pairs = pairs.withColumn("shorter", F.col("doc_id_size") <= F.col("source_id_size")).withColumns(dict(zip(("goes", "stays"), ends)))
+    done = _aligned(pairs, texts, settings.margin, settings)
+    cut = done.where("start_word is null").select("doc_id", "source_id").distinct()
+    if not cut.isEmpty():
+        again = pairs.join(broadcastable(saved(cut), settings.broadcast_texts), ["doc_id", "source_id"], "left_semi")
+        done = done.join(cut, ["doc_id", "source_id"], "left_anti").unionByName(_aligned(again, texts, 1 << 40, settings))
+    return done.distinct()
 
 
 def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFrame:
@@ -329,9 +397,7 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     pairs = saved(anchors(docs, settings))
     ids = saved(pairs.select("doc_id").union(pairs.select("source_id")).distinct())
     texts = docs.join(broadcastable(ids, settings.broadcast_texts), "doc_id", "left_semi")
-    both = _with_texts(pairs, texts, settings)
-    segments = saved(both.select("doc_id", "source_id", "anchors", "text", "source_text").mapInArrow(
-        lambda batches: _passage_rows(batches, settings), "doc_id long, source_id long, " + ", ".join(f"{c} long" for c in _SPANS)).distinct())
+    segments = saved(_segments(pairs, texts, settings))
     reach = F.expr("max(end_word) over (partition by doc_id order by start_word, end_word rows between unbounded preceding and 1 preceding)")
     fresh = (reach.isNull() | (F.col("start_word") > reach + settings.slack)).cast("int")
     number = F.expr("sum(fresh) over (partition by doc_id order by start_word, end_word rows between unbounded preceding and current row)")

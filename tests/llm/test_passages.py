@@ -47,3 +47,15 @@ def test_copies_are_whole_passages_of_the_first(make_docs):
     rows = shared_passages(make_docs([short, long, short, long, "x y " + long, long, "", "", None])).collect()
     whole = {(r.doc_id, r.source_id, r.passage_start, r.passage_end, r.start_word, r.end_word, r.source_start, r.source_end, r.n_equal) for r in rows}
     assert whole == {(d, 1, 0, 80, 0, 80, 0, 80, 80) for d in (3, 5)} | {(4, 1, 2, 82, 2, 82, 0, 80, 80)}
+
+
+def test_any_margin_gives_the_same_segments(make_docs):
+    rng = random.Random(23)
+    texts = [[f"w{rng.randrange(9999)}" for _ in range(rng.choice([90, 150, 400]))] for _ in range(20)]
+    for i in range(10):
+        n = rng.choice([30, 60, 80])
+        passage = [w if (j + i) % (9 + 4 * i) else "new" for j, w in enumerate(texts[i][5 : 5 + n])]
+        texts[10 + i][7 : 7 + n] = passage
+    docs = make_docs([" ".join(t) for t in texts])
+    rows = [sorted(map(tuple, shared_passages(docs, replace(PRODUCTION, margin=m)).collect())) for m in (0, 9, PRODUCTION.margin, 1 << 40)]
+    assert len(rows[0]) >= 6 and all(r == rows[0] for r in rows)
