@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,8 @@ def best_chains(x: np.ndarray, y: np.ndarray, settings: PassageSettings) -> list
     With a cost per word skipped in either text, score - cost of a predecessor depends on
     it only through score + cost * (x + y), so the best one is a prefix maximum over y.
     """
+    if len(x) == 1:
+        return [[0]]
     order = np.lexsort((y, x))
     ranks = np.unique(y, return_inverse=True)[1] + 1
     size, k, cost = int(ranks.max()), settings.seed_words, settings.gap_cost
@@ -152,20 +155,29 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+@lru_cache
+def _skips(slack: int) -> list[tuple[int, int]]:
+    """Words skipped in either text at a difference, fewest first."""
+    steps = range(slack + 1)
+    return sorted(((p, q) for p in steps for q in steps if p or q), key=lambda s: (s[0] + s[1], abs(s[0] - s[1])))
+
+
 def _extend(a: np.ndarray, b: np.ndarray, slack: int) -> tuple[int, int, int]:
     """How far two runs go on together from their start: words of each, equal words.
 
     Over a difference it goes on if at least slack + 1 words then agree again.
     """
     i = j = same = 0
+    need, skips = slack + 1, _skips(slack)
     while True:
         n = min(len(a) - i, len(b) - j)
         differs = np.flatnonzero(a[i : i + n] != b[j : j + n])
         run = int(differs[0]) if len(differs) else n
         i, j, same = i + run, j + run, same + run
-        need = slack + 1
-        for p, q in sorted(((p, q) for p in range(slack + 1) for q in range(slack + 1) if p or q), key=lambda s: (s[0] + s[1], abs(s[0] - s[1]))):
-            if i + p + need <= len(a) and j + q + need <= len(b) and (a[i + p : i + p + need] == b[j + q : j + q + need]).all():
+        near_a, near_b = a[i : i + slack + need].tolist(), b[j : j + slack + need].tolist()
+        for p, q in () if set(near_a).isdisjoint(near_b) else skips:
+            run_a = near_a[p : p + need]
+            if len(run_a) == need and run_a == near_b[q : q + need]:
                 i, j = i + p, j + q
                 break
         else:
@@ -252,7 +264,7 @@ def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings)
             # Where an id has several texts, only anchors that lie in these two count.
             inside = (there >= 0) & (there <= len(sent) - k) & (here <= len(whole) - k)
             there, here = there[inside], here[inside]
-            same = windows(sent, k)[there] == windows(whole, k)[here]
+            same = np.logical_and.reduce([sent[there + j] == whole[here + j] for j in range(k)])
             if not same.any():
                 continue
             there, here, tried = there[same], here[same], []
