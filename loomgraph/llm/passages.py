@@ -228,14 +228,24 @@ def _hashes_of(texts: pa.Array) -> list[np.ndarray]:
     return [hashes[i] for i in encoded.indices.to_pylist()]
 
 
+def _positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """All anchors' positions in the document and in the source, and where each row's begin."""
+    column = batch.column("anchors")
+    fields = column.flatten()
+    starts = column.offsets.to_numpy()
+    at, source_at = (fields.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "source_at"))
+    return at, source_at, (starts - starts[0]).tolist()
+
+
 def _slice_rows(batches: Iterator[pa.RecordBatch], margin: int, settings: PassageSettings) -> Iterator[pa.RecordBatch]:
     """Pairs with the hashes of the words around their anchors in the text that goes."""
     k = settings.seed_words
     for batch in batches:
         rows, slices, begins, ends = [], [], [], []
         shorter = batch.column("shorter").to_pylist()
-        for i, (words_, anchors_) in enumerate(zip(_hashes_of(batch.column("text")), batch.column("anchors"))):
-            at = anchors_.values.field("at" if shorter[i] else "source_at").to_numpy()
+        own, other, starts = _positions(batch)
+        for i, words_ in enumerate(_hashes_of(batch.column("text"))):
+            at = (own if shorter[i] else other)[starts[i] : starts[i + 1]]
             at = at[at <= len(words_) - k]  # others are of another text of the same id
             if len(at):
                 begin, end = max(0, int(at.min()) - margin), min(len(words_), int(at.max()) + k + margin)
@@ -256,9 +266,11 @@ def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings)
     for batch in batches:
         rows, spans = [], []
         shorter, begins, mores = (batch.column(c).to_pylist() for c in ("shorter", "begin", "more"))
-        for i, (whole, part, anchors_) in enumerate(zip(_hashes_of(batch.column("text")), batch.column("words"), batch.column("anchors"))):
-            sent = np.frombuffer(part.as_py(), whole.dtype)
-            at, source_at = (anchors_.values.field(f).to_numpy().astype(np.int64) for f in ("at", "source_at"))
+        parts = batch.column("words").to_pylist()
+        all_at, all_source_at, starts = _positions(batch)
+        for i, whole in enumerate(_hashes_of(batch.column("text"))):
+            sent = np.frombuffer(parts[i], whole.dtype)
+            at, source_at = (c[starts[i] : starts[i + 1]] for c in (all_at, all_source_at))
             there, here = ((at, source_at) if shorter[i] else (source_at, at))
             there = there - begins[i]
             # Where an id has several texts, only anchors that lie in these two count.
