@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomgraph.catalog.registry import query
 from loomgraph.operators import code_graph
 from loomgraph.operators.containment import with_enclosing
-from loomgraph.session import cut_lineage
+from loomgraph.session import materialised
 from loomgraph.sources.tables import spread, table
 
 
@@ -257,8 +257,8 @@ SUMMARY_SQL = """
 
 def _graph(spark, folder):
     files = part_modules(spark, folder)
-    # Nodes and edges both read the entities: parse once, as indexing does.
-    return files, cut_lineage(code_graph.parse_files(files))
+    # Nodes and edges both read the entities: parse once, and let each read the columns it needs.
+    return files, materialised(code_graph.parse_files(files))
 
 
 @query(

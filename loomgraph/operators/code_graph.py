@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.python_source import python_entities
 from loomgraph.operators.script_source import script_entities
-from loomgraph.operators.source_text import FILE_KEY, line_count, source_lines
+from loomgraph.operators.source_text import FILE_KEY, line_count
 from loomgraph.schema import EDGES, ENTITIES, NODES, conform
 
 SCRIPT_LANGUAGES = ("javascript", "typescript", "tsx")
@@ -25,8 +25,8 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     Calls are distinct by target in a file; the first call site stays.
     """
-    python = source_lines(files.filter(F.col("language") == "python"))
-    script = source_lines(files.filter(F.col("language").isin(*SCRIPT_LANGUAGES)))
+    python = files.filter(F.col("language") == "python")
+    script = files.filter(F.col("language").isin(*SCRIPT_LANGUAGES))
     found = [_distinct_calls(python_entities(python)), _distinct_calls(script_entities(script))]
     return found[0].unionByName(found[1])
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.source_text import (
     FILE_KEY,
     PYTHON_KEYWORDS,
+    Line,
     call_entity,
     call_targets,
     entities,
     entity,
+    file_rows,
+    first_lines,
+    same_in_python,
     signature,
     strip,
 )
@@ -24,94 +31,69 @@ _ASSIGN = r"(?s)^(\s*)([A-Za-z_]\w*)(\s*(?::\s*)?)([^=:]*?)\s*=(?!=)\s*\S"
 _STRING_ONLY = r"^\s*~+(?:\n`*)*\s*$"
 
 
-def logical_lines(lines: DataFrame) -> DataFrame:
+_KEYWORD = re.compile(same_in_python(r"^\s*(?:async\s+def|def|class|import)\s+\w"))
+_MAY_BE_ENTITY = re.compile("=|def|class|import")
+_STATEMENT = (
+    "_sid int, start_line int, stop int, block_end int, indent int, first3 array<string>, raw string, code string, "
+    "_next_raw string, _next_code string, _next_indent int, calls array<struct<line:int,target:string>>"
+)
+
+
+def _statements(lines: list[Line]) -> list[list[int]]:
     """Statements: physical lines joined over open brackets, strings and backslashes.
 
     A definition keyword always starts a statement, so an unclosed bracket
     spoils no more than the statement it is in.
     """
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("line")
-    code = F.col("code")
-    keyword = code.rlike(r"^\s*(?:async\s+def|def|class|import)\s+\w")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    delta = F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", ""))
-    # Open brackets before a line, counted from the last definition keyword on. All
-    # windows of this step share one order, so the lines are sorted once.
-    shaped = (
-        lines.withColumn("_keyword", keyword)
-        .withColumn("_open", F.coalesce(F.sum(delta).over(earlier), F.lit(0)))
-        .withColumn("_base", F.last(F.when(F.col("_keyword"), F.col("_open")), ignorenulls=True).over(upto))
-    )
-    starts = (
-        (F.trim(code) != "")
-        & (F.col("_open") - F.coalesce("_base", F.lit(0)) <= 0)
-        & ~code.startswith("`")
-        & ~F.coalesce(F.lag("code").over(by_line).endswith("\\"), F.lit(False))
-    )
-    numbered = (
-        shaped.withColumn("_starts", F.col("_keyword") | starts)
-        .withColumn(
-            "_first3", F.array("raw", F.lead("raw", 1).over(by_line), F.lead("raw", 2).over(by_line))
-        )
-        .withColumn(
-            "_calls",
-            F.transform(
-                call_targets(code, PYTHON_KEYWORDS),
-                lambda t: F.struct(F.col("line").alias("line"), t.alias("target")),
-            ),
-        )
-        .withColumn("_sid", F.sum(F.col("_starts").cast("int")).over(upto))
-        .filter("_sid > 0")
-    )
-    parts = F.sort_array(F.collect_list(F.struct("line", "raw", "code", "_calls")))
-    grouped = numbered.groupBy(*FILE_KEY, "language", "_sid").agg(
-        F.min("line").alias("start_line"),
-        F.max(F.when(F.trim("code") != "", F.col("line"))).alias("stop"),
-        F.min_by("_first3", "line").alias("first3"),
-        parts.alias("_parts"),
-    )
-    lines_of = lambda field: F.array_join(
-        F.slice(F.col(f"_parts.{field}"), F.lit(1), F.col("stop") - F.col("start_line") + 1), "\n"
-    )
-    indent = F.regexp_extract(F.replace(F.col("code"), F.lit("\t"), F.lit(" " * 8)), r"^( *)", 1)
-    return (
-        grouped.withColumn("raw", lines_of("raw"))
-        .withColumn("code", lines_of("code"))
-        .withColumn("calls", F.flatten("_parts._calls"))
-        .withColumn("indent", F.length(indent))
-        .drop("_parts")
-    )
-
-
-def _with_block_end(statements: DataFrame) -> DataFrame:
-    """Last line of the block each statement opens.
+    found: list[list[int]] = []
+    opened = base = 0  # open brackets before a line are counted from the last definition keyword on
+    before = ""
+    for at, (_, _, code, _) in enumerate(lines):
+        if _KEYWORD.search(code):
+            base, starts = opened, True
+        else:
+            starts = bool(code.strip(" ")) and opened <= base and code[0] != "`" and not before.endswith("\\")
+        if starts:
+            found.append([])
+        if found:
+            found[-1].append(at)
+        opened += sum(map(code.count, "([{")) - sum(map(code.count, ")]}"))
+        before = code
+    return found
+
+
+def _statement_rows(lines: list[Line]) -> Iterator[tuple]:
+    """One row per statement that defines, imports or calls something, with the last line of the block it opens and the statement after it.
 
     A statement ends every block at its indent or deeper, up to the indent of
-    the statement before it. Spread over those indents, the end of a block is
-    the next ending row of its own indent: a running window, not a self-join.
+    the statement before it.
     """
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("start_line")
-    prev_indent = F.lag("indent").over(by_line)
-    before = statements.withColumn("_prev", prev_indent).withColumn(
-        "_prev_stop", F.lag("stop").over(by_line)
-    )
-    spread = before.withColumn(
-        "_level",
-        F.explode(F.sequence("indent", F.greatest("indent", F.coalesce("_prev", "indent")))),
-    ).withColumn("_ends", F.when(F.col("_level") <= F.col("_prev"), F.col("_prev_stop")))
-    backwards = (
-        Window.partitionBy(*FILE_KEY, "_level")
-        .orderBy(F.col("start_line").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    last_line = F.max("stop").over(Window.partitionBy(*FILE_KEY))
-    return (
-        spread.withColumn("_block", F.last("_ends", ignorenulls=True).over(backwards))
-        .filter(F.col("_level") == F.col("indent"))
-        .withColumn("block_end", F.coalesce("_block", last_line))
-        .drop("_level", "_ends", "_block", "_prev", "_prev_stop")
-    )
+    shaped = []
+    for parts in _statements(lines):
+        start = lines[parts[0]].line
+        stop = max(lines[n].line for n in parts if lines[n].code.strip(" "))
+        listed = sorted(lines[n][:3] for n in parts)[: stop - start + 1]
+        code = "\n".join(c for _, _, c in listed)
+        flat = code.replace("\t", " " * 8)
+        called = [(lines[n].line, t) for n in parts for t in call_targets(lines[n].code, PYTHON_KEYWORDS)]
+        shaped.append(
+            (start, stop, len(flat) - len(flat.lstrip(" ")), first_lines(lines, parts[0]),
+             "\n".join(raw for _, raw, _ in listed), code, called)
+        )
+    if not shaped:
+        return
+    ends: dict[int, int] = {}
+    last_line = max(stop for _, stop, *_ in shaped)
+    following = (None, None, None)
+    for at in range(len(shaped) - 1, -1, -1):
+        start, stop, indent, first3, raw, code, called = shaped[at]
+        if called or _MAY_BE_ENTITY.search(code):
+            yield (at + 1, start, stop, ends.get(indent, last_line), indent, first3, raw, code, *following, called)
+        if at:
+            _, stop_before, indent_before, *_ = shaped[at - 1]
+            ends.update((level, stop_before) for level in range(indent, indent_before + 1))
+        # Only a string after a definition is read.
+        following = (raw, code, indent) if "~" in code else (None, None, indent)
 
 
 def _raw_group(pattern: str, group: int) -> Column:
@@ -142,14 +124,10 @@ def _names(listed: Column) -> Column:
     return F.filter(items, lambda n: n != "")
 
 
-def python_entities(lines: DataFrame) -> DataFrame:
+def python_entities(files: DataFrame) -> DataFrame:
     """Entity rows (calls included, not yet distinct) of Python files."""
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("start_line")
     code = F.col("code")
-    statements = _with_block_end(logical_lines(lines))
-    for name in ("code", "raw", "indent"):
-        statements = statements.withColumn(f"_next_{name}", F.lead(name).over(by_line))
-
+    statements = file_rows(files, _statement_rows, _STATEMENT)
     kind = (
         F.when(code.rlike(_DEF), "function")
         .when(code.rlike(_CLASS), "class")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.source_text import (
     FILE_KEY,
     SCRIPT_KEYWORDS,
+    Line,
     call_entity,
     call_targets,
     entities,
     entity,
+    file_rows,
+    first_lines,
+    same_in_python,
     signature,
     strip,
 )
@@ -38,10 +45,13 @@ _TOKEN = "|".join(
 ) + r"|=>(?=\s*\{)|=>|[(){};]"
 
 
-def _token_kind(token: Column) -> Column:
-    kinds = (
-        (r"^[(){};]$", None),
-        (r"^=>$", None),
+_TOKENS = re.compile(same_in_python(_TOKEN))
+# On a line without these words only method heads, arrows and brackets can match.
+_WORDS = re.compile("import|export|function|class|interface|type|const|let")
+_BARE_TOKENS = re.compile(same_in_python(_METHOD_HEAD.replace("(" + _NAME + ")", _NAME)) + r"|=>|[(){};]")
+_KINDS = [
+    (re.compile(same_in_python(pattern)), kind)
+    for pattern, kind in (
         (_IMPORT, "import"),
         (_REEXPORT, "reexport"),
         (_FUNCTION, "function"),
@@ -50,168 +60,124 @@ def _token_kind(token: Column) -> Column:
         (_TYPE, "type_alias"),
         (_BINDING, "binding"),
     )
-    out = F.lit("method")
-    for pattern, kind in reversed(kinds):
-        out = F.when(token.rlike(pattern), F.lit(kind)).otherwise(out)
-    return out
+]
+_EXPORT = re.compile(same_in_python(r"^\s*export\b"))
+
+
+def _token_kind(token: str) -> str | None:
+    if token == "=>" or token in "(){};":
+        return None
+    return next((kind for pattern, kind in _KINDS if pattern.search(token)), "method")
 
 
-def _line_calls() -> Column:
+_SIGNATURE, _HEAD, _OPENS = (
+    re.compile(same_in_python(p)) for p in (_TYPED_SIGNATURE, _METHOD_HEAD, r"\{\s*\Z")
+)
+
+
+def _line_calls(code: str) -> list[str]:
     """Call targets of a line; the name of a method being defined is not called by it."""
-    code = F.col("code")
     targets = call_targets(code, SCRIPT_KEYWORDS)
-    defines = code.rlike(_TYPED_SIGNATURE) | (
-        code.rlike(_METHOD_HEAD)
-        & code.rlike(r"\{\s*$")
-        & (F.regexp_count(code, F.lit(r"\(")) == F.regexp_count(code, F.lit(r"\)")))
+    head = _HEAD.search(code) if targets else None
+    defines = head and (
+        _SIGNATURE.search(code) or (_OPENS.search(code) and code.count("(") == code.count(")"))
     )
-    own_name = F.array(F.regexp_extract("code", _METHOD_HEAD, 1))
-    listed = F.when(code.contains("(") & defines, F.array_except(targets, own_name))
-    return listed.otherwise(targets)
-
+    return [t for t in dict.fromkeys(targets) if t != head[1]] if defines else targets
 
-def script_tokens(lines: DataFrame) -> DataFrame:
-    """Definition keywords, brackets and statement ends in order, with their nesting.
 
-    Each line also yields one row that carries its text, placed after its tokens.
-    """
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("line")
-    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = (
-        Window.partitionBy(*FILE_KEY)
-        .orderBy(F.col("line").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    code, written = F.col("code"), F.trim("raw") != ""
-    above = F.last(F.when(written, F.struct("comment", "code")), ignorenulls=True).over(earlier)
-    prepared = (
-        lines.withColumn(
-            "string_line", F.last(F.when(code.contains("~"), F.col("line")), ignorenulls=True).over(onwards)
-        )
-        .withColumn(
-            "first3", F.array("raw", F.lead("raw", 1).over(by_line), F.lead("raw", 2).over(by_line))
-        )
-        .withColumn("_above", above)
-        .withColumn(
-            "comment_above", F.when(F.trim("_above.code") == "", F.col("_above.comment"))
-        )
-        .withColumn("exported", code.rlike(r"^\s*export\b"))
-        .withColumn("calls", _line_calls())
-        .withColumn("_tokens", F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0)))
-        .withColumn("_tokens", F.concat("_tokens", F.array(F.lit(""))))
-    )
-    exploded = prepared.select(
-        *FILE_KEY, "language", "line", "raw", "code", "calls", "first3", "comment_above",
-        "exported", "string_line", F.posexplode("_tokens").alias("idx", "token"),
-    ).withColumn("kind", F.when(F.col("token") != "", _token_kind(F.col("token"))))
-    # Each column travels only on the kind of row that uses it.
-    text_row, definition = F.col("token") == "", F.col("kind").isNotNull()
-    tokens = exploded.select(
-        *FILE_KEY, "language", "line", "idx", "token", "kind",
-        *[F.when(text_row, F.col(c)).alias(c) for c in ("raw", "code", "calls")],
-        *[
-            F.when(definition, F.col(c)).alias(c)
-            for c in ("first3", "comment_above", "exported", "string_line")
-        ],
-    )
-    at = Window.partitionBy(*FILE_KEY).orderBy("line", "idx")
-    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    token = F.col("token")
-    braces = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-    parens = F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
-    nested = tokens.withColumn("_b", F.sum(braces).over(upto)).withColumn(
-        "_p", F.sum(parens).over(upto)
-    )
-    return (
-        nested.withColumn("level", (F.col("_b") - (token == "{").cast("int")).cast("int"))
-        .withColumn("paren", (F.col("_p") - (token == "(").cast("int")).cast("int"))
-        .drop("_b", "_p")
-    )
+_DEFINITION = (
+    "line int, idx int, kind string, level int, end_line int, token string, exported boolean, comment_above string, "
+    "first3 array<string>, _head_raw string, _head_code string, calls array<string>"
+)
+_BODIED = ("function", "class", "interface", "method")
 
 
-def _with_extent(tokens: DataFrame) -> DataFrame:
-    """First and last line of the body after each definition.
+def _extents(tokens: list[tuple]) -> Iterator[tuple]:
+    """Each definition's place, kind, nesting, last line and the line its body begins on.
 
-    Opening and closing brackets of one nesting level alternate, so the body of
-    a definition lies between the next two of its own level.
+    ``tokens`` are ``line, idx, token, kind, string_line`` in order. Opening and closing
+    brackets of one nesting level alternate, so the body of a definition lies between
+    the next two of its own level.
     """
-    token = F.col("token")
-    later = (
-        Window.partitionBy(*FILE_KEY, "level", "paren")
-        .orderBy(F.col("line").desc(), F.col("idx").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    following = lambda hit, value: F.last(F.when(hit, value), ignorenulls=True).over(later)
-    significant = (token != "") & ~token.isin("(", ")")
-    is_definition = F.col("kind").isNotNull()
-    ends_statement = (token == ";") | is_definition
-    return (
-        tokens.withColumn("_next", following(significant, token))
-        .withColumn("_open", following(token == "{", F.col("line")))
-        .withColumn("_close", following(token == "}", F.col("line")))
-        .withColumn("_arrow", following(token == "=>", F.col("line")))
-        .withColumn("_stop", following(ends_statement, F.struct("token", "line")))
-    )
+    nested, braces, parens = [], 0, 0
+    for item in tokens:
+        token = item[2]
+        level, paren = braces, parens
+        if token in "{}":
+            braces += 1 if token == "{" else -1
+            level = min(level, braces)
+        elif token in "()":
+            parens += 1 if token == "(" else -1
+            paren = min(paren, parens)
+        nested.append((level, paren, *item))
+    # Of each nesting the next token, next lines of "{", "}" and "=>", and next end of a statement.
+    ahead: dict[tuple[int, int], tuple] = {}
+    for level, paren, line, idx, token, kind, string_line in reversed(nested):
+        following, opened, closed, arrow, stop = ahead.get((level, paren), (None,) * 5)
+        if kind:
+            is_arrow = kind == "binding" and following == "=>"
+            ended = line if stop is None else stop
+            body, end, valid = line, ended, True
+            if kind in _BODIED:
+                body, end = opened, closed
+                valid = following == "{" if kind == "method" else opened is not None
+            elif is_arrow:
+                body = arrow
+                end = closed if opened == arrow else max(ended, arrow)
+            elif kind in ("binding", "type_alias") and following == "{":
+                end = closed
+            elif kind in ("import", "reexport"):
+                body = end = string_line
+            if valid:
+                named = "arrow" if is_arrow else "variable" if kind == "binding" else kind
+                yield (
+                    line, idx, named, level, line if end is None else end,
+                    token, line if body is None else body,
+                )
+        if token not in "()":
+            ahead[level, paren] = (
+                token,
+                line if token == "{" else opened,
+                line if token == "}" else closed,
+                line if token == "=>" else arrow,
+                None if kind else line if token == ";" else stop,
+            )
+
+
+def _definition_rows(lines: list[Line]) -> Iterator[tuple]:
+    """One row per definition with its header, and one per line that calls something."""
+    string_line, string_lines = None, [None] * len(lines)
+    for at in range(len(lines) - 1, -1, -1):
+        string_line = lines[at].line if "~" in lines[at].code else string_line
+        string_lines[at] = string_line
+    tokens, place = [], {}
+    above = Line(0, "", "~", None)
+    for at, here in enumerate(lines):
+        found = (_TOKENS if _WORDS.search(here.code) else _BARE_TOKENS).findall(here.code)
+        tokens += [(here.line, n, t, _token_kind(t), string_lines[at]) for n, t in enumerate(found)]
+        comment = None if above.code.strip(" ") else above.comment
+        place.setdefault(here.line, (at, comment))
+        if called := _line_calls(here.code):
+            yield (here.line, len(found), *[None] * 9, called)
+        above = here if here.raw.strip(" ") else above
+    tokens.sort(key=lambda t: t[:2])
+    heads_of = sorted(_extents(tokens))
+    for n, (line, idx, kind, level, end, token, body) in enumerate(heads_of):
+        at, comment = place[line]
+        # The header goes up to the body or the next definition, whose lines are its own.
+        until = min(body, heads_of[n + 1][0] - 1) if n + 1 < len(heads_of) else body
+        stop = at
+        while stop < len(lines) and lines[stop].line <= until:
+            stop += 1
+        yield (
+            line, idx, kind, level, end, token, bool(_EXPORT.search(lines[at].code)), comment, first_lines(lines, at),
+            "\n".join(x.raw for x in lines[at:stop]), "\n".join(x.code for x in lines[at:stop]), None,
+        )
 
 
-def script_entities(lines: DataFrame) -> DataFrame:
+def script_entities(files: DataFrame) -> DataFrame:
     """Entity rows (calls included, not yet distinct) of JavaScript and TypeScript files."""
-    marked = _with_extent(script_tokens(lines))
-    kind, line = F.col("kind"), F.col("line")
-    statement_end = F.when(F.col("_stop.token") == ";", F.col("_stop.line")).otherwise(line)
-    is_arrow = (kind == "binding") & (F.col("_next") == "=>") & F.col("token").isNotNull()
-    braced_arrow = is_arrow & (F.col("_open") == F.col("_arrow"))
-    valid = (
-        F.when(kind.isin("function", "class", "interface"), F.col("_open").isNotNull())
-        .when(kind == "method", F.col("_next") == "{")
-        .otherwise(kind.isNotNull())
-    )
-    refined = (
-        F.when(is_arrow, "arrow").when(kind == "binding", "variable").otherwise(kind)
-    )
-    body_line = (
-        F.when(kind.isin("function", "class", "interface", "method"), F.col("_open"))
-        .when(is_arrow, F.col("_arrow"))
-        .when(kind.isin("import", "reexport"), F.col("string_line"))
-        .otherwise(line)
-    )
-    end_line = (
-        F.when(kind.isin("function", "class", "interface", "method"), F.col("_close"))
-        .when(braced_arrow, F.col("_close"))
-        .when(is_arrow, F.greatest(statement_end, F.col("_arrow")))
-        .when((kind == "binding") & (F.col("_next") == "{"), F.col("_close"))
-        .when((kind == "type_alias") & (F.col("_next") == "{"), F.col("_close"))
-        .when(kind.isin("import", "reexport"), F.col("string_line"))
-        .otherwise(statement_end)
-    )
-    extents = (
-        marked.withColumn("kind", F.when(valid, refined))
-        .withColumn("end_line", F.coalesce(end_line, line).cast("int"))
-        .withColumn("body_line", F.coalesce(body_line, line))
-        .drop("_next", "_open", "_close", "_arrow", "_stop", "string_line")
-    )
-    text_row = F.col("token") == ""
-    extents = extents.filter(F.col("kind").isNotNull() | text_row)
-    # Header text: the lines from a definition to its body, gathered per definition.
-    at = Window.partitionBy(*FILE_KEY).orderBy("line", "idx")
-    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.last(
-        F.when(F.col("kind").isNotNull(), F.struct("line", "idx", "body_line")), ignorenulls=True
-    ).over(upto)
-    headed = extents.withColumn("_head", head).withColumn(
-        "_in_head", (F.col("line") <= F.col("_head.body_line"))
-    )
-    whole_head = (
-        Window.partitionBy(*FILE_KEY, "_head", "_in_head")
-        .orderBy("line", "idx")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    headed = headed.withColumn(
-        "_head_raw", F.array_join(F.collect_list(F.when(text_row & F.col("_in_head"), F.col("raw"))).over(whole_head), "\n")
-    ).withColumn(
-        "_head_code", F.array_join(F.collect_list(F.when(text_row & F.col("_in_head"), F.col("code"))).over(whole_head), "\n")
-    )
-    return _describe(headed.filter(F.col("kind").isNotNull() | (F.size("calls") > 0)))
+    return _describe(file_rows(files, _definition_rows, _DEFINITION))
 
 
 def _describe(headed: DataFrame) -> DataFrame:

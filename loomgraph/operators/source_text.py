@@ -1,21 +1,38 @@
 """From file contents to lines of code ready for pattern matching.
 
-String and comment contents are blanked by one small per-batch helper, because
-a tokenising regex with a replacement callback has no JVM counterpart. Lengths
-and line breaks are kept, so positions in the blanked text are positions in the
-source. Everything after that is columns and windows.
+String and comment contents are blanked by one small helper, because a tokenising
+regex with a replacement callback has no JVM counterpart. Lengths and line breaks
+are kept, so positions in the blanked text are positions in the source. Where
+statements and bodies begin and end is marked in the same pass over a file's lines;
+everything after that is columns and windows over the rows it makes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.session import work_partitions
 
 FILE_KEY = ["repo_id", "file_path"]
+SIGNATURE_LINES = 3
+_ROWS_SENT = 5_000
+
+
+class Line(NamedTuple):
+    """A physical line: number, source text, blanked code, comment that ends on it."""
+
+    line: int
+    raw: str
+    code: str
+    comment: str | None
+
 
 # Blanked text: '~' stands for string characters, '`' for those after a line
 # break inside a string, blanks for comments.
@@ -72,30 +89,38 @@ _BLANKED = T.StructType(
 )
 
 
-def _comment_ends(text: str) -> list[str | None]:
-    """Per line, the comment that ends on it."""
+def blank(text: str, language: str) -> tuple[str, list[str | None]]:
+    """Text with strings and comments blanked, and the script comment that ends on each line."""
+    if language == "python":
+        return _PYTHON.sub(_blank_python, text), []
     ends: list[str | None] = [None] * (text.count("\n") + 1)
     line, at = 0, 0
-    for match in _SCRIPT.finditer(text):
+
+    def blanked_match(match: re.Match) -> str:
+        nonlocal line, at
         if match["comment"]:
             line += text.count("\n", at, match.end())
             at = match.end()
             ends[line] = match["comment"]
-    return ends
+        return _blank_script(match)
+
+    return _SCRIPT.sub(blanked_match, text), ends
 
 
 @F.pandas_udf(_BLANKED)
 def blanked(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-    codes, comments = [], []
-    for text, language in zip(texts, languages):
-        text = text or ""
-        if language == "python":
-            codes.append(_PYTHON.sub(_blank_python, text))
-            comments.append([])
-        else:
-            codes.append(_SCRIPT.sub(_blank_script, text))
-            comments.append(_comment_ends(text))
-    return pd.DataFrame({"code": codes, "comments": comments})
+    pairs = [blank(text or "", language) for text, language in zip(texts, languages)]
+    return pd.DataFrame(pairs, columns=["code", "comments"])
+
+
+def same_in_python(pattern: str) -> str:
+    r"""A JVM pattern for Python's ``re``: ``\s`` and ``\w`` stand for ASCII there."""
+    in_class = lambda c: c.replace(r"\s", " \t\n\x0b\f\r").replace(r"\w", "a-zA-Z0-9_")
+    return re.sub(
+        r"\[(?:\\.|[^\]\\])*\]|\\[sw]",
+        lambda m: in_class(m.group() if m.group()[0] == "[" else f"[{m.group()}]"),
+        pattern,
+    )
 
 
 def decoded(content: Column) -> Column:
@@ -107,39 +132,59 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """One row per physical line: number, source text, blanked code, comment ending there.
+def file_rows(files: DataFrame, rows_of: Callable[[list[Line]], Iterator[tuple]], columns: str) -> DataFrame:
+    """The rows that ``rows_of`` makes of each file's lines, as ``columns`` after file and language.
 
-    ``files`` has ``repo_id, file_path, language, text``. The only exchange of
-    the whole extraction happens here, on the file; the size limit on files
-    bounds every group that later windows work on.
+    ``files`` has ``repo_id, file_path, language, text``. Texts under one path count
+    as one file whose lines meet by number. The size limit on files bounds every list.
     """
     # One kind of line end, so that a carriage return is neither code nor text.
-    ended = files.withColumn("text", F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text")))
-    masked = ended.select(
-        *FILE_KEY, "language", "text", blanked("text", "language").alias("_m")
-    ).select(*FILE_KEY, "language", "text", "_m.*")
-    zipped = F.arrays_zip(
-        F.split("text", "\n").alias("raw"),
-        F.split("code", "\n").alias("code"),
-        F.col("comments").alias("comment"),
+    ended = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text"))
+    whole = (
+        files.select(*FILE_KEY, "language", ended.alias("text"))
+        .repartition(work_partitions(files.sparkSession), *FILE_KEY)
+        .groupBy(*FILE_KEY, "language")
+        .agg(F.sort_array(F.collect_list("text")).alias("texts"))
     )
-    return (
-        masked.repartition(work_partitions(files.sparkSession), *FILE_KEY)
-        .select(*FILE_KEY, "language", F.posexplode(zipped).alias("_n", "_line"))
-        .select(
-            *FILE_KEY, "language", (F.col("_n") + 1).alias("line"),
-            F.col("_line.raw").alias("raw"), F.col("_line.code").alias("code"),
-            F.col("_line.comment").alias("comment"),
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields[:-1])
+    schema = T.StructType.fromDDL(f"{head}, {columns}")
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow
         )
-    )
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                *key, texts = (c[at].as_py() for c in batch.columns)
+                rows.extend((*key, *row) for row in rows_of(_numbered(texts, key[-1])))
+                if len(rows) >= _ROWS_SENT:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return whole.mapInArrow(made, schema)
 
 
-SIGNATURE_LINES = 3
+def _numbered(texts: list[str], language: str) -> list[Line]:
+    lines = []
+    for text in texts:
+        raw, (code, comments) = text.split("\n"), blank(text, language)
+        lines += map(Line, range(1, len(raw) + 1), raw, code.split("\n"), comments or [None] * len(raw))
+    return lines if len(texts) == 1 else sorted(lines, key=lambda at: at.line)
+
+
+def first_lines(lines: list[Line], at: int) -> list[str | None]:
+    """The source of a line and the two after it."""
+    return [lines[n].raw if n < len(lines) else None for n in range(at, at + SIGNATURE_LINES)]
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def signature(first_lines: Column, lines: Column) -> Column:
@@ -159,23 +204,20 @@ SCRIPT_KEYWORDS = (
 ).split()
 
 
-def call_targets(code: Column, keywords: list[str]) -> Column:
+_PLAIN_CALL = re.compile(
+    same_in_python(r"(?<![\w.$])(?<!def )(?<!class )(?<!function )(?<!function\* )(?<!function \*)(?<!new )([A-Za-z_$][\w$]*)\s*\(")
+)
+_DOTTED_CALL = re.compile(
+    same_in_python(r"(?<![\w.$)\]])((?:[A-Za-z_$][\w$]*(?:\([^()]*\)|\[[^\[\]]*\])*\??\.)+[A-Za-z_$][\w$]*)\s*\(")
+)
+
+
+def call_targets(code: str, keywords: Sequence[str]) -> list[str]:
     """Targets called on a line: plain names, then dotted ``object.method`` texts."""
-    plain = F.regexp_extract_all(
-        code,
-        F.lit(r"(?<![\w.$])(?<!def )(?<!class )(?<!function )(?<!function\* )(?<!function \*)(?<!new )([A-Za-z_$][\w$]*)\s*\("),
-        F.lit(1),
-    )
-    dotted = F.regexp_extract_all(
-        code,
-        F.lit(
-            r"(?<![\w.$)\]])((?:[A-Za-z_$][\w$]*(?:\([^()]*\)|\[[^\[\]]*\])*\??\.)+[A-Za-z_$][\w$]*)\s*\("
-        ),
-        F.lit(1),
-    )
-    words = F.array(*[F.lit(w) for w in keywords])
-    none = F.array().cast("array<string>")
-    return F.when(code.contains("("), F.concat(F.array_except(plain, words), F.array_distinct(dotted))).otherwise(none)
+    if "(" not in code:
+        return []
+    plain = [name for name in dict.fromkeys(_PLAIN_CALL.findall(code)) if name not in keywords]
+    return plain + list(dict.fromkeys(_DOTTED_CALL.findall(code))) if "." in code else plain
 
 
 # Columns every extractor fills; absent ones are null.

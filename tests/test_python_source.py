@@ -5,7 +5,7 @@ import textwrap
 import pytest
 
 from loomgraph.operators.code_graph import build_edges, build_nodes, parse_files
-from loomgraph.operators.source_text import blanked
+from loomgraph.operators.source_text import blanked, same_in_python
 
 SOURCE = '''\
 """Module text."""
@@ -206,3 +206,25 @@ def test_type_parameters_and_generator_heads(spark):
     assert {("class", "A"), ("method", "m"), ("function", "f")} <= {(r.kind, r.name) for r in found.collect()}
     calls = parse(spark, "function* g() {\n  yield h();\n  g();\n}\nfunction *k() {}\n", "javascript")[1].filter("kind = 'call'")
     assert {(r.name, r.start_line) for r in calls.collect()} == {("h", 2), ("g", 3)}
+
+
+@pytest.mark.parametrize("language", ["python", "typescript"])
+def test_only_entities_are_sorted(spark, language):
+    # Windows over lines and tokens made extraction many times dearer than reading the files.
+    found = parse(spark, SOURCE, language)[1]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:").startswith("Window ") for line in plan.split("\n")) <= 8
+
+
+def test_jvm_classes_in_python():
+    import re
+
+    pattern = re.compile(same_in_python(r"^\s*([\w$]+)\s"))
+    assert pattern.search(" a$1\t")[1] == "a$1"
+    assert not pattern.search(" a ") and not pattern.search("é ")
+
+
+def test_method_names_equal_to_words_of_the_helper(spark):
+    text = "class A {\n  next() {\n    stop();\n  }\n  stop(a: number) {\n    return a;\n  }\n}\nconst f = () => 1;\n"
+    found = {(r.kind, r.name, r.start_line, r.end_line) for r in parse(spark, text, "javascript")[1].collect()}
+    assert {("method", "next", 2, 4), ("method", "stop", 5, 7), ("arrow", "f", 9, 9)} <= found
