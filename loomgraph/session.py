@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rows of an Arrow batch: whole texts and vectors, so that a batch stays small in a Python worker.
+ARROW_ROWS = "1000"
+
+
 def build_session(
     app_name: str = "loomgraph",
     master: str | None = None,
@@ -23,6 +27,7 @@ def build_session(
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -90,6 +95,11 @@ def work_partitions(spark: SparkSession) -> int:
     return partitions
 
 
+def partitions_for(df: DataFrame, rows_each: int = 200_000) -> int:
+    """Partition count that keeps the rows of a task the same however large ``df`` is."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+
+
 def top_k_salts(spark: SparkSession) -> int:
     """How many slices a top-k group is split into before its final merge.
 

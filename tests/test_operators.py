@@ -4,16 +4,18 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings as hsettings, strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, snapshots, usage
+from loomgraph.operators import graph, nearest as nearest_module, snapshots, usage
 from loomgraph.operators.bursts import bursts
 from loomgraph.operators.containment import with_enclosing
-from loomgraph.operators.nearest import nearest
+from loomgraph.operators.nearest import _closest, _running_best, nearest
 from loomgraph.operators.topk import keep_best, top_k
 from loomgraph.operators.upsert import upsert
+from loomgraph.session import partitions_for
 from loomgraph.settings import Settings
 from tests.conftest import as_set
 
@@ -246,3 +248,42 @@ def test_name_matrix_agrees_with_the_columns(spark):
     hit = name_matches(F.col("name"), F.col("wanted")) & kind_matches(F.col("kind"), F.col("want_kind"))
     for r in left.crossJoin(right).select("i", "j", F.coalesce(hit, F.lit(False)).alias("hit")).collect():
         assert bool(got[r.i, r.j]) == r.hit, (stored[r.i], asked[r.j])
+
+
+@pytest.mark.parametrize("width, copies", [(300, False), (300, True), (5, True), (300, "few")])
+def test_closest_equals_full_sort(width, copies):
+    rng = np.random.default_rng(7)
+    distance = np.round(rng.random((9, width)), 2)  # many ties
+    codes = None
+    if copies:
+        codes = rng.integers(0, 3 if copies == "few" else 12, width)
+    got = [[] for _ in distance]
+    for j, at, d in zip(*_closest(distance.copy(), 4, codes)):
+        got[j].append((d, at))
+    for j, row in enumerate(distance):
+        want, seen = [], set()
+        for d, at in sorted((d, at) for at, d in enumerate(row)):
+            if codes is None or codes[at] not in seen:
+                want.append((d, at))
+                seen.add(None if codes is None else codes[at])
+        assert got[j] == want[:4]
+
+
+def test_a_task_sends_k_candidates_however_many_batches_it_reads(monkeypatch):
+    monkeypatch.setattr(nearest_module, "_HELD_ROWS", 100)
+    parts = [pd.DataFrame({"query_id": [1] * 30, "id": range(i, i + 30), "distance": 0.5}) for i in range(0, 900, 30)]
+    sent = pd.concat(_running_best(iter(parts), [], 10, None))
+    assert sent["id"].tolist() == list(range(10))
+
+
+def test_cells_do_not_share_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(nearest_module, "_CELL_ROWS", 10)
+    frame = spark.range(60).selectExpr("id", "array(float(id), 1f) embedding")
+    found = nearest(frame, frame.withColumnRenamed("id", "query_id"), 3, settings=Settings(query_broadcast_bytes=160, embedding_dim=2))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_grow_with_the_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions_for(spark.range(10), 2) == max(5, cores)
+    assert [partitions_for(spark.range(n), 10) for n in (0, 1000, 6001)] == [cores, 100, 601]
