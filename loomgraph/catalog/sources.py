@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomgraph.catalog.registry import query
 from loomgraph.operators import code_graph
 from loomgraph.operators.containment import with_enclosing
-from loomgraph.session import materialised
+from loomgraph.session import materialised, partitions_for
 from loomgraph.sources.tables import spread, table
 
 
@@ -395,8 +395,10 @@ INTERVALS_SQL = """
 
 def _spans(spark, folder) -> DataFrame:
     """Line numbers of orders as nested ranges (each contains the later ones) and as points."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    # The only exchange: all windows below are within an order, and a task sorts a bounded number of rows.
     items = (
-        table(spark, folder, "lineitem")
+        lines.repartition(partitions_for(lines), "l_orderkey")
         .groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("id"))
         .agg(F.max("l_quantity").alias("l_quantity"))
     )
