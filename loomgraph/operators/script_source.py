@@ -95,7 +95,7 @@ _BODIED = ("function", "class", "interface", "method")
 def _extents(tokens: list[tuple]) -> Iterator[tuple]:
     """Each definition's place, kind, nesting, last line and the line its body begins on.
 
-    ``tokens`` are ``line, idx, token, kind, string_line`` in order. Opening and closing
+    ``tokens`` are ``line, idx, token, kind, string_line, at`` in order. Opening and closing
     brackets of one nesting level alternate, so the body of a definition lies between
     the next two of its own level.
     """
@@ -112,7 +112,9 @@ def _extents(tokens: list[tuple]) -> Iterator[tuple]:
         nested.append((level, paren, *item))
     # Of each nesting the next token, next lines of "{", "}" and "=>", and next end of a statement.
     ahead: dict[tuple[int, int], tuple] = {}
-    for level, paren, line, idx, token, kind, string_line in reversed(nested):
+    # Of tokens at one place, as texts under one path have them, the first follows the others.
+    backwards = sorted(nested, key=lambda t: (-t[2], -t[3]))
+    for level, paren, line, idx, token, kind, string_line, at in backwards:
         following, opened, closed, arrow, stop = ahead.get((level, paren), (None,) * 5)
         if kind:
             is_arrow = kind == "binding" and following == "=>"
@@ -132,7 +134,7 @@ def _extents(tokens: list[tuple]) -> Iterator[tuple]:
                 named = "arrow" if is_arrow else "variable" if kind == "binding" else kind
                 yield (
                     line, idx, named, level, line if end is None else end,
-                    token, line if body is None else body,
+                    token, line if body is None else body, at,
                 )
         if token not in "()":
             ahead[level, paren] = (
@@ -150,28 +152,30 @@ def _definition_rows(lines: list[Line]) -> Iterator[tuple]:
     for at in range(len(lines) - 1, -1, -1):
         string_line = lines[at].line if "~" in lines[at].code else string_line
         string_lines[at] = string_line
-    tokens, place = [], {}
+    tokens, comments, first_of = [], [], {}
     above = Line(0, "", "~", None)
     for at, here in enumerate(lines):
         found = (_TOKENS if _WORDS.search(here.code) else _BARE_TOKENS).findall(here.code)
-        tokens += [(here.line, n, t, _token_kind(t), string_lines[at]) for n, t in enumerate(found)]
-        comment = None if above.code.strip(" ") else above.comment
-        place.setdefault(here.line, (at, comment))
+        tokens += [(here.line, n, t, _token_kind(t), string_lines[at], at) for n, t in enumerate(found)]
+        comments.append(None if above.code.strip(" ") else above.comment)
+        first_of.setdefault(here.line, at)
         if called := _line_calls(here.code):
             yield (here.line, len(found), *[None] * 9, called)
         above = here if here.raw.strip(" ") else above
     tokens.sort(key=lambda t: t[:2])
     heads_of = sorted(_extents(tokens))
-    for n, (line, idx, kind, level, end, token, body) in enumerate(heads_of):
-        at, comment = place[line]
+    for n, (line, idx, kind, level, end, token, body, at) in enumerate(heads_of):
         # The header goes up to the body or the next definition, whose lines are its own.
-        until = min(body, heads_of[n + 1][0] - 1) if n + 1 < len(heads_of) else body
-        stop = at
+        after = n + 1
+        while after < len(heads_of) and [heads_of[after][i] for i in (0, 1, 6)] == [line, idx, body]:
+            after += 1  # the same definition in another text under this path
+        until = min(body, heads_of[after][0] - 1) if after < len(heads_of) else body
+        start = stop = first_of[line]
         while stop < len(lines) and lines[stop].line <= until:
             stop += 1
         yield (
-            line, idx, kind, level, end, token, bool(_EXPORT.search(lines[at].code)), comment, first_lines(lines, at),
-            "\n".join(x.raw for x in lines[at:stop]), "\n".join(x.code for x in lines[at:stop]), None,
+            line, idx, kind, level, end, token, bool(_EXPORT.search(lines[at].code)), comments[at], first_lines(lines, at),
+            "\n".join(x.raw for x in lines[start:stop]), "\n".join(x.code for x in lines[start:stop]), None,
         )
 
 
