@@ -261,13 +261,19 @@ def _graph(spark, folder):
     return files, materialised(code_graph.parse_files(files))
 
 
+def _outline_nodes(spark, folder) -> DataFrame:
+    """Nodes without headers and texts. The queries over them read either files or symbols, so nothing is parsed twice."""
+    files = part_modules(spark, folder)
+    return code_graph.build_nodes(files, code_graph.parse_files(files, outline=True))
+
+
 @query(
     "file_summary_string",
     f"with {PARTS_SQL}, {SUMMARY_SQL} select file_path, line_count::int as line_count, summary from summaries",
 )
 def file_summary_string(spark, folder):
     """Structural summary and line count of every module."""
-    nodes = code_graph.build_nodes(*_graph(spark, folder))
+    nodes = _outline_nodes(spark, folder)
     return nodes.filter("type = 'CodeFile'").select("file_path", "line_count", "summary")
 
 
@@ -290,7 +296,7 @@ def file_summary_string(spark, folder):
 )
 def build_graph_nodes(spark, folder):
     """Typed nodes of all modules. Exports carry no module of their own."""
-    nodes = code_graph.build_nodes(*_graph(spark, folder))
+    nodes = _outline_nodes(spark, folder)
     module = F.when(F.col("type") == "CodeImport", F.col("source_module"))
     return nodes.withColumn("source_module", module).select(
         "file_path", "type", "name", "qualified_name", "kind", "start_line", "source_module",

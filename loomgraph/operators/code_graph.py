@@ -20,13 +20,17 @@ CLASS_KINDS = ("class", "interface", "type_alias")
 _SUMMARY_MODULES = 10
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, outline: bool = False) -> DataFrame:
     """Entity rows of source files (``repo_id, file_path, language, text``).
 
-    Calls are distinct by target in a file; the first call site stays.
+    Calls are distinct by target in a file; the first call site stays. An ``outline`` has the
+    same rows but calls, with names, places, owners, modules, and the statements of imports;
+    headers and texts of definitions are null. It shuffles nothing after the files.
     """
     python = files.filter(F.col("language") == "python")
     script = files.filter(F.col("language").isin(*SCRIPT_LANGUAGES))
+    if outline:
+        return python_entities(python, outline).unionByName(script_entities(script, outline))
     found = [_distinct_calls(python_entities(python)), _distinct_calls(script_entities(script))]
     return found[0].unionByName(found[1])
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.operators.containment import with_enclosing
 from loomgraph.operators.source_text import (
     FILE_KEY,
     SCRIPT_KEYWORDS,
     Line,
     call_entity,
     call_targets,
+    enclosing_places,
     entities,
     entity,
     file_rows,
@@ -87,7 +88,7 @@ def _line_calls(code: str) -> list[str]:
 
 _DEFINITION = (
     "line int, idx int, kind string, level int, end_line int, token string, exported boolean, comment_above string, "
-    "first3 array<string>, _head_raw string, _head_code string, calls array<string>"
+    "first3 array<string>, _head_raw string, _head_code string, calls array<string>, _class_token string"
 )
 _BODIED = ("function", "class", "interface", "method")
 
@@ -146,8 +147,11 @@ def _extents(tokens: list[tuple]) -> Iterator[tuple]:
             )
 
 
-def _definition_rows(lines: list[Line]) -> Iterator[tuple]:
-    """One row per definition with its header, and one per line that calls something."""
+def _definition_rows(lines: list[Line], outline: bool) -> Iterator[tuple]:
+    """One row per definition with its header, and one per line that calls something.
+
+    An ``outline`` has no calls, and headers of imports alone.
+    """
     string_line, string_lines = None, [None] * len(lines)
     for at in range(len(lines) - 1, -1, -1):
         string_line = lines[at].line if "~" in lines[at].code else string_line
@@ -159,12 +163,16 @@ def _definition_rows(lines: list[Line]) -> Iterator[tuple]:
         tokens += [(here.line, n, t, _token_kind(t), string_lines[at], at) for n, t in enumerate(found)]
         comments.append(None if above.code.strip(" ") else above.comment)
         first_of.setdefault(here.line, at)
-        if called := _line_calls(here.code):
+        if not outline and (called := _line_calls(here.code)):
             yield (here.line, len(found), *[None] * 9, called)
         above = here if here.raw.strip(" ") else above
     tokens.sort(key=lambda t: t[:2])
     heads_of = sorted(_extents(tokens))
     for n, (line, idx, kind, level, end, token, body, at) in enumerate(heads_of):
+        exported = bool(_EXPORT.search(lines[at].code))
+        if outline and kind not in ("import", "reexport"):
+            yield (line, idx, kind, level, end, token, exported, *[None] * 5)
+            continue
         # The header goes up to the body or the next definition, whose lines are its own.
         after = n + 1
         while after < len(heads_of) and [heads_of[after][i] for i in (0, 1, 6)] == [line, idx, body]:
@@ -174,17 +182,31 @@ def _definition_rows(lines: list[Line]) -> Iterator[tuple]:
         while stop < len(lines) and lines[stop].line <= until:
             stop += 1
         yield (
-            line, idx, kind, level, end, token, bool(_EXPORT.search(lines[at].code)), comments[at], first_lines(lines, at),
+            line, idx, kind, level, end, token, exported, comments[at], first_lines(lines, at),
             "\n".join(x.raw for x in lines[start:stop]), "\n".join(x.code for x in lines[start:stop]), None,
         )
 
 
-def script_entities(files: DataFrame) -> DataFrame:
-    """Entity rows (calls included, not yet distinct) of JavaScript and TypeScript files."""
-    return _describe(file_rows(files, _definition_rows, _DEFINITION))
+def _with_class(rows: list[tuple]) -> Iterator[tuple]:
+    """Rows with the head of the class whose body holds a method directly."""
+    items = sorted((row[1], row[2], at, row) for at, row in enumerate(rows) if row[3] in ("class", "method"))
+    items = [(at, row) for _, _, at, row in items]
+    found = enclosing_places([(row[1], row[5], row[3] == "class") for _, row in items])
+    class_of = {}
+    for n, outer in found.items():
+        at, row = items[n]
+        if outer is not None and row[3] == "method" and row[4] == items[outer][1][4] + 1:
+            class_of[at] = items[outer][1][6]
+    for at, row in enumerate(rows):
+        yield (*row, class_of.get(at))
+
 
+def script_entities(files: DataFrame, outline: bool = False) -> DataFrame:
+    """Entity rows (calls included, not yet distinct) of JavaScript and TypeScript files; see ``parse_files`` for ``outline``."""
+    return _describe(file_rows(files, partial(_definition_rows, outline=outline), _with_class, _DEFINITION), outline)
 
-def _describe(headed: DataFrame) -> DataFrame:
+
+def _describe(headed: DataFrame, outline: bool) -> DataFrame:
     kind, raw, code = F.col("kind"), F.col("_head_raw"), F.col("_head_code")
     filled = lambda c: F.nullif(c, F.lit(""))
     none = F.array().cast("array<string>")
@@ -239,16 +261,24 @@ def _describe(headed: DataFrame) -> DataFrame:
     )
     bases = strip(F.regexp_extract(code, r"(?s)\bextends\s+([\w$.]+)", 1))
     span = {"start_line": F.col("line"), "end_line": F.col("end_line")}
+    detailed = lambda **details: {} if outline else details
     callable_own = entity(
-        kind=kind, name=token_name, **span, signature=sign, parameters=params["text"],
-        return_type=returned,
-        docstring=F.when(kind != "arrow", comment),
+        kind=kind, name=token_name, **span,
+        **detailed(
+            signature=sign, parameters=params["text"], return_type=returned,
+            docstring=F.when(kind != "arrow", comment),
+        ),
     )
-    class_own = entity(kind=kind, name=token_name, **span, signature=sign, docstring=comment, bases=filled(bases))
-    plain_own = entity(kind=kind, name=token_name, **span, signature=sign)
+    class_own = entity(
+        kind=kind, name=token_name, **span, **detailed(signature=sign, docstring=comment, bases=filled(bases))
+    )
+    plain_own = entity(kind=kind, name=token_name, **span, **detailed(signature=sign))
     variable_own = entity(
-        kind=kind, name=token_name, **span, signature=F.substring_index(sign, "\n", 1),
-        type_annotation=filled(strip(F.regexp_extract("token", r"(?s)(:.*)=$", 1))),
+        kind=kind, name=token_name, **span,
+        **detailed(
+            signature=F.substring_index(sign, "\n", 1),
+            type_annotation=filled(strip(F.regexp_extract("token", r"(?s)(:.*)=$", 1))),
+        ),
     )
     import_own = entity(
         kind=kind, name=module, **span, signature=strip(raw), source_module=module,
@@ -259,10 +289,10 @@ def _describe(headed: DataFrame) -> DataFrame:
         export_kind=F.lit("re-export"),
     )
     export = entity(
-        kind=F.lit("export"), name=token_name, **span, signature=F.col("_sign"),
-        export_kind=F.lit("named"),
+        kind=F.lit("export"), name=token_name, **span, export_kind=F.lit("named"),
+        **detailed(signature=F.col("_sign")),
     )
-    calls = F.transform(F.coalesce("calls", none), lambda t: call_entity(F.col("line"), t))
+    calls = entities() if outline else F.transform(F.coalesce("calls", none), lambda t: call_entity(F.col("line"), t))
     own = (
         F.when(kind.isin("function", "arrow", "method"), entities(callable_own))
         .when(kind == "class", entities(class_own))
@@ -280,20 +310,16 @@ def _describe(headed: DataFrame) -> DataFrame:
     )
     rows = F.concat(own, F.when(is_exported, entities(export)).otherwise(entities()), calls)
     found = headed.withColumn("_rows", rows).select(
-        *FILE_KEY, "language", "idx", "level", F.posexplode_outer("_rows").alias("_n", "_e")
-    ).filter("_e is not null").select(*FILE_KEY, "language", "idx", "level", "_n", "_e.*")
-    nested = with_enclosing(
-        found, FILE_KEY, "start_line", "end_line", F.col("kind") == "class",
-        ["idx", "_n"], ["name", "level"], "_owner",
-    )
-    in_class = F.col("level") == F.col("_owner.level") + 1
-    kept = nested.filter((F.col("kind") != "method") | in_class)
-    # The first line of a method whose parameters span lines is not a call of its name.
-    same_name = Window.partitionBy(*FILE_KEY, "start_line", "name")
-    defines = F.max((F.col("kind") == "method").cast("int")).over(same_name) == 1
-    kept = kept.withColumn("_defines", defines).filter(
-        (F.col("kind") != "call") | F.col("call_target").contains(".") | ~F.col("_defines")
-    )
+        *FILE_KEY, "language", "idx", "_class_token", F.posexplode_outer("_rows").alias("_n", "_e")
+    ).filter("_e is not null").select(*FILE_KEY, "language", "idx", "_class_token", "_n", "_e.*")
+    kept = found.filter((F.col("kind") != "method") | F.col("_class_token").isNotNull())
+    if not outline:
+        # The first line of a method whose parameters span lines is not a call of its name.
+        same_name = Window.partitionBy(*FILE_KEY, "start_line", "name")
+        defines = F.max((F.col("kind") == "method").cast("int")).over(same_name) == 1
+        kept = kept.withColumn("_defines", defines).filter(
+            (F.col("kind") != "call") | F.col("call_target").contains(".") | ~F.col("_defines")
+        )
     order = ("function", "arrow", "class", "method", "interface", "type_alias", "import", "export", "call")
     rank = F.lit(len(order))
     for n, k in reversed(list(enumerate(order))):
@@ -310,7 +336,7 @@ def _describe(headed: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "arrow", 1).when(F.col("kind") == "method", 2).otherwise(0).alias("call_rank"),
         "name", "kind", "start_line", "end_line", "signature", "docstring", "parameters",
         "return_type",
-        F.when(F.col("kind") == "method", F.col("_owner.name")).alias("parent_name"),
+        F.when(F.col("kind") == "method", F.regexp_extract("_class_token", _CLASS, 1)).alias("parent_name"),
         "bases", "source_module", "imported_names", "is_default", "is_namespace", "export_kind",
         "call_target", "type_annotation",
     )

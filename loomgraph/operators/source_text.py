@@ -132,21 +132,48 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
-def file_rows(files: DataFrame, rows_of: Callable[[list[Line]], Iterator[tuple]], columns: str) -> DataFrame:
+def enclosing_places(items: Sequence[tuple[int, int, bool]]) -> dict[int, int | None]:
+    """The place of the innermost interval strictly around each item of one file, where there is one.
+
+    Items are ``(start, end, is an interval)`` in file order, others are points at their start.
+    As in ``with_enclosing``, the last interval opened one level further out is the one around.
+    """
+    events = [(start, 0 if spans else 1, -end, at) for at, (start, end, spans) in enumerate(items)]
+    events += [(end, 2, -end, at) for at, (_, end, spans) in enumerate(items) if spans]
+    depth, opened, found = 0, {}, {}
+    for _, step, _, at in sorted(events):
+        if step == 2:
+            depth -= 1
+            continue
+        if depth >= 1:
+            found[at] = opened.get(depth)
+        if step == 0:
+            depth += 1
+            opened[depth] = at
+    return found
+
+
+def file_rows(
+    files: DataFrame,
+    rows_of: Callable[[list[Line]], Iterator[tuple]],
+    owned: Callable[[list[tuple]], Iterator[tuple]],
+    columns: str,
+) -> DataFrame:
     """The rows that ``rows_of`` makes of each file's lines, as ``columns`` after file and language.
 
     ``files`` has ``repo_id, file_path, language, text``. Texts under one path count
-    as one file whose lines meet by number. The size limit on files bounds every list.
+    as one file whose lines meet by number, and whose rows, language first, meet in ``owned``.
+    The size limit on files bounds every list.
     """
     # One kind of line end, so that a carriage return is neither code nor text.
     ended = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text"))
     whole = (
         files.select(*FILE_KEY, "language", ended.alias("text"))
         .repartition(work_partitions(files.sparkSession), *FILE_KEY)
-        .groupBy(*FILE_KEY, "language")
-        .agg(F.sort_array(F.collect_list("text")).alias("texts"))
+        .groupBy(*FILE_KEY)
+        .agg(F.sort_array(F.collect_list(F.struct("language", "text"))).alias("texts"))
     )
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields[:-1])
+    head = ", ".join(f"{name} {files.schema[name].dataType.simpleString()}" for name in (*FILE_KEY, "language"))
     schema = T.StructType.fromDDL(f"{head}, {columns}")
     arrow = to_arrow_schema(schema)
 
@@ -159,8 +186,13 @@ def file_rows(files: DataFrame, rows_of: Callable[[list[Line]], Iterator[tuple]]
         rows: list[tuple] = []
         for batch in batches:
             for at in range(batch.num_rows):
-                *key, texts = (c[at].as_py() for c in batch.columns)
-                rows.extend((*key, *row) for row in rows_of(_numbered(texts, key[-1])))
+                *key, listed = (c[at].as_py() for c in batch.columns)
+                texts: dict[str, list[str]] = {}
+                for one in listed:
+                    if one["text"] is not None:
+                        texts.setdefault(one["language"], []).append(one["text"])
+                found = [(language, *row) for language, of in texts.items() for row in rows_of(_numbered(of, language))]
+                rows.extend((*key, *row) for row in owned(found))
                 if len(rows) >= _ROWS_SENT:
                     yield batch_of(rows)
                     rows = []
@@ -242,8 +274,8 @@ _ENTITY_FIELDS = {
 _ENTITY_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in _ENTITY_FIELDS.items()) + ">"
 
 
-def entity(**values: Column) -> Column:
-    """Entity struct with the given fields."""
+def entity(**values: Column | None) -> Column:
+    """Entity struct with the given fields; None is null."""
     defaults = {
         "signature": F.lit(""),
         "imported_names": F.array(),
@@ -252,8 +284,9 @@ def entity(**values: Column) -> Column:
     }
     return F.struct(
         *[
-            values.get(name, defaults.get(name, F.lit(None))).cast(kind).alias(name)
+            (F.lit(None) if value is None else value).cast(kind).alias(name)
             for name, kind in _ENTITY_FIELDS.items()
+            for value in (values.get(name, defaults.get(name)),)
         ]
     )
 

@@ -3,6 +3,7 @@
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators.code_graph import build_edges, build_nodes, parse_files
 from loomgraph.operators.source_text import blanked, same_in_python
@@ -228,3 +229,40 @@ def test_method_names_equal_to_words_of_the_helper(spark):
     text = "class A {\n  next() {\n    stop();\n  }\n  stop(a: number) {\n    return a;\n  }\n}\nconst f = () => 1;\n"
     found = {(r.kind, r.name, r.start_line, r.end_line) for r in parse(spark, text, "javascript")[1].collect()}
     assert {("method", "next", 2, 4), ("method", "stop", 5, 7), ("arrow", "f", 9, 9)} <= found
+
+
+@pytest.mark.parametrize("language", ["python", "typescript"])
+def test_an_outline_has_the_same_definitions_without_shuffling_them(spark, language):
+    from tests import test_script_source
+
+    files, full = parse(spark, SOURCE if language == "python" else test_script_source.SOURCE, language)
+    outline = parse_files(files, outline=True)
+    columns = ["ordinal", "kind", "name", "start_line", "end_line", "parent_name", "source_module", "export_kind"]
+    kept = full.filter("kind != 'call'").withColumn("import", F.when(F.col("kind") == "import", F.col("signature")))
+    seen = outline.withColumn("import", F.when(F.col("kind") == "import", F.col("signature")))
+    assert {tuple(r) for r in seen.select(*columns, "import").collect()} == {tuple(r) for r in kept.select(*columns, "import").collect()}
+    plan = outline._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_graph_nodes_are_parsed_once_and_shuffled_only_as_files(spark, tmp_path):
+    from loomgraph.catalog import REGISTERED
+
+    part = spark.createDataFrame(
+        [(i, f"name {i}", f"Brand#{i}", "TYPE", 5 + 10 * i, 1.0) for i in range(3)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    nodes = REGISTERED["build_graph_nodes"].run(spark, str(tmp_path))
+    # One pass per language with no sort of entities, and no copy of the parsed files in the shared folder.
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Window" not in plan and "Join" not in plan
+    owners = {r.qualified_name for r in nodes.filter("kind = 'method'").collect()}
+    assert owners == {f"Part{i}.{step}{n}" for i in range(3) for n in range(1, i + 2) for step in ("step_", "step")}
+
+
+def test_owners_are_found_across_texts_under_one_path(spark):
+    # As windows over the path had it, a class of one text holds what stands on its lines in another.
+    rows = [("r", "a.ts", "typescript", "class A {\n  m() {\n  }\n}\n"), ("r", "a.ts", "javascript", "{\n  f() {\n  }\n}\n"), ("r", "a.ts", "typescript", None)]
+    files = spark.createDataFrame(rows, "repo_id string, file_path string, language string, text string")
+    found = {(r.language, r.name, r.parent_name) for r in parse_files(files).filter("kind = 'method'").collect()}
+    assert found == {("typescript", "m", "A"), ("javascript", "f", "A")}
