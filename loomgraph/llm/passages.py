@@ -97,7 +97,7 @@ def best_chains(x: np.ndarray, y: np.ndarray, settings: PassageSettings) -> list
     ranks = np.unique(y, return_inverse=True)[1] + 1
     size, k, cost = int(ranks.max()), settings.seed_words, settings.gap_cost
     tree: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
-    score, before = np.zeros(len(x)), np.full(len(x), -1)
+    score, before = [0.0] * len(x), [-1] * len(x)
     xs, ys, rs = x.tolist(), y.tolist(), ranks.tolist()
     waiting: list[int] = []
     for i in order.tolist():
@@ -122,31 +122,32 @@ def best_chains(x: np.ndarray, y: np.ndarray, settings: PassageSettings) -> list
             if score[j] + fresh - cost * skipped > k:
                 score[i], before[i] = score[j] + fresh - cost * skipped, j
         waiting.append(i)
-    chains, used = [], np.zeros(len(x), bool)
-    for i in np.argsort(-score, kind="stable").tolist():
+    chains, used = [], [False] * len(x)
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(i)
-            i = int(before[i])
+            i = before[i]
         if chain:
             chains.append(chain[::-1])
     return chains
 
 
-def _cut(chain: list[int], x: np.ndarray, y: np.ndarray, settings: PassageSettings) -> Iterator[list[int]]:
-    part = chain[:1]
+def _cut(chain: list[int], x: list[int], y: list[int], settings: PassageSettings) -> Iterator[list[int]]:
+    part, last, most = chain[:1], chain[0], settings.max_gap + settings.seed_words
     for i in chain[1:]:
-        if max(x[i] - x[part[-1]], y[i] - y[part[-1]]) > settings.max_gap + settings.seed_words:
+        if x[i] - x[last] > most or y[i] - y[last] > most:
             yield part
             part = []
         part.append(i)
+        last = i
     yield part
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs of words."""
-    if len(a) == len(b) and (a == b).all():
+    if a.tobytes() == b.tobytes():
         return len(a)
     row = np.zeros(len(b) + 1, np.int64)
     for word in a:
@@ -162,11 +163,36 @@ def _skips(slack: int) -> list[tuple[int, int]]:
     return sorted(((p, q) for p in steps for q in steps if p or q), key=lambda s: (s[0] + s[1], abs(s[0] - s[1])))
 
 
+_NEAR = 64
+
+
+def _extend_near(a: list[int], b: list[int], whole_a: bool, whole_b: bool, slack: int) -> tuple[int, int, int] | None:
+    """``_extend`` from the first words of two runs; None if more words decide."""
+    i = j = same = 0
+    need, skips = slack + 1, _skips(slack)
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j, same = i + 1, j + 1, same + 1
+        if not (whole_a or i + slack + need <= len(a)) or not (whole_b or j + slack + need <= len(b)):
+            return None
+        near_a, near_b = a[i : i + slack + need], b[j : j + slack + need]
+        for p, q in () if set(near_a).isdisjoint(near_b) else skips:
+            run_a = near_a[p : p + need]
+            if len(run_a) == need and run_a == near_b[q : q + need]:
+                i, j = i + p, j + q
+                break
+        else:
+            return i, j, same
+
+
 def _extend(a: np.ndarray, b: np.ndarray, slack: int) -> tuple[int, int, int]:
     """How far two runs go on together from their start: words of each, equal words.
 
     Over a difference it goes on if at least slack + 1 words then agree again.
     """
+    near = _extend_near(a[:_NEAR].tolist(), b[:_NEAR].tolist(), len(a) <= _NEAR, len(b) <= _NEAR, slack)
+    if near is not None:
+        return near
     i = j = same = 0
     need, skips = slack + 1, _skips(slack)
     while True:
@@ -184,14 +210,17 @@ def _extend(a: np.ndarray, b: np.ndarray, slack: int) -> tuple[int, int, int]:
             return i, j, same
 
 
-def align(part: list[int], x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, settings: PassageSettings) -> tuple[int, int, int, int, int]:
+def align(part: list[int], x: list[int], y: list[int], a: np.ndarray, b: np.ndarray, settings: PassageSettings) -> tuple[int, int, int, int, int]:
     """(start, end, other start, other end, equal words) of a chain, ends exclusive."""
-    k, first, last = settings.seed_words, part[0], part[-1]
+    k, first = settings.seed_words, part[0]
     left_a, left_b, same_left = _extend(a[: x[first]][::-1], b[: y[first]][::-1], settings.slack)
     end_a, end_b, same = x[first] + k, y[first] + k, k
     for i in part[1:]:
         over = max(0, end_a - x[i], end_b - y[i])
-        if over < k:
+        if over and x[i] + over == end_a and y[i] + over == end_b:  # it goes on in both texts alike
+            if over < k:
+                same, end_a, end_b = same + k - over, x[i] + k, y[i] + k
+        elif over < k:
             same += _common(a[end_a : x[i] + over], b[end_b : y[i] + over]) + k - over
             end_a, end_b = x[i] + k, y[i] + k
     right_a, right_b, same_right = _extend(a[end_a:], b[end_b:], settings.slack)
@@ -206,9 +235,12 @@ def passages_between(
     ``tried`` gets all alignments, those too short or too different as well.
     """
     found: list[tuple[int, int, int, int, int]] = []
-    for chain in best_chains(x, y, settings):
+    chains = best_chains(x, y, settings)
+    x, y = x.tolist(), y.tolist()
+    for chain in chains:
         for part in _cut(chain, x, y, settings):
-            if any(f[0] <= x[i] and x[i] + settings.seed_words <= f[1] for i in (part[0],) for f in found) and any(f[0] <= x[part[-1]] < f[1] for f in found):
+            first, last = x[part[0]], x[part[-1]]
+            if found and any(f[0] <= first and first + settings.seed_words <= f[1] for f in found) and any(f[0] <= last < f[1] for f in found):
                 continue
             one = align(part, x, y, a, b, settings)
             if tried is not None:
@@ -228,6 +260,28 @@ def _hashes_of(texts: pa.Array) -> list[np.ndarray]:
     return [hashes[i] for i in encoded.indices.to_pylist()]
 
 
+def _run(left: tuple, right: tuple, step: int, most: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words agree from places in two runs on, and whether ``_extend`` certainly stops there.
+
+    ``left`` and ``right`` are (all words, place of each pair in them, words left from there);
+    ``step`` is the direction. At most ``most`` words are looked at.
+    """
+    (a, at_a, left_a), (b, at_b, left_b) = left, right
+
+    def equal(i, j) -> np.ndarray:
+        there = (i < left_a) & (j < left_b)
+        return there & (a[np.where(there, at_a + step * i, 0)] == b[np.where(there, at_b + step * j, 0)])
+
+    run, going = np.zeros(len(at_a), np.int64), np.ones(len(at_a), bool)
+    for t in range(most):
+        going &= equal(t, t)
+        run += going
+    need = slack + 1
+    pairs = {(p, q): equal(run + p, run + q) for p in range(slack + need) for q in range(slack + need) if abs(p - q) <= slack}
+    again = [np.logical_and.reduce([pairs[p + s, q + s] for s in range(need)]) for p, q in _skips(slack)]
+    return run, ~going & ~np.logical_or.reduce(again)
+
+
 def _positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """All anchors' positions in the document and in the source, and where each row's begin."""
     column = batch.column("anchors")
@@ -241,22 +295,22 @@ def _slice_rows(batches: Iterator[pa.RecordBatch], margin: int, settings: Passag
     """Pairs with the hashes of the words around their anchors in the text that goes."""
     k = settings.seed_words
     for batch in batches:
-        rows, slices, begins, ends = [], [], [], []
-        shorter = batch.column("shorter").to_pylist()
+        texts = _hashes_of(batch.column("text"))
+        sizes = np.array([len(words_) for words_ in texts], np.int64)
         own, other, starts = _positions(batch)
-        for i, words_ in enumerate(_hashes_of(batch.column("text"))):
-            at = (own if shorter[i] else other)[starts[i] : starts[i + 1]]
-            at = at[at <= len(words_) - k]  # others are of another text of the same id
-            if len(at):
-                begin, end = max(0, int(at.min()) - margin), min(len(words_), int(at.max()) + k + margin)
-                rows.append(i)
-                slices.append(words_[begin:end].tobytes())
-                begins.append(begin)
-                ends.append(end < len(words_))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+        at = np.where(batch.column("shorter").to_numpy(zero_copy_only=False)[row], own, other)
+        inside = at <= sizes[row] - k  # others are of another text of the same id
+        row, at = row[inside], at[inside]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        rows = row[first]
+        lowest, highest = (f.reduceat(at, first) if len(first) else at for f in (np.minimum, np.maximum))
+        begins, ends = np.maximum(0, lowest - margin), np.minimum(sizes[rows], highest + k + margin)
+        slices = [texts[i][begin:end].tobytes() for i, begin, end in zip(rows.tolist(), begins.tolist(), ends.tolist())]
         taken = pa.array(rows, pa.int64())
         kept = [batch.column(c).take(taken) for c in ("goes", "stays", "shorter", "anchors")]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(slices, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.bool_())],
+            [*kept, pa.array(slices, pa.binary()), pa.array(begins.astype(np.int32)), pa.array(ends < sizes[rows])],
             ["goes", "stays", "shorter", "anchors", "words", "begin", "more"])
 
 
@@ -265,29 +319,51 @@ def _passage_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings)
     k, near = settings.seed_words, 2 * settings.slack + 1
     for batch in batches:
         rows, spans = [], []
-        shorter, begins, mores = (batch.column(c).to_pylist() for c in ("shorter", "begin", "more"))
+        shorter, begins, mores = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shorter", "begin", "more"))
+        begins = begins.astype(np.int64)
+        # All slices and all different texts of the batch, one after another.
+        encoded = batch.column("text").dictionary_encode()
+        wholes = [h for _, h in word_hashes(encoded.dictionary, lower=True)]
+        whole, place = np.concatenate([*wholes, np.zeros(1, np.uint64)]), encoded.indices.to_numpy(zero_copy_only=False)
+        whole_ends = np.cumsum([len(h) for h in wholes])[place] if len(place) else np.zeros(0, np.int64)
+        whole_size = np.array([len(h) for h in wholes], np.int64)[place] if len(place) else np.zeros(0, np.int64)
+        whole_from = whole_ends - whole_size
         parts = batch.column("words").to_pylist()
-        all_at, all_source_at, starts = _positions(batch)
-        for i, whole in enumerate(_hashes_of(batch.column("text"))):
-            sent = np.frombuffer(parts[i], whole.dtype)
-            at, source_at = (c[starts[i] : starts[i + 1]] for c in (all_at, all_source_at))
-            there, here = ((at, source_at) if shorter[i] else (source_at, at))
-            there = there - begins[i]
-            # Where an id has several texts, only anchors that lie in these two count.
-            inside = (there >= 0) & (there <= len(sent) - k) & (here <= len(whole) - k)
-            there, here = there[inside], here[inside]
-            same = np.logical_and.reduce([sent[there + j] == whole[here + j] for j in range(k)])
-            if not same.any():
+        sent, sent_size = np.frombuffer(b"".join([*parts, bytes(8)]), np.uint64), np.array([len(p) // 8 for p in parts], np.int64)
+        sent_from = np.cumsum(sent_size) - sent_size
+        at, source_at, starts = _positions(batch)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+        there, here = np.where(shorter[row], at, source_at) - begins[row], np.where(shorter[row], source_at, at)
+        # Where an id has several texts, only anchors that lie in these two count.
+        inside = (there >= 0) & (there <= sent_size[row] - k) & (here <= whole_size[row] - k)
+        row, there, here = row[inside], there[inside], here[inside]
+        same = np.logical_and.reduce([sent[sent_from[row] + there + j] == whole[whole_from[row] + here + j] for j in range(k)])
+        row, there, here = row[same], there[same], here[same]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        number = np.diff(np.append(first, len(row)))
+        # Most pairs have one seed in common and end right there: all of them are looked at together.
+        lone = first[number == 1]
+        r, x, y = row[lone], there[lone], here[lone]
+        most = max(0, settings.min_segment - k)
+        ahead, stops = _run((sent, sent_from[r] + x + k, sent_size[r] - x - k), (whole, whole_from[r] + y + k, whole_size[r] - y - k), 1, most, settings.slack)
+        behind, begun = _run((sent, sent_from[r] + x - 1, x), (whole, whole_from[r] + y - 1, y), -1, most, settings.slack)
+        cut = ((begins[r] > 0) & (x - behind < near)) | (mores[r] & (x + k + ahead > sent_size[r] - near))
+        nothing = stops & begun & ~cut & (k + ahead + behind < settings.min_segment)
+        settled = np.zeros(batch.num_rows, bool)
+        settled[r[nothing]] = True
+        for begin, n in zip(first.tolist(), number.tolist()):
+            i = int(row[begin])
+            if settled[i]:
                 continue
-            there, here, tried = there[same], here[same], []
-            own = (there, here, sent, whole) if shorter[i] else (here, there, whole, sent)
-            found = passages_between(*own, settings, tried)
+            x, y, tried = there[begin : begin + n], here[begin : begin + n], []
+            a, b = sent[sent_from[i] : sent_from[i] + sent_size[i]], whole[whole_from[i] : whole_ends[i]]
+            found = passages_between(*((x, y, a, b) if shorter[i] else (y, x, b, a)), settings, tried)
             side = 0 if shorter[i] else 2
             # An end that stopped this close to a cut might have gone on in the whole text.
-            if any((begins[i] and t[side] < near) or (mores[i] and t[side + 1] > len(sent) - near) for t in tried):
+            if any((begins[i] and t[side] < near) or (mores[i] and t[side + 1] > len(a) - near) for t in tried):
                 found = [(None,) * len(_SPANS)]
             else:
-                move = [begins[i] if c // 2 * 2 == side and c < 4 else 0 for c in range(len(_SPANS))]
+                move = [int(begins[i]) if c // 2 * 2 == side and c < 4 else 0 for c in range(len(_SPANS))]
                 found = [tuple(v + m for v, m in zip(span, move)) for span in found]
             rows += [i] * len(found)
             spans += found

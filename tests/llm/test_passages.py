@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -59,3 +60,56 @@ def test_any_margin_gives_the_same_segments(make_docs):
     docs = make_docs([" ".join(t) for t in texts])
     rows = [sorted(map(tuple, shared_passages(docs, replace(PRODUCTION, margin=m)).collect())) for m in (0, 9, PRODUCTION.margin, 1 << 40)]
     assert len(rows[0]) >= 6 and all(r == rows[0] for r in rows)
+
+
+def test_lone_seeds_are_settled_together_and_alike(monkeypatch):
+    """Pairs with one seed go through the batch's common look unless it could matter, with equal segments."""
+    from loomgraph.llm import passages
+
+    rng = random.Random(24)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(400):
+        a, b = ([rng.choice(words) for _ in range(rng.choice([5, 9, 40, 90]))] for _ in range(2))
+        i, j = rng.randrange(len(a) - 4), rng.randrange(len(b) - 4)
+        run = rng.choice([5, 5, 5, 20, 23, 24, 30])
+        a[i : i + run] = b[j : j + run] = [f"s{n}.{t}" for t in range(run)]
+        if n % 3:  # further words behind a difference
+            tail = [f"t{t}" for t in range(rng.choice([3, 4, 30]))]
+            a, b = a[: i + run] + ["x"] + tail, b[: j + run] + ["y", "z"][: n % 3] + tail
+        anchors_ = [{"at": i, "source_at": j}] + ([{"at": i + 1, "source_at": j + 1}] if n % 7 == 0 and run > 5 else [])
+        cut = rng.choice([0, 0, max(0, i - 5)])
+        end = rng.choice([len(a), min(len(a), i + run + 8)])
+        hashes = next(iter(word_hashes(pa.array([" ".join(a)]), lower=True)))[1]
+        rows.append({"goes": n, "stays": -n, "shorter": n % 2 == 0, "anchors": anchors_ if n % 2 == 0 else [{"at": x["source_at"], "source_at": x["at"]} for x in anchors_],
+                     "words": hashes[cut:end].tobytes(), "begin": cut, "more": end < len(a), "text": " ".join(b)})
+    anchor = pa.struct([("at", pa.int32()), ("source_at", pa.int32())])
+    schema = pa.schema([("goes", pa.int64()), ("stays", pa.int64()), ("shorter", pa.bool_()), ("anchors", pa.list_(anchor)),
+                        ("words", pa.binary()), ("begin", pa.int32()), ("more", pa.bool_()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    looked_at = []
+    between = passages.passages_between
+    monkeypatch.setattr(passages, "passages_between", lambda *a: looked_at.append(1) or between(*a))
+    together = [r for b in passages._passage_rows(iter([batch]), PRODUCTION) for r in b.to_pylist()]
+    few = len(looked_at)
+    run = passages._run
+    monkeypatch.setattr(passages, "_run", lambda *a: (run(*a)[0], run(*a)[1] & False))
+    alone = [r for b in passages._passage_rows(iter([batch]), PRODUCTION) for r in b.to_pylist()]
+    assert len(looked_at) - few == 400 and few < 300
+    assert together == alone and len(alone) > 40
+
+
+def test_short_extensions_equal_long_ones(monkeypatch):
+    from loomgraph.llm import passages
+
+    rng = random.Random(25)
+    for _ in range(2000):
+        a = np.array([rng.randrange(3) for _ in range(rng.randrange(150))], np.uint64)
+        b = a.copy()
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b = np.concatenate([b[:at], np.array([9] * rng.randrange(3), np.uint64), b[at + rng.randrange(3) :]])
+        near = passages._extend(a, b, 3)
+        with monkeypatch.context() as m:
+            m.setattr(passages, "_extend_near", lambda *_: None)
+            assert passages._extend(a, b, 3) == near
