@@ -407,17 +407,20 @@ def anchors(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFram
     keys = ["seed", "slice"] if n_hot else ["seed"]
     group = f"over (partition by {', '.join(keys)} order by doc_id, at"
     scanned = rows.repartition(shuffle_partitions(docs.sparkSession), *keys)
+    scanned = scanned.withColumn("first", F.expr(f"first_value(struct(doc_id, at)) {group} rows between unbounded preceding and current row)"))
+    # Most seeds have one document; the other scans go without them, and without first documents.
+    scanned = scanned.where("hot or first.doc_id != doc_id" if n_hot else "first.doc_id != doc_id")
     scanned = scanned.withColumn("head", F.expr(f"first_value(at) over (partition by {', '.join(keys)}, doc_id order by at)"))
-    scanned = scanned.withColumns({
-        "first": F.expr(f"first_value(struct(doc_id, at)) {group} rows between unbounded preceding and current row)"),
-        "behind": F.expr(f"lag(struct(doc_id, head)) {group})")})
+    scanned = scanned.withColumn("behind", F.expr(f"lag(struct(doc_id, head)) {group})"))
     enters = F.when(F.col("behind.doc_id") != F.col("doc_id"), F.col("behind")).alias("enters")
     scanned = scanned.select(*keys, *(["hot"] if n_hot else []), "doc_id", "at", "head", "first", enters)
     scanned = scanned.withColumn("before", F.expr(f"last_value(enters, true) {group} rows between unbounded preceding and current row)"))
     if n_hot:
-        scanned = _carried(saved(scanned.drop("enters").where("hot or first.doc_id != doc_id")))
+        scanned = _carried(saved(scanned.drop("enters")))
     linked = scanned.where("first.doc_id != doc_id")
-    ways = F.array(F.col("first"), F.struct(F.col("before.doc_id").alias("doc_id"), F.col("before.head").alias("at")))
+    # Behind the first document there is no other one before.
+    before = F.when(F.col("before").isNotNull(), F.struct(F.col("before.doc_id").alias("doc_id"), F.col("before.head").alias("at")))
+    ways = F.array(F.col("first"), F.coalesce(before, F.col("first")))
     met = linked.select("doc_id", "at", F.explode(F.array_distinct(ways)).alias("way"))
     met = met.select("doc_id", F.col("way.doc_id").alias("source_id"), F.struct("at", F.col("way.at").alias("source_at")).alias("anchor"))
     return met.groupBy("doc_id", "source_id").agg(F.collect_set("anchor").alias("anchors"))
