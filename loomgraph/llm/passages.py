@@ -147,13 +147,22 @@ def _cut(chain: list[int], x: list[int], y: list[int], settings: PassageSettings
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs of words."""
-    if a.tobytes() == b.tobytes():
-        return len(a)
+    first, second = a.tolist(), b.tolist()
+    # Equal words at either end are part of a longest one.
+    same, size = 0, min(len(first), len(second))
+    while same < size and first[same] == second[same]:
+        same += 1
+    tail = 0
+    while tail < size - same and first[-1 - tail] == second[-1 - tail]:
+        tail += 1
+    if same + tail == size or set(first[same : len(a) - tail]).isdisjoint(second[same : len(b) - tail]):
+        return same + tail
+    a, b = a[same : len(a) - tail], b[same : len(b) - tail]
     row = np.zeros(len(b) + 1, np.int64)
     for word in a:
         hit = np.concatenate([[0], row[:-1] + (b == word)])
         row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+    return int(row[-1]) + same + tail
 
 
 @lru_cache

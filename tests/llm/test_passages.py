@@ -113,3 +113,16 @@ def test_short_extensions_equal_long_ones(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(passages, "_extend_near", lambda *_: None)
             assert passages._extend(a, b, 3) == near
+
+
+def test_common_words_of_short_runs():
+    from loomgraph.llm.passages import _common
+
+    rng = random.Random(26)
+    for _ in range(500):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert _common(np.array(a, np.uint64), np.array(b, np.uint64)) == table[-1][-1]
