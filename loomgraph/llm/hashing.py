@@ -127,6 +127,15 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(total + _LENGTH[width])
 
 
+def windows_at(hashes: np.ndarray, width: int, places: np.ndarray) -> np.ndarray:
+    """``windows(hashes, width)[places]``, of which only these are formed."""
+    with np.errstate(over="ignore"):
+        total = hashes[places] * _STEP[0]
+        for k in range(1, width):
+            total = total + hashes[places + k] * _STEP[k]
+        return mix(total + _LENGTH[width])
+
+
 def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     """Sorted distinct shingles; a shorter text is one shingle of all its words."""
     if not len(hashes):

@@ -3,15 +3,17 @@
 A phrase that occurs ``support`` times in a language occurs, in at least one shard with the
 share w of the language's words, support * w times or more. So every shard, a bounded run of
 documents, is mined completely at ceil(support * w): level by level, a run of k words is
-looked at only if its first and its last k - 1 words are frequent in the shard. The union of
+looked at only if its first and its last k - 1 words are frequent in the shard. A task's
+documents of a language are one shard up to a bound: what it keeps of the texts is a hash per
+word, and runs are counted a class of their hashes at a time. The union of
 what shards find holds every phrase frequent in the whole. A shard that doesn't report a phrase
 holds it less often than its support, so the reports also bound each phrase's count from
 above, and phrases whose bound is too small leave the union. A last pass counts each of its
-members in all shards.
+members in all tasks, longer ones only where both their shorter parts are members too.
 
 Words and pairs are mined and united first; longer runs are then mined only over pairs of that
 union, so that they stay few where shards are many and the local support comes down to 1
-(from ``support`` shards of a language on, 300 million of its words as set below).
+(from ``support`` shards of a language on, 1.2 billion words as set below).
 
 Words are named by 64-bit hashes, phrases by a hash of theirs. What is shipped to all tasks
 is the union's hashes up to a bound, beyond it a Bloom filter of fixed size, whose false hits
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.common import saved
-from loomgraph.llm.hashing import buffers, byte_hashes, mix, windows
+from loomgraph.llm.hashing import buffers, byte_hashes, mix, windows_at
 
 #: Bytes that end a piece; blanks and tabs end words besides.
 _ENDS_PIECE = np.zeros(256, bool)
@@ -45,7 +47,8 @@ class PhraseSettings:
     support: int = 100
     longest: int = 5
     top: int = 2000
-    shard_words: int = 3_000_000
+    shard_words: int = 16_000_000  # held by a task; tasks get three quarters of it
+    block_words: int = 3_000_000  # of which the texts are held
     shipped: int = 1_000_000  # hashes, 8 bytes each, that go to all tasks
     filter_bits: int = 27  # the filter beyond that has 2 to this power
 
@@ -57,14 +60,20 @@ PRODUCTION = PhraseSettings()
 class Shard:
     """Words of some documents of one language, in order."""
 
+    word: np.ndarray  # hash of each word
+    joined: np.ndarray  # whether the next word is of the same piece
+
+
+@dataclass
+class Block(Shard):
+    """A shard with its text."""
+
     data: np.ndarray  # lowered bytes
     start: np.ndarray
     end: np.ndarray
-    piece: np.ndarray  # number of each word's piece
-    word: np.ndarray  # hash of each word
 
 
-def shard_of(texts: list[np.ndarray]) -> Shard:
+def shard_of(texts: list[np.ndarray]) -> Block:
     """The words of whole texts; texts end pieces."""
     data = _LOWER[np.concatenate([p for t in texts for p in (t, np.frombuffer(b"\n", np.uint8))])] if texts else np.zeros(0, np.uint8)
     inside = np.zeros(len(data) + 2, np.int8)
@@ -72,13 +81,18 @@ def shard_of(texts: list[np.ndarray]) -> Shard:
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1).astype(np.int32), np.flatnonzero(edge == -1).astype(np.int32)
     piece = np.searchsorted(np.flatnonzero(_ENDS_PIECE[data]).astype(np.int32), start).astype(np.int32)
-    return Shard(data, start, end, piece, byte_hashes(data, start, end))
+    joined = np.zeros(len(piece), bool)
+    joined[:-1] = piece[1:] == piece[:-1]
+    return Block(byte_hashes(data, start, end), joined, data, start, end)
 
 
 def runs(shard: Shard, k: int) -> np.ndarray:
     """Whether ``k`` words from each word on lie in one piece."""
-    n = len(shard.piece) - k + 1
-    return shard.piece[:n] == shard.piece[k - 1 :] if n > 0 else np.zeros(0, bool)
+    n = max(0, len(shard.joined) - k + 1)
+    whole = np.ones(n, bool)
+    for i in range(k - 1):
+        whole &= shard.joined[i : n + i]
+    return whole
 
 
 @dataclass
@@ -104,37 +118,53 @@ def filter_places(hashes: np.ndarray, power: int) -> list[np.ndarray]:
         return [(mix(hashes + np.uint64(k)) >> np.uint64(64 - power)).astype(np.int64) for k in range(4)]
 
 
+#: Runs that a class has at most in the mean, up to 128 classes.
+_CLASS_WORDS = 1 << 20
+
+
 def frequent(shard: Shard, support: int, longest: int, allowed=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, first place, count) of every run of up to ``longest`` words found ``support`` times.
 
     ``name`` numbers, per place, the frequent run of k words there; equal runs share a
-    number, so a run of k words is a pair of the numbers of its two overlapping parts.
+    number, so a run of k words is a pair of the numbers of its two overlapping parts. Runs
+    are counted class by class, which bounds the memory of a count.
     ``allowed`` tells of places which pairs of words may be part of longer runs.
     """
-    words, name, count = np.unique(shard.word, return_inverse=True, return_counts=True)
-    places = np.arange(len(shard.word))
+    n = len(shard.word)
+    power = min(7, (n // _CLASS_WORDS).bit_length())
+    name, names = np.zeros(0, np.int32), 0
     for k in range(1, longest + 1):
+        m = max(0, n - k + 1)
+        whole = runs(shard, k)
         if k > 1:
-            m = max(0, len(name) - k + 1)
-            both = np.flatnonzero(runs(shard, k) & (name[:m] >= 0) & (name[1 : m + 1] >= 0))
-            if not len(both):
-                return
-            pair = name[both].astype(np.int64) * (int(name.max()) + 1) + name[both + 1]
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            places = both
-        else:
-            inverse = name
-        keep = count >= support
-        if not keep.any():
+            whole &= (name[:m] >= 0) & (name[1 : m + 1] >= 0)
+
+        def run(places, k=k, name=name, names=names):
+            return shard.word[places] if k == 1 else (name[places].astype(np.int64) * names + name[places + 1]).view(np.uint64)
+
+        # The class of each place; 255 if no run of k words begins there.
+        group = np.full(m, 255, np.uint8)
+        for at in range(0, m, _CLASS_WORDS):
+            places = np.flatnonzero(whole[at : at + _CLASS_WORDS]) + at
+            group[places] = (mix(run(places)) & np.uint64((1 << power) - 1)).astype(np.uint8)
+        number, used, found = np.full(n, -1, np.int32), 0, []
+        for c in range(1 << power):
+            places = np.flatnonzero(group == c).astype(np.int32)
+            _, inverse, count = np.unique(run(places), return_inverse=True, return_counts=True)
+            keep = count >= support
+            if not keep.any():
+                continue
+            first = np.full(len(count), n, np.int32)
+            np.minimum.at(first, inverse, places)
+            found.append((first[keep], count[keep]))
+            if k == 2 and allowed is not None:
+                keep[keep] = allowed(first[keep])
+            number[places] = np.where(keep, used + np.cumsum(keep) - 1, -1).astype(np.int32)[inverse]
+            used += int(keep.sum())
+        if not found:
             return
-        first = np.full(len(count), len(shard.word))
-        np.minimum.at(first, inverse, places)
-        yield k, first[keep], count[keep]
-        if k == 2 and allowed is not None:
-            keep[keep] = allowed(first[keep])
-        number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
-        name = np.full(len(shard.word), -1, np.int32)
-        name[places] = number[inverse]
+        yield k, np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
+        name, names = number, used
 
 
 def salted(hashes: np.ndarray, lang: str) -> np.ndarray:
@@ -142,12 +172,12 @@ def salted(hashes: np.ndarray, lang: str) -> np.ndarray:
     return hashes ^ np.frombuffer(hashlib.md5(lang.encode()).digest()[:8], np.uint64)[0]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iterator[tuple[str, Shard]]:
-    """A partition's documents as shards of bounded size (or one longer document)."""
+def _blocks(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iterator[tuple[str, Block]]:
+    """A partition's documents as blocks of bounded size (or one longer document)."""
     waiting: dict[str, list[np.ndarray]] = {}
     held: dict[str, int] = {}
     # A word takes two bytes at least, its end included, and some six in prose.
-    most = 6 * settings.shard_words
+    most = 6 * min(settings.block_words, settings.shard_words)
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for i, lang in enumerate(batch.column("lang").to_pylist()):
@@ -165,6 +195,27 @@ def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iter
         yield lang, shard_of(texts)
 
 
+def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iterator[tuple[str, Shard]]:
+    """A partition's words as few shards of bounded size, one a language where they fit."""
+    waiting: dict[str, list[Shard]] = {}
+    held: dict[str, int] = {}
+
+    def whole(lang):
+        held.pop(lang)
+        parts = waiting.pop(lang)
+        return lang, Shard(np.concatenate([p.word for p in parts]), np.concatenate([p.joined for p in parts]))
+
+    for lang, block in _blocks(batches, settings):
+        if len(block.word):
+            waiting.setdefault(lang, []).append(Shard(block.word, block.joined))
+            held[lang] = held.get(lang, 0) + len(block.word)
+        del block
+        if sum(held.values()) >= settings.shard_words:
+            yield whole(max(held, key=held.get))
+    for lang in [*held]:
+        yield whole(lang)
+
+
 def _local_support(n: int, lang: str, totals: dict[str, int], settings: PhraseSettings) -> int:
     return max(1, -(-settings.support * n // totals[lang]))
 
@@ -182,45 +233,89 @@ def _mined(batches: Iterator[pa.RecordBatch], totals: dict[str, int], pairs: Shi
                                           ["lang", "id", "k", "c", "slack"])
 
     for lang, shard in _shards(batches, settings):
-        if not len(shard.word):
-            continue
         support = _local_support(len(shard.word), lang, totals, settings)
         yield batch_of(lang, [0], 0, [0], support - 1)
-        allowed = None
-        if pairs is not None:
-            two = salted(windows(shard.word, 2), lang)
-            allowed = lambda places, two=two: pairs.has(two[places])
+        ids = lambda places, k: salted(windows_at(shard.word, k, places), lang)  # noqa: E731, B023
+        allowed = None if pairs is None else lambda places: pairs.has(ids(places, 2))  # noqa: B023
         for k, first, count in frequent(shard, support, 2 if pairs is None else settings.longest, allowed):
             if (k > 2) == (pairs is not None):
-                ids = salted(windows(shard.word, k), lang)[first].view(np.int64)
                 for at in range(0, len(first), 100_000):
-                    yield batch_of(lang, ids[at : at + 100_000], k, count[at : at + 100_000], support - 1)
+                    part = slice(at, at + 100_000)
+                    yield batch_of(lang, ids(first[part], k).view(np.int64), k, count[part], support - 1)
 
 
 _COUNTED = "lang string, id long, k int, f long, phrase binary"
 
 
+def _counts(block: Block, lang: str, wanted: Shipped, support: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """(k, ids, counts, phrases) of the wanted phrases in a block; a phrase is told from ``support`` on."""
+    text, hit = block.data.tobytes(), np.zeros(0, bool)
+    for k in range(1, longest + 1):
+        whole = runs(block, k)
+        if k > 1:
+            # All parts of a frequent phrase are frequent, so they are wanted too.
+            whole &= hit[:-1] & hit[1:]
+        places = np.flatnonzero(whole)
+        hashes = salted(windows_at(block.word, k, places), lang)
+        known = wanted.has(hashes)
+        places, hashes = places[known], hashes[known]
+        if not len(places):
+            return
+        hit = np.zeros(len(whole), bool)
+        hit[places] = True
+        ids, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        first = places[first]
+        spans = zip(block.start[first].tolist(), block.end[first + k - 1].tolist(), (counts >= support).tolist())
+        # Words of one piece are parted by blanks and tabs alone.
+        phrases = (b" ".join(p for p in text[a:b].replace(b"\t", b" ").split(b" ") if p) if told else None for a, b, told in spans)
+        yield k, ids.view(np.int64), counts, pa.array(phrases, pa.binary())
+
+
+def _together(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids, counts, phrases) of several blocks with each id once."""
+    ids, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    phrases = pa.concat_arrays([p[2] for p in parts])
+    order = np.lexsort((phrases.is_null().to_numpy(zero_copy_only=False), ids))
+    begin = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+    return ids[order[begin]], np.add.reduceat(counts[order], begin), phrases.take(pa.array(order[begin]))
+
+
+#: Counts of blocks that a task holds before it reports them.
+_HELD_COUNTS = 2_000_000
+
+
 def _counted(batches: Iterator[pa.RecordBatch], totals: dict[str, int], wanted: Shipped, settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
-    """The shard's counts of the wanted phrases, with the phrase where it is frequent in the shard."""
-    for lang, shard in _shards(batches, settings):
-        if not len(shard.word):
-            continue
-        whole, support = shard.data.tobytes(), _local_support(len(shard.word), lang, totals, settings)
-        for k in range(1, settings.longest + 1):
-            places = np.flatnonzero(runs(shard, k))
-            hashes = salted(windows(shard.word, k), lang)[places]
-            hit = wanted.has(hashes)
-            ids, first, counts = np.unique(hashes[hit], return_index=True, return_counts=True)
-            first = places[hit][first]
+    """The task's counts of the wanted phrases, with the phrase where it is frequent in a block."""
+    held: dict[tuple[str, int], list] = {}
+    n = 0
+
+    def reports():
+        for (lang, k), parts in held.items():
+            ids, counts, phrases = _together(parts)
             for at in range(0, len(ids), 50_000):
                 part = slice(at, at + 50_000)
-                spans = zip(shard.start[first[part]].tolist(), shard.end[first[part] + k - 1].tolist(), (counts[part] >= support).tolist())
-                # Words of one piece are parted by blanks and tabs alone.
-                texts = [b" ".join(p for p in whole[a:b].replace(b"\t", b" ").split(b" ") if p) if told else None for a, b, told in spans]
+                m = len(ids[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(texts)), pa.array(ids[part].view(np.int64)), pa.array(np.full(len(texts), k, np.int32)), pa.array(counts[part]), pa.array(texts, pa.binary())],
+                    [pa.array([lang] * m), pa.array(ids[part]), pa.array(np.full(m, k, np.int32)), pa.array(counts[part]), phrases[part]],
                     ["lang", "id", "k", "f", "phrase"])
 
+    for lang, block in _blocks(batches, settings):
+        if not len(block.word):
+            continue
+        support = _local_support(len(block.word), lang, totals, settings)
+        for k, *counts in _counts(block, lang, wanted, support, settings.longest):
+            parts = held.setdefault((lang, k), [])
+            parts.append(tuple(counts))
+            n += len(counts[0])
+        if n >= _HELD_COUNTS:
+            for key, parts in held.items():
+                held[key] = [_together(parts)]
+            n = sum(len(parts[0][0]) for parts in held.values())
+        if n >= _HELD_COUNTS // 2:
+            yield from reports()
+            held, n = {}, 0
+    yield from reports()
+
 
 def _union(mined: DataFrame, settings: PhraseSettings) -> DataFrame:
     """(lang, id, k): the reported phrases that may be frequent in the whole."""
@@ -259,7 +354,7 @@ def phrase_counts(docs: DataFrame, settings: PhraseSettings = PRODUCTION) -> tup
     # One number per language goes to the tasks.
     known = {r["lang"]: r["n"] for r in totals.collect()}
     # Few large shards prune better than many small ones.
-    partitions = -(-sum(known.values()) // (4 * settings.shard_words))
+    partitions = -(-4 * sum(known.values()) // (3 * settings.shard_words))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     shards = rows.coalesce(max(int(partitions), cores, 1))
     short = _union(shards.mapInArrow(lambda batches: _mined(batches, known, None, settings), _MINED), settings)

@@ -5,8 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomgraph.llm import phrases
+from loomgraph.llm.hashing import windows, windows_at
 from loomgraph.llm.phrases import PhraseSettings, collocations, frequent, shard_of
 
 SCHEMA = "doc_id long, text string, lang string, n long, score int, phrase string, k int"
@@ -78,3 +81,58 @@ def test_mining_a_shard_is_complete():
     for k, first, count in frequent(shard, 20, 5):
         want = collections.Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
         assert {tuple(words[i : i + k]): c for i, c in zip(first.tolist(), count.tolist())} == {w: c for w, c in want.items() if c >= 20}
+
+
+def test_classes_of_runs_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    words = [rng.choice("abcdefgh") + rng.choice([" ", " ", " ", ", "]) for _ in range(5000)]
+    shard = shard_of([np.frombuffer("".join(words).encode(), np.uint8)])
+    found = {}
+    for size in (10_000, 70):
+        monkeypatch.setattr(phrases, "_CLASS_WORDS", size)
+        found[size] = [(k, sorted(zip(first.tolist(), count.tolist()))) for k, first, count in frequent(shard, 3, 5)]
+    assert found[70] == found[10_000] and len(found[70]) == 5
+
+
+def test_a_task_reports_a_phrase_once():
+    rng = random.Random(7)
+    rows = [(lang or "und", text) for _, text, lang in texts(rng, 400)]
+    batches = [pa.RecordBatch.from_pylist([{"lang": a, "text": t} for a, t in rows[at : at + 50]]) for at in range(0, 400, 50)]
+    counts, totals = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n-\r]", text.lower()):
+            words = [w for w in re.split("[ \t]", piece) if w]
+            totals[lang] += len(words)
+            counts.update((lang, tuple(words[i : i + k])) for k in range(1, 6) for i in range(len(words) - k + 1))
+    settings = PhraseSettings(support=4, shard_words=100_000, block_words=30)
+    # One task is one shard of each language, so it reports what is frequent in the whole, and nothing else.
+    mined = [r for b in phrases._mined(iter(batches), totals, None, settings) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["k"], r["c"]) for r in mined if r["k"]) == sorted((lang, len(w), c) for (lang, w), c in counts.items() if len(w) < 3 and c >= 4)
+    assert sorted(r["lang"] for r in mined if not r["k"]) == sorted(totals)
+    pairs = phrases.Shipped(np.sort(np.array([r["id"] for r in mined if r["k"] == 2], np.int64).view(np.uint64)))
+    mined += [r for b in phrases._mined(iter(batches), totals, pairs, settings) for r in b.to_pylist()]
+    wanted = phrases.Shipped(np.sort(np.array([r["id"] for r in mined if r["k"]], np.int64).view(np.uint64)))
+    told = [r for b in phrases._counted(iter(batches), totals, wanted, settings) for r in b.to_pylist()]
+    assert sorted((r["lang"], tuple(r["phrase"].decode().split(" ")), r["f"]) for r in told) == sorted((lang, w, c) for (lang, w), c in counts.items() if c >= 4)
+
+
+def test_counts_beyond_the_bound_are_reported_in_parts(monkeypatch):
+    monkeypatch.setattr(phrases, "_HELD_COUNTS", 5)
+    texts = [" ".join(["a b c", "d"] * 10)] * 20
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": t} for t in texts])
+    settings = PhraseSettings(support=4, shard_words=100_000, block_words=30)
+    ids = np.unique(np.concatenate([phrases.salted(windows(shard_of([np.frombuffer(texts[0].encode(), np.uint8)]).word, k), "en") for k in (1, 2)]))
+    told = collections.Counter()
+    names = {}
+    for b in phrases._counted(iter([batch]), {"en": 800}, phrases.Shipped(ids), settings):
+        for r in b.to_pylist():
+            told[r["id"]] += r["f"]
+            names[r["id"]] = names.get(r["id"]) or r["phrase"]
+    assert {names[i]: f for i, f in told.items()} == {b"a": 200, b"b": 200, b"c": 200, b"d": 200, b"a b": 200, b"b c": 200, b"c d": 200, b"d a": 180}
+
+
+def test_windows_at_places():
+    hashes = np.random.default_rng(8).integers(0, 2**63, 50).astype(np.uint64)
+    places = np.array([0, 7, 7, 45])
+    for k in range(1, 6):
+        assert windows_at(hashes, k, places).tolist() == windows(hashes, k)[places].tolist()
