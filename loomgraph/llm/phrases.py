@@ -48,7 +48,7 @@ class PhraseSettings:
     longest: int = 5
     top: int = 2000
     shard_words: int = 16_000_000  # held by a task; tasks get three quarters of it
-    block_words: int = 3_000_000  # of which the texts are held
+    block_words: int = 2_000_000  # of which the texts are held for the last count
     shipped: int = 1_000_000  # hashes, 8 bytes each, that go to all tasks
     filter_bits: int = 27  # the filter beyond that has 2 to this power
 
@@ -118,53 +118,59 @@ def filter_places(hashes: np.ndarray, power: int) -> list[np.ndarray]:
         return [(mix(hashes + np.uint64(k)) >> np.uint64(64 - power)).astype(np.int64) for k in range(4)]
 
 
-#: Runs that a class has at most in the mean, up to 128 classes.
-_CLASS_WORDS = 1 << 20
+#: Runs that are sorted at once, and that a class has at most in the mean, up to 128 classes.
+_CLASS_WORDS = 1 << 18
 
 
 def frequent(shard: Shard, support: int, longest: int, allowed=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, first place, count) of every run of up to ``longest`` words found ``support`` times.
 
-    ``name`` numbers, per place, the frequent run of k words there; equal runs share a
-    number, so a run of k words is a pair of the numbers of its two overlapping parts. Runs
-    are counted class by class, which bounds the memory of a count.
+    Equal runs share a hash; they are counted class by class of the hashes, which bounds the
+    memory of a count. ``good`` tells, per place, whether the run of k words there is frequent.
     ``allowed`` tells of places which pairs of words may be part of longer runs.
     """
     n = len(shard.word)
     power = min(7, (n // _CLASS_WORDS).bit_length())
-    name, names = np.zeros(0, np.int32), 0
+    good = np.zeros(0, bool)
     for k in range(1, longest + 1):
-        m = max(0, n - k + 1)
         whole = runs(shard, k)
         if k > 1:
-            whole &= (name[:m] >= 0) & (name[1 : m + 1] >= 0)
-
-        def run(places, k=k, name=name, names=names):
-            return shard.word[places] if k == 1 else (name[places].astype(np.int64) * names + name[places + 1]).view(np.uint64)
-
-        # The class of each place; 255 if no run of k words begins there.
-        group = np.full(m, 255, np.uint8)
-        for at in range(0, m, _CLASS_WORDS):
+            whole &= good[:-1] & good[1:]
+        # The class of each place; 255 if no run to count begins there.
+        group = np.full(len(whole), 255, np.uint8)
+        for at in range(0, len(whole), _CLASS_WORDS):
             places = np.flatnonzero(whole[at : at + _CLASS_WORDS]) + at
-            group[places] = (mix(run(places)) & np.uint64((1 << power) - 1)).astype(np.uint8)
-        number, used, found = np.full(n, -1, np.int32), 0, []
+            group[places] = (windows_at(shard.word, k, places) & np.uint64((1 << power) - 1)).astype(np.uint8)
+        good, found = np.zeros(len(whole), bool), []
+        del whole
         for c in range(1 << power):
             places = np.flatnonzero(group == c).astype(np.int32)
-            _, inverse, count = np.unique(run(places), return_inverse=True, return_counts=True)
+            if not len(places):
+                continue
+            # A run that recurs without end makes its class large, so that is sorted in slices.
+            parts = []
+            for at in range(0, len(places), _CLASS_WORDS):
+                part = places[at : at + _CLASS_WORDS]
+                values, inverse = np.unique(windows_at(shard.word, k, part), return_inverse=True)
+                parts.append((part, values, inverse.astype(np.int32)))
+            if len(parts) > 1:
+                values = np.unique(np.concatenate([v for _, v, _ in parts]))
+                parts = [(part, values, np.searchsorted(values, v).astype(np.int32)[inverse]) for part, v, inverse in parts]
+            count, first = np.zeros(len(values), np.int64), np.full(len(values), n, np.int32)
+            for part, _, inverse in parts:
+                count += np.bincount(inverse, minlength=len(values))
+                np.minimum.at(first, inverse, part)
             keep = count >= support
             if not keep.any():
                 continue
-            first = np.full(len(count), n, np.int32)
-            np.minimum.at(first, inverse, places)
             found.append((first[keep], count[keep]))
             if k == 2 and allowed is not None:
                 keep[keep] = allowed(first[keep])
-            number[places] = np.where(keep, used + np.cumsum(keep) - 1, -1).astype(np.int32)[inverse]
-            used += int(keep.sum())
+            for part, _, inverse in parts:
+                good[part] = keep[inverse]
         if not found:
             return
         yield k, np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
-        name, names = number, used
 
 
 def salted(hashes: np.ndarray, lang: str) -> np.ndarray:
@@ -172,12 +178,12 @@ def salted(hashes: np.ndarray, lang: str) -> np.ndarray:
     return hashes ^ np.frombuffer(hashlib.md5(lang.encode()).digest()[:8], np.uint64)[0]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iterator[tuple[str, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[str, Block]]:
     """A partition's documents as blocks of bounded size (or one longer document)."""
     waiting: dict[str, list[np.ndarray]] = {}
     held: dict[str, int] = {}
     # A word takes two bytes at least, its end included, and some six in prose.
-    most = 6 * min(settings.block_words, settings.shard_words)
+    most = 6 * words
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for i, lang in enumerate(batch.column("lang").to_pylist()):
@@ -187,7 +193,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iter
             if held[lang] >= most:
                 yield lang, shard_of(waiting.pop(lang))
                 held[lang] = 0
-            elif sum(held.values()) >= 4 * most:
+            elif sum(held.values()) >= 2 * most:
                 largest = max(held, key=held.get)
                 yield largest, shard_of(waiting.pop(largest))
                 held[largest] = 0
@@ -201,11 +207,17 @@ def _shards(batches: Iterator[pa.RecordBatch], settings: PhraseSettings) -> Iter
     held: dict[str, int] = {}
 
     def whole(lang):
-        held.pop(lang)
-        parts = waiting.pop(lang)
-        return lang, Shard(np.concatenate([p.word for p in parts]), np.concatenate([p.joined for p in parts]))
-
-    for lang, block in _blocks(batches, settings):
+        n, parts = held.pop(lang), waiting.pop(lang)[::-1]
+        shard, at = Shard(np.empty(n, np.uint64), np.empty(n, bool)), 0
+        while parts:  # each is freed as soon as it is copied
+            part = parts.pop()
+            end = at + len(part.word)
+            shard.word[at:end], shard.joined[at:end] = part.word, part.joined
+            at = end
+        return lang, shard
+
+    # Blocks are smaller here, where more is held besides.
+    for lang, block in _blocks(batches, min(settings.block_words, settings.shard_words) // 4):
         if len(block.word):
             waiting.setdefault(lang, []).append(Shard(block.word, block.joined))
             held[lang] = held.get(lang, 0) + len(block.word)
@@ -249,16 +261,19 @@ _COUNTED = "lang string, id long, k int, f long, phrase binary"
 
 def _counts(block: Block, lang: str, wanted: Shipped, support: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
     """(k, ids, counts, phrases) of the wanted phrases in a block; a phrase is told from ``support`` on."""
-    text, hit = block.data.tobytes(), np.zeros(0, bool)
+    text, hit = memoryview(block.data), np.zeros(0, bool)
     for k in range(1, longest + 1):
         whole = runs(block, k)
         if k > 1:
             # All parts of a frequent phrase are frequent, so they are wanted too.
             whole &= hit[:-1] & hit[1:]
-        places = np.flatnonzero(whole)
-        hashes = salted(windows_at(block.word, k, places), lang)
-        known = wanted.has(hashes)
-        places, hashes = places[known], hashes[known]
+        found = []
+        for at in range(0, len(whole), _CLASS_WORDS):
+            places = np.flatnonzero(whole[at : at + _CLASS_WORDS]) + at
+            hashes = salted(windows_at(block.word, k, places), lang)
+            known = wanted.has(hashes)
+            found.append((places[known].astype(np.int32), hashes[known]))
+        places, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
         if not len(places):
             return
         hit = np.zeros(len(whole), bool)
@@ -267,7 +282,7 @@ def _counts(block: Block, lang: str, wanted: Shipped, support: int, longest: int
         first = places[first]
         spans = zip(block.start[first].tolist(), block.end[first + k - 1].tolist(), (counts >= support).tolist())
         # Words of one piece are parted by blanks and tabs alone.
-        phrases = (b" ".join(p for p in text[a:b].replace(b"\t", b" ").split(b" ") if p) if told else None for a, b, told in spans)
+        phrases = (b" ".join(p for p in bytes(text[a:b]).replace(b"\t", b" ").split(b" ") if p) if told else None for a, b, told in spans)
         yield k, ids.view(np.int64), counts, pa.array(phrases, pa.binary())
 
 
@@ -280,8 +295,8 @@ def _together(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.
     return ids[order[begin]], np.add.reduceat(counts[order], begin), phrases.take(pa.array(order[begin]))
 
 
-#: Counts of blocks that a task holds before it reports them.
-_HELD_COUNTS = 2_000_000
+#: Counts of blocks that a task holds before it unites them, and reports them if most differ.
+_HELD_COUNTS = 1_200_000
 
 
 def _counted(batches: Iterator[pa.RecordBatch], totals: dict[str, int], wanted: Shipped, settings: PhraseSettings) -> Iterator[pa.RecordBatch]:
@@ -299,7 +314,7 @@ def _counted(batches: Iterator[pa.RecordBatch], totals: dict[str, int], wanted:
                     [pa.array([lang] * m), pa.array(ids[part]), pa.array(np.full(m, k, np.int32)), pa.array(counts[part]), phrases[part]],
                     ["lang", "id", "k", "f", "phrase"])
 
-    for lang, block in _blocks(batches, settings):
+    for lang, block in _blocks(batches, min(settings.block_words, settings.shard_words)):
         if not len(block.word):
             continue
         support = _local_support(len(block.word), lang, totals, settings)
@@ -311,7 +326,7 @@ def _counted(batches: Iterator[pa.RecordBatch], totals: dict[str, int], wanted:
             for key, parts in held.items():
                 held[key] = [_together(parts)]
             n = sum(len(parts[0][0]) for parts in held.values())
-        if n >= _HELD_COUNTS // 2:
+        if n >= _HELD_COUNTS * 2 // 3:
             yield from reports()
             held, n = {}, 0
     yield from reports()
