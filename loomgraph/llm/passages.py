@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.llm.common import broadcastable, saved, shuffle_partitions, words
 from loomgraph.llm.hashing import windows, word_hashes
@@ -69,20 +69,79 @@ def minimizers(hashes: np.ndarray, settings: PassageSettings) -> tuple[np.ndarra
 
 def _seed_rows(batches: Iterator[pa.RecordBatch], settings: PassageSettings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, parts = batch.column("doc_id").to_numpy(), []
+        ids, parts, n = batch.column("doc_id").to_numpy(), [], 0
         for row, hashes in word_hashes(batch.column("text"), lower=True):
             seeds, at = minimizers(hashes, settings)
-            parts.append((np.full(len(at), ids[row]), seeds.view(np.int64), at))
-            if sum(len(p[2]) for p in parts) >= 50_000:
-                yield _seed_batch(parts)
-                parts = []
+            parts.append((ids[row], hashes, seeds.view(np.int64), at))
+            n += len(at)
+            if n >= 50_000:
+                yield _seed_batch(parts, settings)
+                parts, n = [], 0
         if parts:
-            yield _seed_batch(parts)
+            yield _seed_batch(parts, settings)
 
 
-def _seed_batch(parts) -> pa.RecordBatch:
-    ids, seeds, at = (np.concatenate(c) for c in zip(*parts))
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seeds), pa.array(at.astype(np.int32))], ["doc_id", "seed", "at"])
+_SEED = "doc_id long, seed long, at int, around long"
+
+
+def _seed_batch(parts: list[tuple], settings: PassageSettings) -> pa.RecordBatch:
+    ids, texts, seeds, at = zip(*parts)
+    number, sizes = [len(a) for a in at], [len(t) for t in texts]
+    end = np.cumsum(sizes)
+    begin, end = np.repeat(end - sizes, number), np.repeat(end, number)
+    at = np.concatenate(at)
+    around = _contexts(np.concatenate(texts), begin + at, begin, end, settings)
+    columns = (np.repeat(ids, number), np.concatenate(seeds), at.astype(np.int32), around)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "seed", "at", "around"])
+
+
+_CODE_BITS = 3  # of a word in a context
+
+
+def _context_words(settings: PassageSettings) -> int:
+    """Words on either side of a seed that tell whether it goes on; 0 where a context is not wide enough.
+
+    It goes on by more than ``slack`` words only over slack + 1 equal words in a row. They begin at most
+    ``slack`` words behind the first difference, which is among the first slack + 1 words.
+    """
+    words_ = 3 * settings.slack + 1
+    return words_ if settings.seed_words + 2 * settings.slack < settings.min_segment and 2 * words_ * _CODE_BITS < 64 else 0
+
+
+def _contexts(hashes: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, settings: PassageSettings) -> np.ndarray:
+    """Codes of the words behind seeds at ``at`` of texts from ``begin`` to ``end``, then of those before, nearest first.
+
+    Equal words have equal codes of three bits, other words mostly others; 0 is where a text ends.
+    """
+    around, width = np.zeros(len(at), np.int64), _context_words(settings)
+    codes = (hashes % np.uint64((1 << _CODE_BITS) - 1)).astype(np.int64) + 1 if width else hashes
+    for n in range(width):
+        for place, lane in ((at + settings.seed_words + n, n), (at - 1 - n, width + n)):
+            there = (place >= begin) & (place < end)
+            around |= np.where(there, codes[np.where(there, place, 0)], 0) << (_CODE_BITS * lane)
+    return around
+
+
+def _goes_on(one: Column, other: Column, settings: PassageSettings) -> Column:
+    """Whether two texts may go on together, by more than ``slack`` words, on a side of a common seed.
+
+    If false ``_extend`` is sure to stop there: no slack + 1 codes in a row are equal, however many are skipped.
+    """
+    width, need = _context_words(settings), settings.slack + 1
+    if not width:
+        return F.lit(True)
+    behind = lambda c, lanes: F.shiftright(c, _CODE_BITS * lanes) if lanes else c
+    any_bit = lambda c: reduce(Column.bitwiseOR, (F.shiftright(c, b) if b else c for b in range(_CODE_BITS)))
+    found = []
+    for skipped in range(-settings.slack, need):
+        x, y = (one, behind(other, skipped)) if skipped >= 0 else (other, behind(one, -skipped))
+        # The lowest bit of a lane: a word of x that equals the one of y.
+        same = any_bit(x).bitwiseAND(F.bitwise_not(any_bit(x.bitwiseXOR(y))))
+        runs = reduce(Column.bitwiseAND, (behind(same, n) for n in range(need)))
+        begins = range(width - need - abs(skipped) + 1)
+        lanes = sum(1 << (_CODE_BITS * (side + n)) for side in (0, width) for n in begins)
+        found.append(runs.bitwiseAND(F.lit(lanes)))
+    return reduce(Column.bitwiseOR, found) != 0
 
 
 def best_chains(x: np.ndarray, y: np.ndarray, settings: PassageSettings) -> list[list[int]]:
@@ -391,20 +450,23 @@ def _hot_seeds(docs: DataFrame, settings: PassageSettings) -> DataFrame:
     They only decide where rows are sent; which seeds they are changes no result.
     """
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.sample_of)) == 0)
-    rows = some.mapInArrow(lambda batches: _seed_rows(batches, settings), "doc_id long, seed long, at int")
+    rows = some.mapInArrow(lambda batches: _seed_rows(batches, settings), _SEED)
     return saved(rows.groupBy("seed").count().where(F.col("count") * settings.sample_of > settings.slice_rows).select("seed", F.lit(True).alias("hot")))
 
 
 def anchors(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFrame:
-    """(doc_id, source_id, anchors): where a document has seeds of an earlier one.
+    """(doc_id, source_id, anchors, goes_on): where a document has seeds of an earlier one.
 
     A document's seed meets the seed's first document and the one before it, which the
     texts around the seed may differ in; the list of a pair of documents is bounded by
     the seeds of one of them. All seeds are shuffled once and scanned in the order of
     documents. A seed of very many rows is dealt over slices, each a range of documents;
     the first and last document of its slices, a row each, carry on from slice to slice.
+    ``goes_on`` is false where the words around the anchors of a pair tell that none goes
+    on further. Seeds of unrelated texts meet by chance, the more often the more texts there
+    are; most of these pairs need no text to be told apart.
     """
-    rows = docs.mapInArrow(lambda batches: _seed_rows(batches, settings), "doc_id long, seed long, at int")
+    rows = docs.mapInArrow(lambda batches: _seed_rows(batches, settings), _SEED)
     hot = _hot_seeds(docs, settings)
     n_hot = hot.count()
     if n_hot:
@@ -416,29 +478,48 @@ def anchors(docs: DataFrame, settings: PassageSettings = PRODUCTION) -> DataFram
     keys = ["seed", "slice"] if n_hot else ["seed"]
     group = f"over (partition by {', '.join(keys)} order by doc_id, at"
     scanned = rows.repartition(shuffle_partitions(docs.sparkSession), *keys)
-    scanned = scanned.withColumn("first", F.expr(f"first_value(struct(doc_id, at)) {group} rows between unbounded preceding and current row)"))
+    scanned = scanned.withColumn("first", F.expr(f"first_value(struct(doc_id, at, around)) {group} rows between unbounded preceding and current row)"))
     # Most seeds have one document; the other scans go without them, and without first documents.
     scanned = scanned.where("hot or first.doc_id != doc_id" if n_hot else "first.doc_id != doc_id")
-    scanned = scanned.withColumn("head", F.expr(f"first_value(at) over (partition by {', '.join(keys)}, doc_id order by at)"))
+    scanned = scanned.withColumn("head", F.expr(f"first_value(struct(at, around)) over (partition by {', '.join(keys)}, doc_id order by at)"))
     scanned = scanned.withColumn("behind", F.expr(f"lag(struct(doc_id, head)) {group})"))
     enters = F.when(F.col("behind.doc_id") != F.col("doc_id"), F.col("behind")).alias("enters")
-    scanned = scanned.select(*keys, *(["hot"] if n_hot else []), "doc_id", "at", "head", "first", enters)
+    scanned = scanned.select(*keys, *(["hot"] if n_hot else []), "doc_id", "at", "around", "head", "first", enters)
     scanned = scanned.withColumn("before", F.expr(f"last_value(enters, true) {group} rows between unbounded preceding and current row)"))
     if n_hot:
         scanned = _carried(saved(scanned.drop("enters")))
     linked = scanned.where("first.doc_id != doc_id")
     # Behind the first document there is no other one before.
-    before = F.when(F.col("before").isNotNull(), F.struct(F.col("before.doc_id").alias("doc_id"), F.col("before.head").alias("at")))
+    before = F.when(F.col("before").isNotNull(), F.struct("before.doc_id", "before.head.*"))
     ways = F.array(F.col("first"), F.coalesce(before, F.col("first")))
-    met = linked.select("doc_id", "at", F.explode(F.array_distinct(ways)).alias("way"))
-    met = met.select("doc_id", F.col("way.doc_id").alias("source_id"), F.struct("at", F.col("way.at").alias("source_at")).alias("anchor"))
-    return met.groupBy("doc_id", "source_id").agg(F.collect_set("anchor").alias("anchors"))
+    met = linked.select("doc_id", "at", "around", F.explode(F.array_distinct(ways)).alias("way"))
+    goes_on = _goes_on(F.col("around"), F.col("way.around"), settings).alias("goes_on")
+    met = met.select("doc_id", F.col("way.doc_id").alias("source_id"), F.struct("at", F.col("way.at").alias("source_at")).alias("anchor"), goes_on)
+    return met.groupBy("doc_id", "source_id").agg(F.collect_set("anchor").alias("anchors"), F.max("goes_on").alias("goes_on"))
+
+
+def _comparable(pairs: DataFrame, ids: DataFrame, settings: PassageSettings) -> DataFrame:
+    """``anchors`` without the pairs that certainly have no segment: none goes on, and all lie too close together.
+
+    A segment begins and ends at most ``slack`` words from anchors that don't go on. Where
+    an id has several rows its contexts may be those of another text, so its pairs all stay.
+    """
+    reach = settings.min_segment - settings.seed_words - 2 * settings.slack
+    spans = (F.array_max(f"anchors.{at}") - F.array_min(f"anchors.{at}") for at in ("at", "source_at"))
+    kept = F.col("goes_on") | (F.least(*spans) >= reach)
+    several = saved(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not several.isEmpty():
+        for side in ("doc_id", "source_id"):
+            marked = several.select(F.col("doc_id").alias(side), F.lit(True).alias(f"{side}_several"))
+            pairs = pairs.join(broadcastable(marked, settings.broadcast_texts), side, "left")
+            kept |= F.coalesce(f"{side}_several", F.lit(False))
+    return pairs.where(kept).select("doc_id", "source_id", "anchors")
 
 
 def _carried(scanned: DataFrame) -> DataFrame:
     """``scanned`` with the first document and the one before taken over from earlier slices."""
     ends = scanned.where("hot").groupBy("seed", "slice").agg(
-        F.min(F.struct("doc_id", "at")).alias("begins"), F.max(F.struct("doc_id", "head")).alias("ends"))
+        F.min(F.struct("doc_id", "at", "around")).alias("begins"), F.max(F.struct("doc_id", "head")).alias("ends"))
     order = "over (partition by seed order by slice"
     carry = ends.select(
         "seed", "slice", F.expr(f"first_value(begins) {order})").alias("whole_first"), F.expr(f"lag(ends) {order})").alias("slice_before"))
@@ -499,6 +580,7 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     count. Of documents with equal texts the first stands for the others, each of which is
     one passage of it. An empty table gives no rows. Texts of any length are read whole.
     """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     docs = _copies(docs, settings)
     copies = docs.where("doc_id != first_id").select("doc_id", F.col("first_id").alias("source_id"), F.size(words(F.col("text"))).cast("long").alias("n")).distinct()
@@ -506,7 +588,7 @@ def shared_passages(docs: DataFrame, settings: PassageSettings = PRODUCTION) ->
     copies = copies.where(n >= settings.min_words).select("doc_id", "source_id", *(c.alias(name) for c, name in zip(
         (zero, n, zero, n, zero, n, n), ("passage_start", "passage_end", *_SPANS))))
     docs = docs.where("first_id is null or doc_id = first_id").select("doc_id", "text")
-    pairs = saved(anchors(docs, settings))
+    pairs = saved(_comparable(anchors(docs, settings), ids, settings))
     ids = saved(pairs.select("doc_id").union(pairs.select("source_id")).distinct())
     texts = docs.join(broadcastable(ids, settings.broadcast_texts), "doc_id", "left_semi")
     segments = saved(_segments(pairs, texts, settings))

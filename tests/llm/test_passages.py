@@ -126,3 +126,48 @@ def test_common_words_of_short_runs():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert _common(np.array(a, np.uint64), np.array(b, np.uint64)) == table[-1][-1]
+
+
+def test_pairs_that_share_a_few_words_by_chance_need_no_text(spark, make_docs, monkeypatch):
+    from loomgraph.llm import passages
+
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    seed, passage = fresh(6), fresh(70)
+    texts = [[*fresh(rng.randrange(30)), *seed, *fresh(rng.randrange(30))] for _ in range(12)]  # five or six words in common
+    texts += [[*fresh(i), *passage[:i], "new", *passage[i + 1 :], *fresh(i)] for i in (11, 22, 33)]
+    compared, segments = [], passages._segments
+
+    def counted(pairs, *rest):
+        compared.extend(pairs.select("doc_id", "source_id").collect())
+        return segments(pairs, *rest)
+
+    monkeypatch.setattr(passages, "_segments", counted)
+    docs = make_docs([" ".join(t) for t in texts]).select("doc_id", "text")
+    found = passages.shared_passages(docs).collect()
+    assert {(r.doc_id, r.source_id) for r in found} == {(13, 12), (14, 12), (14, 13)}
+    assert len(compared) < 8  # words have short codes, so a few others stay
+    # Where rows repeat an id, any of its texts may go on.
+    ends = [[*seed, *fresh(60)], [*seed, *passage], [*seed, *fresh(50)], [*seed, *passage]]
+    docs = docs.union(spark.createDataFrame([(i, " ".join(t)) for i, t in zip((20, 20, 21, 21), ends)], docs.schema))
+    found = {tuple(r) for r in passages.shared_passages(docs).collect()}
+    monkeypatch.setattr(passages, "_context_words", lambda settings: 0)
+    assert found == {tuple(r) for r in passages.shared_passages(docs).collect()}
+    assert any(r[:2] == (21, 20) for r in found)
+
+
+def test_contexts_drop_no_segment(make_docs):
+    from loomgraph.llm import passages
+
+    rng = random.Random(25)
+    texts = [[f"w{rng.randrange(3 + i % 9)}" for _ in range(rng.choice([6, 20, 60]))] for i in range(60)]
+    docs = make_docs([" ".join(t) for t in texts]).select("doc_id", "text")
+    hashes = [h for _, h in word_hashes(pa.array([" ".join(t) for t in texts]), lower=True)]
+    settings = replace(PRODUCTION, min_segment=12, min_share=0.3)
+    pairs = anchors(docs, settings)
+    kept = {(r.doc_id, r.source_id) for r in passages._comparable(pairs, docs, settings).collect()}
+    dropped = [r for r in pairs.collect() if (r.doc_id, r.source_id) not in kept]
+    assert len(dropped) > 5
+    for r in dropped:
+        x, y = (np.array([a[f] for a in r.anchors]) for f in ("at", "source_at"))
+        assert passages.passages_between(x, y, hashes[r.doc_id], hashes[r.source_id], settings) == []
