@@ -1,7 +1,7 @@
 """From parsed entities to typed nodes and edges.
 
-Linking never leaves a file, so every group below is one file and the extraction's
-partitioning on the file serves all of it.
+Linking never leaves a file, so every group below lies in one file and one exchange on
+the file serves all of it.
 """
 
 from __future__ import annotations
@@ -31,14 +31,19 @@ def parse_files(files: DataFrame, outline: bool = False) -> DataFrame:
     script = files.filter(F.col("language").isin(*SCRIPT_LANGUAGES))
     if outline:
         return python_entities(python, outline).unionByName(script_entities(script, outline))
-    found = [_distinct_calls(python_entities(python)), _distinct_calls(script_entities(script))]
-    return found[0].unionByName(found[1])
+    return _distinct_calls(python_entities(python).unionByName(script_entities(script)))
+
+
+def _by_file(entities: DataFrame) -> DataFrame:
+    """A file's rows in one task: windows over parts of a file then shuffle nothing. Rows that lie so already stay."""
+    return entities.repartition(*FILE_KEY)
 
 
 def _distinct_calls(entities: DataFrame) -> DataFrame:
-    first = Window.partitionBy(*FILE_KEY, "kind", "call_target").orderBy("ordinal")
+    # Python and scripts under one path are two files.
+    first = Window.partitionBy(*FILE_KEY, F.col("language") == "python", "kind", "call_target").orderBy("ordinal")
     return (
-        entities.withColumn("_n", F.row_number().over(first))
+        _by_file(entities).withColumn("_n", F.row_number().over(first))
         .filter((F.col("kind") != "call") | (F.col("_n") == 1))
         .drop("_n")
     )
@@ -164,7 +169,7 @@ def build_edges(entities: DataFrame) -> DataFrame:
     Names resolve through windows over (file, key): the last definition of a key
     wins. A reference row reads the definitions of its key without any join.
     """
-    known = symbols(entities)
+    known = symbols(_by_file(entities))
     file_id = _file_id()
     node_type, kind = F.col("type"), F.col("kind")
 

@@ -266,3 +266,31 @@ def test_owners_are_found_across_texts_under_one_path(spark):
     files = spark.createDataFrame(rows, "repo_id string, file_path string, language string, text string")
     found = {(r.language, r.name, r.parent_name) for r in parse_files(files).filter("kind = 'method'").collect()}
     assert found == {("typescript", "m", "A"), ("javascript", "f", "A")}
+
+
+def test_python_and_scripts_under_one_path_keep_their_own_calls(spark):
+    rows = [("r", "a", "python", "f(1)\n\nf(2)\n"), ("r", "a", "javascript", "f(1);\nf(2);\n")]
+    files = spark.createDataFrame(rows, "repo_id string, file_path string, language string, text string")
+    found = parse_files(files).filter("kind = 'call'")
+    assert sorted((r.language, r.call_target, r.start_line) for r in found.collect()) == [("javascript", "f", 1), ("python", "f", 1)]
+
+
+@pytest.fixture
+def parts(spark, tmp_path):
+    part = spark.createDataFrame(
+        [(i, f"name {i}", None if i == 2 else f"Brand#{i}", "TYPE", 5 + 10 * i, 1.0) for i in range(3)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_graph_totals_shuffle_entities_once_and_store_none(spark, parts):
+    from loomgraph.catalog import REGISTERED
+
+    totals = REGISTERED["graph_totals"].run(spark, parts)
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    # Python and script files, script definitions, all entities by file, and two for the totals; spread() adds its own.
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") <= 6
+    edges = REGISTERED["build_graph_edges"].run(spark, parts).collect()
+    expected = {(name, sum(e.relationship == name for e in edges), len({e.file_path for e in edges if e.relationship == name})) for name in {e.relationship for e in edges}}
+    assert {tuple(r) for r in totals.collect()} == expected
