@@ -357,6 +357,8 @@ def build_graph_edges(spark, folder):
         "id", F.when(F.col("type") == "CodeExport", F.concat(F.lit("export "), "name")).otherwise(name).alias("label")
     )
     edges = code_graph.build_edges(entities)
+    # A label per symbol: compressed files look small enough to be sent to the driver, the rows are not.
+    labels = labels.hint("merge")
     return (
         edges.join(labels.select(F.col("id").alias("from_id"), F.col("label").alias("source")), "from_id")
         .join(labels.select(F.col("id").alias("to_id"), F.col("label").alias("target")), "to_id")

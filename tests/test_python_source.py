@@ -294,3 +294,12 @@ def test_graph_totals_shuffle_entities_once_and_store_none(spark, parts):
     edges = REGISTERED["build_graph_edges"].run(spark, parts).collect()
     expected = {(name, sum(e.relationship == name for e in edges), len({e.file_path for e in edges if e.relationship == name})) for name in {e.relationship for e in edges}}
     assert {tuple(r) for r in totals.collect()} == expected
+
+
+def test_labels_of_graph_edges_are_not_sent_to_the_driver(spark, parts):
+    from loomgraph.catalog import REGISTERED
+
+    edges = REGISTERED["build_graph_edges"].run(spark, parts)
+    assert ("py/part_1.py", "Part1.step_2", "calls", "helper_2") in {tuple(r) for r in edges.collect()}
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan
